@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, templates, toxicity
+from chronofold.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, substrings, templates, toxicity
 from chronofold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
