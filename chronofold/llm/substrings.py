@@ -253,3 +253,41 @@ def report(docs: DataFrame, least: int = 200, gram: int = GRAM) -> DataFrame:
         F.when(gone, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("digest", "sha")).alias("kept_sha256"),
     )
+
+
+def cleaned(docs: DataFrame, least: int = 200, gram: int = GRAM) -> DataFrame:
+    """docs with the repeated bytes of `text` removed, and n_chars, where there is such a column, counted anew.
+
+    As report(), but every row stays, texts may become empty, and a character of which only some bytes repeat stays.
+    Null texts stay null. Other columns pass as they are.
+    """
+    whole, spans = repeated_spans(docs, least, gram)
+    names = docs.columns
+    others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in names if c != "text"])
+    rows = keyed(docs.select(others.alias("row"), "text")).withColumn("size", F.octet_length("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, own in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                data, at, parts = text.as_py().encode(), 0, []
+                for low, high in merged(own, len(data), least):
+                    while low < high and data[low] & 0xC0 == 0x80:  # inside a character
+                        low += 1
+                    while high > low and high < len(data) and data[high] & 0xC0 == 0x80:
+                        high -= 1
+                    parts.append(data[at:low])
+                    at = high
+                out.append(b"".join([*parts, data[at:]]).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.string())], names=["unit", "left_over"])
+
+    single = keyed(docs.select("text"))
+    some = narrowed(single, spans).join(spans, "unit").select("unit", "text", "spans")
+    cut = some.mapInArrow(run, "unit binary, left_over string")
+    out = rows.join(cut, "unit", "left").join(whole.select("unit", "copies"), "unit", "left")
+    gone = F.col("copies").isNotNull() & (F.col("size") >= least)
+    text = F.when(gone, F.lit("")).otherwise(F.coalesce("left_over", "text"))
+    out = out.select("row", text.alias("text"))
+    kinds = dict(docs.dtypes)
+    fresh = {"text": F.col("text"), "n_chars": F.char_length("text").cast(kinds.get("n_chars", "long"))}
+    return out.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in names])
