@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from chronofold.operators.fold import key_of, states
 from chronofold.operators.paths import resolve_paths
 from chronofold.operators.sync import version_vector
-from chronofold.sources.schemas import MAIN, META_KINDS
+from chronofold.sources.schemas import BRANCH_RECORD, MAIN, META_KINDS
+from chronofold.sources.tables import stored
 
 
 def with_main(branches: DataFrame) -> DataFrame:
     """branches, with main if it is missing."""
-    spark = branches.sparkSession
-    main = spark.createDataFrame([(MAIN, MAIN, None, {}, 0, 0, False)], branches.select(
-        "branch_id", "name", "parent", "fork_vv", "created_lamport", "created_ts", "deleted").schema)
+    main = branches.sparkSession.createDataFrame([(MAIN, MAIN, None, {}, 0, 0, False)], BRANCH_RECORD)
     return branches.select(*main.columns).unionByName(main).groupBy("branch_id").agg(
         *[F.max_by(c, F.coalesce("created_lamport", F.lit(0))).alias(c) for c in main.columns if c != "branch_id"]
     )
@@ -26,7 +25,7 @@ def ancestry(branches: DataFrame, most_depth: int = 64) -> DataFrame:
 
     The branch table is small; the loop joins it once per level and stops when no line grows.
     """
-    known = with_main(branches).select("branch_id", "parent")
+    known = stored(with_main(branches).select("branch_id", "parent"))
     line = known.select(F.col("branch_id").alias("target"), F.lit(0).alias("depth"), "branch_id", "parent", F.array("branch_id").alias("seen"))
     done = line
     nodes = known.select(F.col("branch_id").alias("b"), F.col("parent").alias("p"))
@@ -36,7 +35,7 @@ def ancestry(branches: DataFrame, most_depth: int = 64) -> DataFrame:
         if line.isEmpty():
             break
         done = done.unionByName(line)
-    return done.select("target", "depth", "branch_id")
+    return stored(done.select("target", "depth", "branch_id"))
 
 
 def visibility_caps(branches: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def visibility_caps(branches: DataFrame) -> DataFrame:
 
 def visible_rows(log: DataFrame, branches: DataFrame, target: str | None = None) -> DataFrame:
     """Log rows with `target`, once for every branch (or the one asked for) that sees them."""
-    caps = visibility_caps(branches)
+    caps = stored(visibility_caps(branches))  # a few rows per branch and site
     if target is not None:
         caps = caps.filter(F.col("target") == target)
     own = caps.filter("site_id is null").select("target", "branch_id")

@@ -9,14 +9,15 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronofold.operators.merge import merge_text
 from chronofold.sources.schemas import FILES, NO_FILE_KINDS
 
-BY_FILE = Window.partitionBy("file_id").orderBy("lamport", "site_id", "id")
-ALL_OF_FILE = Window.partitionBy("file_id")
+
+def by_file() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("lamport", "site_id", "id")
 
 
 def key_of(prefix: str = "") -> Column:
@@ -56,7 +57,7 @@ def causal_order(rows: list[tuple]) -> list[int]:
 def fold_order(log: DataFrame) -> DataFrame:
     """file_id, id and position (from 1) of each row in its file's causal order."""
     odd = out_of_order(log).select("file_id").distinct()
-    plain = log.join(odd, "file_id", "left_anti").select("file_id", "id", F.row_number().over(BY_FILE).cast("long").alias("position"))
+    plain = log.join(odd, "file_id", "left_anti").select("file_id", "id", F.row_number().over(by_file()).cast("long").alias("position"))
 
     def kahn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(zip(pdf.lamport, pdf.site_id, pdf.id), pdf.id, pdf.parent, strict=True))
@@ -72,17 +73,17 @@ def effective(log: DataFrame) -> DataFrame:
 
     What comes before a file's last create is replaced by it; the first delete after that is final but for later deletes.
     """
-    rows = log.filter(~F.col("kind").isin(*NO_FILE_KINDS)).withColumn("rn", F.row_number().over(BY_FILE))
-    rows = rows.withColumn("created", F.max(F.when(F.col("kind") == "create", F.col("rn"))).over(ALL_OF_FILE))
+    rows = log.filter(~F.col("kind").isin(*NO_FILE_KINDS)).withColumn("rn", F.row_number().over(by_file()))
+    rows = rows.withColumn("created", F.max(F.when(F.col("kind") == "create", F.col("rn"))).over(Window.partitionBy("file_id")))
     rows = rows.filter("rn >= created")
-    rows = rows.withColumn("ended", F.min(F.when(F.col("kind") == "delete", F.col("rn"))).over(ALL_OF_FILE))
+    rows = rows.withColumn("ended", F.min(F.when(F.col("kind") == "delete", F.col("rn"))).over(Window.partitionBy("file_id")))
     return rows.filter("ended is null or rn <= ended or kind = 'delete'")
 
 
 def with_stale(rows: DataFrame) -> DataFrame:
     """Adds stale: an edit whose base is not the content before it (null-safe)."""
     content = F.when(F.col("kind").isin("create", "edit"), F.struct("result_hash"))
-    before = F.last(content, ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(content, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("stale", (F.col("kind") == "edit") & ~F.col("base_hash").eqNullSafe(before["result_hash"]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators.fold import BY_FILE, key_of
+from chronofold.operators.fold import by_file, key_of
 from chronofold.sources.schemas import META_KINDS
 
 
@@ -78,7 +78,7 @@ def seq_gaps(log: DataFrame) -> DataFrame:
 
 def history(log: DataFrame) -> DataFrame:
     """Non-metadata rows with the file's latest path so far; '' before any."""
-    path = F.last("path", ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    path = F.last("path", ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = log.filter(~F.col("kind").isin(*META_KINDS))
     return rows.select("id", "file_id", "kind", "ts", "lamport", F.coalesce(path, F.lit("")).alias("path"))
 
