@@ -186,7 +186,8 @@ def repeated_spans(docs: DataFrame, least: int = 200, gram: int = GRAM) -> tuple
     texts = rows.filter(F.octet_length("text") >= least).join(F.broadcast(whole) if few else whole, "unit", "left")
     texts = texts.filter("copies is null or doc_id <=> first").select("unit", "text")
     found = saved(anchor_rows(texts, least, gram))
-    again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
+    # Written first, so that the join has an exchange of its own on either side and its hot grams can be split.
+    again = saved(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
     found = saved(found.join(again, "fp"))
     kinds = found.groupBy("fp", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "place")).alias("one"))
     kinds = saved(kinds.select("fp", "around", "n", "one.unit", "one.place"))
