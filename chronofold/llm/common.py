@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that end a word in operators 6 and 7, all ASCII but letters and digits, become spaces; A-Z become a-z.
 ALNUM_FOLD = bytes(
@@ -34,6 +35,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast to drop rows before a shuffle (some tens of MB); with more, the join that follows shuffles all rows.
+MOST_KEYS = 400_000
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows of the keys: by a broadcast of the keys if they are few, else left to the join that follows."""
+    keys = keys.select(column).distinct()
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return rows.join(F.broadcast(keys), column, "left_semi") if few else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,8 @@ sketches estimates their similarity precisely when it is high and drops the rest
 
 A bucket of a band never yields all its pairs. Each has a pivot, by a hash of its own, and every member meets the pivots
 of its bands; as a group of near copies shares most bands, its members meet many different pivots. Pairs within one
-component need no look. Members that are still apart from their bucket's largest component meet all members of it.
+component need no look. Members that are apart from their bucket's largest component meet further pivots of it, and those
+still apart meet all its members, each once. So all links between different components of a bucket are looked at.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import saved
+from chronofold.llm.common import narrowed, saved
 from chronofold.llm.graph import components
 from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
+#: Rounds, and pivots per bucket in each, in which members meet others of their bucket's largest component.
+PIVOT_ROUNDS, PIVOTS = 1, 4
 
 
 class Sampler:
@@ -117,10 +120,8 @@ class Links:
         near = pairs.join(left, "a").join(right, "b")
         near = near.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).filter(estimate("sa", "sb") >= self.least)
         near = saved(near.select("a", "b", "na", "nb"))
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = self.docs.join(wanted, self.docs.doc_id == wanted.node, "left_semi").join(
-            self.nodes.select("node", "d1", "d2"), F.col("doc_id") == F.col("node")
-        )
+        wanted = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+        texts = narrowed(self.docs.withColumnRenamed("doc_id", "node"), wanted, "node").join(wanted, "node", "left_semi")
         sets = saved(sets_of(texts.select("node", "text"), self.width).dropDuplicates(["node"]))
         whole = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
         whole = whole.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -134,6 +135,15 @@ def with_component(df: DataFrame, labels: DataFrame, node: str, out: str) -> Dat
     )
 
 
+def stragglers(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, node, component, top) of members outside their bucket's largest component, and (band, top) of such buckets."""
+    member = with_component(shared.select("node", "band"), labels, "node", "component")
+    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    buckets = saved(top.filter("groups > 1").select("band", "top"))
+    return saved(member.join(buckets, "band").filter("component != top")), buckets
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups the rows of docs(doc_id, text) whose shingle sets are alike to at least `percent` per cent (Jaccard).
 
@@ -165,15 +175,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = with_component(with_component(pairs.join(first, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
     found = saved(found.unionByName(links.confirmed(rest.filter("ca != cb").select("a", "b"))))
     labels = saved(components(found))
-    # Members that are apart from their bucket's largest component, against the bucket.
-    member = with_component(shared.select("node", "band"), labels, "node", "component")
-    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    split = saved(member.join(top.filter("groups > 1").select("band", "top"), "band"))
-    apart = split.filter("component != top").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    other = split.select("band", F.col("node").alias("y"), F.col("component").alias("cy"))
-    cross = apart.join(other, "band").filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = links.confirmed(cross.join(pairs, ["a", "b"], "left_anti"))
+    checked = pairs
+    for round_number in range(PIVOT_ROUNDS):
+        apart, buckets = stragglers(shared, labels)
+        members = with_component(shared.select("node", "band"), labels, "node", "component").join(buckets, "band").filter("component = top")
+        more = None
+        for k in range(PIVOTS):
+            chosen = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(1 + k + PIVOTS * round_number))).alias("pivot"))
+            more = chosen if more is None else more.unionByName(chosen)
+        met = apart.join(more, "band").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        met = saved(met.join(checked, ["a", "b"], "left_anti"))
+        found = saved(found.unionByName(links.confirmed(met)))
+        labels = saved(components(found))
+        checked = checked.unionByName(met)
+    # What is still apart meets every member of the components that it shares a bucket with, each once.
+    apart, _ = stragglers(shared, labels)
+    meets = apart.select(F.col("node").alias("x"), F.col("component").alias("cx"), F.col("top").alias("cy")).distinct()
+    lone = with_component(shared.select("node").distinct(), labels, "node", "component")
+    cross = meets.join(lone.select(F.col("node").alias("y"), F.col("component").alias("cy")), "cy")
+    others = apart.select("band", F.col("node").alias("x"), F.col("component").alias("cx"), "top")
+    loose = others.join(others.select("band", F.col("x").alias("y"), F.col("cx").alias("cy")), "band").filter("x < y and cx != cy").select("x", "y")
+    cross = cross.select("x", "y").unionByName(loose).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = links.confirmed(cross.join(checked, ["a", "b"], "left_anti"))
     labels = saved(components(found.unionByName(more)))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")

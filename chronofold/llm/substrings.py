@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import batch, saved
+from chronofold.llm.common import MOST_KEYS, batch, narrowed, saved
 from chronofold.llm.hashing import BYTE, U, mix, powers
 from chronofold.llm.suffixes import reaches
 
 GRAM = 64
-#: Keys that are broadcast to drop rows before a shuffle; with more, all rows are shuffled.
-MOST_KEYS = 400_000
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -160,13 +158,6 @@ def sorted_repeats(rows: DataFrame, least: int, gram: int) -> DataFrame:
     return ordered.select("fp", "unit", "place", "left", "right").mapInArrow(run, "unit binary, low int, high int")
 
 
-def narrowed(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts of the units in keys: by a broadcast of the keys if they are few, else left to the join that follows."""
-    keys = keys.select("unit").distinct()
-    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    return texts.join(F.broadcast(keys), "unit", "left_semi") if few else texts
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with `unit`, a key of its text (128 bits of SHA-256); null texts are empty."""
     return docs.withColumn("unit", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
@@ -196,7 +187,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, gram: int = GRAM) -> tuple
     open_grams = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("low")).filter("kinds > 1 and low = 1").select("fp")
     asked = kinds.join(open_grams, "fp")
     asked = saved(asked.groupBy("unit").agg(F.collect_list(F.struct("fp", "place")).alias("places")))  # bounded by the text
-    near = narrowed(texts, asked).join(asked, "unit")
+    near = narrowed(texts, asked, "unit").join(asked, "unit")
     spans = settled.unionByName(sorted_repeats(surroundings(near, least, gram), least, gram))
     spans = spans.join(whole.select("unit"), "unit", "left_anti")
     return whole, saved(spans.groupBy("unit").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
@@ -244,7 +235,7 @@ def report(docs: DataFrame, least: int = 200, gram: int = GRAM) -> DataFrame:
                 names=["unit", "removed", "runs", "digest"],
             )
 
-    some = narrowed(rows, spans).join(spans, "unit").select("unit", "text", "spans")
+    some = narrowed(rows, spans, "unit").join(spans, "unit").select("unit", "text", "spans")
     cut = some.mapInArrow(run, "unit binary, removed long, runs long, digest string")
     sizes = rows.select("doc_id", "unit", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     out = sizes.join(cut, "unit", "left").join(whole.select("unit", "copies"), "unit", "left")
@@ -283,7 +274,7 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.string())], names=["unit", "left_over"])
 
     single = keyed(docs.select("text"))
-    some = narrowed(single, spans).join(spans, "unit").select("unit", "text", "spans")
+    some = narrowed(single, spans, "unit").join(spans, "unit").select("unit", "text", "spans")
     cut = some.mapInArrow(run, "unit binary, left_over string")
     out = rows.join(cut, "unit", "left").join(whole.select("unit", "copies"), "unit", "left")
     gone = F.col("copies").isNotNull() & (F.col("size") >= least)
