@@ -95,9 +95,14 @@ def fold(stream: DataFrame, work: str) -> DataFrame:
     return kept[max(kept)]
 
 
-def debounce(stream: DataFrame, gap: str = "10 minutes", longest: int = 86_400) -> DataFrame:
-    """One net change per burst of edits of a file at a site; none if it ends where it began. A burst is cut every `longest` s."""
-    rows = stream.withColumn("at", F.timestamp_seconds("ts")).withColumn("part", F.expr(f"ts div {longest}"))
+def debounce(stream: DataFrame, gap: str = "10 minutes", longest: int = 86_400, late: str | None = None) -> DataFrame:
+    """One net change per burst of edits of a file at a site; none if it ends where it began. A burst is cut every `longest` s.
+
+    With `late`, rows may be so much behind and closed bursts leave the state: for append mode.
+    """
+    rows = stream.withColumn("at", F.timestamp_seconds("ts"))
+    rows = rows.withWatermark("at", late) if late else rows
+    rows = rows.withColumn("part", F.expr(f"ts div {longest}"))
     bursts = rows.groupBy(F.session_window("at", gap), "part", "file_id", "site_id").agg(
         F.min_by("base_hash", key_of()).alias("base_hash"), F.max_by("result_hash", key_of()).alias("result_hash"), F.count(F.lit(1)).alias("n")
     )
