@@ -189,65 +189,77 @@ class Bins:
             self.leave(room, sequence + full, rest)
 
 
-def plan(hist: dict[int, int], capacity: int, small: int, groups: int, rounds: int, share: float = 0.75) -> list[tuple[int, int, int, int, int]]:
+def plan(hist: dict[int, int], capacity: int, small: int, groups: int, rounds: int) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, count, first sequence, offset): the rank-th piece of a length has its own place.
 
-    Only `share` of each configuration's copies is made: while many lengths are left, the last slot finds one that fills
-    the sequence. What remains is packed best-fit, largest first, into the room left over and then new sequences.
+    Only a share of each configuration's copies is made: while many lengths are left, the last slot finds one that fills
+    the sequence. What remains is packed best-fit, largest first, into the room left over and then new sequences. Of a
+    few shares the one that takes the fewest sequences is used; all start from the same configurations.
     """
-    bins = Bins()
     hist = dict(hist)
-    if hist.get(capacity):
-        bins.put(capacity, hist[capacity], 0, 0)
-        bins.next_sequence = hist.pop(capacity)
+    full = hist.pop(capacity, 0)
     parts = grouped(hist, small, groups)
-    if parts:
-        merged: dict[int, int] = {}
-        for p in parts:
-            merged[max(p)] = merged.get(max(p), 0) + sum(p.values())
-        keys = sorted(merged, reverse=True)
-        left = {n: c for n, c in hist.items() if n >= small}
-        order = sorted(left)
-
-        def largest(most: int, taken: dict[int, int]) -> int:
-            """The largest length up to `most` of which more are left than this sequence has taken; 0 if none."""
-            at = bisect.bisect_right(order, most) - 1
-            while at >= 0 and left[order[at]] <= taken.get(order[at], 0):
-                at -= 1
-            return order[at] if at >= 0 else 0
-
-        for config, copies in configurations(keys, [merged[s] for s in keys], capacity, rounds):
-            slots = [keys[i] for i, n in enumerate(config) for _ in range(n)]
-            copies = int(copies * share)
-            while copies:
-                # Each slot's rounded length gives way to an actual one; the last slot may use all the room that is left.
-                taken: dict[int, int] = {}
-                chosen, room = [], capacity
-                for j, slot in enumerate(slots):
-                    n = largest(room if j == len(slots) - 1 else slot, taken)
-                    if n:
-                        taken[n] = taken.get(n, 0) + 1
-                        chosen.append(n)
-                        room -= n
-                if not chosen:
-                    break
-                take = min([copies, *(left[n] // m for n, m in taken.items())])
-                offset = 0
-                for n in chosen:
-                    bins.put(n, take, bins.next_sequence, offset)
-                    offset += n
-                for n, m in taken.items():
-                    left[n] -= take * m
-                    if not left[n]:
-                        order.remove(n)
-                bins.leave(room, bins.next_sequence, take)
-                bins.next_sequence += take
-                copies -= take
-        for n in reversed(order):
-            bins.best_fit(capacity, n, left[n])
+    merged: dict[int, int] = {}
+    for p in parts:
+        merged[max(p)] = merged.get(max(p), 0) + sum(p.values())
+    keys = sorted(merged, reverse=True)
+    found = configurations(keys, [merged[s] for s in keys], capacity, rounds) if keys else []
+    slots = [([keys[i] for i, n in enumerate(config) for _ in range(n)], copies) for config, copies in found]
+    tried = [substituted(hist, full, slots, capacity, small, share) for share in SHARES]
+    return min(tried, key=lambda bins: bins.next_sequence).runs
+
+
+#: Shares of the configurations' copies that are tried.
+SHARES = (0.3, 0.6, 0.8, 0.95)
+
+
+def substituted(hist: dict[int, int], full: int, configs: list[tuple[list[int], int]], capacity: int, small: int, share: float) -> Bins:
+    """Actual lengths in the place of the configurations' rounded ones, then the rest and the small ones best-fit."""
+    bins = Bins()
+    if full:
+        bins.put(capacity, full, 0, 0)
+        bins.next_sequence = full
+    left = {n: c for n, c in hist.items() if n >= small}
+    order = sorted(left)
+
+    def largest(most: int, taken: dict[int, int]) -> int:
+        """The largest length up to `most` of which more are left than this sequence has taken; 0 if none."""
+        at = bisect.bisect_right(order, most) - 1
+        while at >= 0 and left[order[at]] <= taken.get(order[at], 0):
+            at -= 1
+        return order[at] if at >= 0 else 0
+
+    for slots, copies in configs:
+        copies = int(copies * share)
+        while copies:
+            # Each slot's rounded length gives way to an actual one; the last slot may use all the room that is left.
+            taken: dict[int, int] = {}
+            chosen, room = [], capacity
+            for j, slot in enumerate(slots):
+                n = largest(room if j == len(slots) - 1 else slot, taken)
+                if n:
+                    taken[n] = taken.get(n, 0) + 1
+                    chosen.append(n)
+                    room -= n
+            if not chosen:
+                break
+            take = min([copies, *(left[n] // m for n, m in taken.items())])
+            offset = 0
+            for n in chosen:
+                bins.put(n, take, bins.next_sequence, offset)
+                offset += n
+            for n, m in taken.items():
+                left[n] -= take * m
+                if not left[n]:
+                    order.remove(n)
+            bins.leave(room, bins.next_sequence, take)
+            bins.next_sequence += take
+            copies -= take
+    for n in reversed(order):
+        bins.best_fit(capacity, n, left[n])
     for n in sorted((n for n in hist if n < small), reverse=True):
         bins.best_fit(capacity, n, hist[n])
-    return bins.runs
+    return bins
 
 
 def pack(

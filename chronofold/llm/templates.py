@@ -322,12 +322,18 @@ def folded(body: tuple) -> tuple:
             if not kept:
                 continue
             s = If(tuple(kept))
-        if isinstance(s, Output) and isinstance(s.value, Const):
-            text = str(s.value.value)
-            if out and isinstance(out[-1], Output) and isinstance(out[-1].value, Const):
-                out[-1] = Output(Const(str(out[-1].value.value) + text))
-                continue
-            s = Output(Const(text))
+        out.append(s)
+    return joined(out)
+
+
+def joined(body: list) -> tuple:
+    """The statements with neighbouring constant outputs as one."""
+    constant = lambda s: isinstance(s, Output) and isinstance(s.value, Const)
+    out: list = []
+    for s in body:
+        if constant(s):
+            before = str(out.pop().value.value) if out and constant(out[-1]) else ""
+            s = Output(Const(before + str(s.value.value)))
         out.append(s)
     return tuple(out)
 

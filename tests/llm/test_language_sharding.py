@@ -21,8 +21,8 @@ def corpus(spark):
         docs.append((i, " ".join(rng.choice(WORDS[code]) for _ in range(rng.randrange(3, 60))), code, f"src{i % 3}", i))
         if i % 2:
             pages.append((i, f"https://www.h{code}.example.{'de' if code == 'de' else 'com'}/{code}/{i}.html?x=1", f'<html lang="{code}"><body>'))
-    # texts that fit two languages: the page decides
-    docs += [(500, "house haus maison", None, "src1", 1), (501, "x", None, None, 1), (502, None, "en", None, 1), (503, "", None, "src0", 1), (504, "日本語の文章です" * 40, "en", "src0", 1), (505, "river " * 20_000, "en", "src1", 1), (None, "the river", "en", None, 1)]
+    # a text that fits no language better than another: the page decides
+    docs += [(500, "x", None, "src1", 1), (501, "x", None, None, 1), (502, None, "en", None, 1), (503, "", None, "src0", 1), (504, "日本語の文章です" * 40, "en", "src0", 1), (505, "river " * 20_000, "en", "src1", 1), (None, "the river", "en", None, 1)]
     docs.append(docs[0])
     pages += [(900, "http://hde.example.de/de/500", "<HTML LANG=de>"), (901, "http://hde.example.de/de/500/", "<html>"), (902, None, None), (903, "junk", "<html lang='fr'>")]
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, host long"), spark.createDataFrame(pages, "page_id long, url string, html string"), docs
