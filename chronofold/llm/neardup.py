@@ -6,8 +6,8 @@ sketches estimates their similarity precisely when it is high and drops the rest
 
 A bucket of a band never yields all its pairs. Each has a pivot, by a hash of its own, and every member meets the pivots
 of its bands; as a group of near copies shares most bands, its members meet many different pivots. Pairs within one
-component need no look. Members that are apart from their bucket's largest component meet further pivots of it, and those
-still apart meet all its members, each once. So all links between different components of a bucket are looked at.
+component need no look. Members that are still apart from their bucket's largest component are compared with all members
+of the bucket, on sketches inside the join. So all links between different components of a bucket are looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from chronofold.llm.graph import components
 from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
-#: Rounds, and pivots per bucket in each, in which members meet others of their bucket's largest component.
-PIVOT_ROUNDS, PIVOTS = 1, 4
 
 
 class Sampler:
@@ -135,13 +133,12 @@ def with_component(df: DataFrame, labels: DataFrame, node: str, out: str) -> Dat
     )
 
 
-def stragglers(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, node, component, top) of members outside their bucket's largest component, and (band, top) of such buckets."""
-    member = with_component(shared.select("node", "band"), labels, "node", "component")
-    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    buckets = saved(top.filter("groups > 1").select("band", "top"))
-    return saved(member.join(buckets, "band").filter("component != top")), buckets
+def joined(labels: DataFrame, links: Links, pairs: DataFrame) -> DataFrame:
+    """The components after the links among pairs: known components go in as stars, so that few rounds are left."""
+    new = saved(links.confirmed(pairs))
+    if new.isEmpty():
+        return labels
+    return saved(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -170,34 +167,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     # First the pairs of a few slots by hash; those that they leave apart are looked at after.
     first = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0)
-    found = saved(links.confirmed(first))
-    labels = saved(components(found))
+    labels = saved(components(links.confirmed(first)))
     rest = with_component(with_component(pairs.join(first, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
-    found = saved(found.unionByName(links.confirmed(rest.filter("ca != cb").select("a", "b"))))
-    labels = saved(components(found))
-    checked = pairs
-    for round_number in range(PIVOT_ROUNDS):
-        apart, buckets = stragglers(shared, labels)
-        members = with_component(shared.select("node", "band"), labels, "node", "component").join(buckets, "band").filter("component = top")
-        more = None
-        for k in range(PIVOTS):
-            chosen = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(1 + k + PIVOTS * round_number))).alias("pivot"))
-            more = chosen if more is None else more.unionByName(chosen)
-        met = apart.join(more, "band").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        met = saved(met.join(checked, ["a", "b"], "left_anti"))
-        found = saved(found.unionByName(links.confirmed(met)))
-        labels = saved(components(found))
-        checked = checked.unionByName(met)
-    # What is still apart meets every member of the components that it shares a bucket with, each once.
-    apart, _ = stragglers(shared, labels)
-    meets = apart.select(F.col("node").alias("x"), F.col("component").alias("cx"), F.col("top").alias("cy")).distinct()
-    lone = with_component(shared.select("node").distinct(), labels, "node", "component")
-    cross = meets.join(lone.select(F.col("node").alias("y"), F.col("component").alias("cy")), "cy")
-    others = apart.select("band", F.col("node").alias("x"), F.col("component").alias("cx"), "top")
-    loose = others.join(others.select("band", F.col("x").alias("y"), F.col("cx").alias("cy")), "band").filter("x < y and cx != cy").select("x", "y")
-    cross = cross.select("x", "y").unionByName(loose).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = links.confirmed(cross.join(checked, ["a", "b"], "left_anti"))
-    labels = saved(components(found.unionByName(more)))
+    labels = joined(labels, links, rest.filter("ca != cb").select("a", "b"))
+    # Members that are apart from their bucket's largest component, against the bucket: sketches are compared in the join,
+    # so that only pairs which they do not rule out come from it.
+    member = with_component(shared.select("node", "band"), labels, "node", "component")
+    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    split = member.join(top.filter("groups > 1").select("band", "top"), "band").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    split = saved(split.select("band", "top", "node", "component", "n_shingles", "sketch"))
+    apart = split.filter("component != top").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
+    other = split.select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
+    near = (apart["band"] == other["band"]) & F.expr(f"cx != cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (estimate("sx", "sy") >= links.least)
+    cross = apart.join(other, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    labels = joined(labels, links, cross.join(pairs, ["a", "b"], "left_anti"))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
