@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, substrings, templates, toxicity
 from chronofold.llm.common import table
+from chronofold.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -58,7 +58,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("longest_match")
 
 
 @query
