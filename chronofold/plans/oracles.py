@@ -238,7 +238,7 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "t08_state_at_tags": oracle("SELECT split_part(file_id, '@', 1) AS tag_id, split_part(file_id, '@', 2) AS file_id, result_hash FROM st_x WHERE NOT deleted", "log", "meta", trec=TREC, tl=TLWW, x="SELECT l.* REPLACE (t.tag_id || '@' || l.file_id AS file_id) FROM log l JOIN tl t ON l.ts <= t.at_ts WHERE t.branch_id = 'main'", fold=("x",)),
     "t09_activity": oracle("SELECT ts // 86400 * 86400 AS bucket, kind, count(*) AS n FROM log GROUP BY 1, 2", "log"),
     "v01_put_embeddings": "SELECT cast(vec_id AS varchar) AS content_hash, round(cast(embedding[1] AS double) * CASE WHEN vec_id % 10 = 3 THEN 2 ELSE 1 END, 5) AS first FROM embeddings",
-    "v02_search": "SELECT query, rank, round(cosine, 4) AS cosine FROM (SELECT q.vec_id AS query, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::double[], q.embedding::double[]) DESC, e.vec_id) AS rank, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5",
+    "v02_search": "SELECT query, rank, id FROM (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::double[], q.embedding::double[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5",
     "v05_first_divergence": oracle(f"SELECT file_id, arg_min(id, {KEY}) AS id, arg_min(CASE WHEN lamport % 40 = 1 THEN 'a' ELSE 'b' END, {KEY}) AS only_in FROM log WHERE lamport % 40 IN (0, 1) GROUP BY 1", "log"),
     "v06_blob_gc": oracle(f"SELECT content_hash FROM blobs WHERE content_hash NOT IN (SELECT result_hash FROM st_log WHERE NOT deleted UNION SELECT h FROM (SELECT base_hash AS h FROM log WHERE ts >= {T(0.7)} UNION SELECT result_hash FROM log WHERE ts >= {T(0.7)}) WHERE h IS NOT NULL UNION SELECT result_hash FROM st_old WHERE NOT deleted)", "log", "blobs", old=ASOF, fold=("log", "old")),
     "v07_dedup_branch_names": oracle("SELECT branch_id, CASE WHEN k = 1 THEN name ELSE name || ' (' || k || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_lamport, branch_id) AS k FROM bl)", "meta", brec=BREC, bl=BLWW),

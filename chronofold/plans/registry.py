@@ -716,7 +716,7 @@ def v01_put_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 def v02_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = misc.search(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query"), 5)
-    return found.select("query", F.col("rank").cast("long").alias("rank"), F.round("cosine", 4).alias("cosine"))
+    return found.select("query", F.col("rank").cast("long").alias("rank"), "id")
 
 
 @query
