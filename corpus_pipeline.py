@@ -11,29 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, neardup, packing, substrings
-from chronofold.llm.common import saved, table
+from chronofold.llm.common import MOST_KEYS, saved, table
 
 #: SQL cannot express the stages (trained models, packing); tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def kept_rows(docs: DataFrame, verdicts: DataFrame, distinct: bool = False) -> DataFrame:
-    """The rows of docs whose doc_id verdicts(doc_id) names, if asked each once; rows without a doc_id stay."""
-    ids = verdicts.select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
-    named = docs.join(ids, docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    return (named.dropDuplicates() if distinct else named).unionByName(docs.filter("doc_id is null"))
+    """The rows of docs but those whose doc_id has no kept row in verdicts(doc_id, kept); if asked, repeated rows once.
+
+    Rows without a doc_id stay. Only ids that go, or that repeat, are matched: while they are few by broadcast, so that
+    the texts are not shuffled.
+    """
+    ids = verdicts.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    ids = ids.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    special = saved(ids.filter(~F.col("__kept") | F.lit(distinct) & (F.col("__n") > 1)))
+    few = special.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    matched = docs.join(F.broadcast(special) if few else special, docs["doc_id"].cast("long") == F.col("__id"), "left")
+    out = matched.filter("__id is null").select(*docs.columns)
+    if distinct:
+        out = out.unionByName(matched.filter("__kept").select(*docs.columns).dropDuplicates())
+    return out
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language no evidence explains (operator 9)."""
-    verdicts = language.identify(docs, table(spark, sf_dir, "pages"))
-    return kept_rows(docs, verdicts.filter("kept"))
+    return kept_rows(docs, language.identify(docs, table(spark, sf_dir, "pages")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each near-duplicate group (operator 4); of repeated rows, one."""
-    verdicts = neardup.near_duplicates(docs, width=5)
-    return kept_rows(docs, verdicts.filter("kept"), distinct=True)
+    return kept_rows(docs, neardup.near_duplicates(docs, width=5), distinct=True)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (operator 6)."""
     scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return kept_rows(docs, scanned.filter("n_hit = 0"))
+    return kept_rows(docs, scanned.select("doc_id", (F.col("n_hit") == 0).alias("kept")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
