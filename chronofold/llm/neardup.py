@@ -25,6 +25,8 @@ from chronofold.llm.graph import components
 from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
+#: Samples and bits of the sharper sketches for members of large mixed buckets.
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 
 
 class Sampler:
@@ -94,11 +96,28 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes array<long>")
 
 
-def estimate(a: str, b: str) -> Column:
+def finely_sketched(docs: DataFrame, width: int) -> DataFrame:
+    """node and an odd sketch of many more samples, for rows of docs(node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(FINE_SAMPLES, 1, FINE_BITS)
+        for b in batches:
+            out = [sampler(shingles(word_hashes(t.as_py() or ""), width))[1] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return docs.mapInArrow(run, "node long, fine array<long>")
+
+
+def lowest(percent: int, samples: int) -> float:
+    """The least estimate that a pair at the threshold is allowed: 5.5 standard deviations of its samples below."""
+    share = percent / 100
+    return share - 5.5 * math.sqrt(share * (1 - share) / samples)
+
+
+def estimate(a: str, b: str, samples: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity by two odd sketches: 1 + bits / (4 samples) * ln(1 - 2 * (bits that differ) / bits)."""
-    samples = BANDS * ROWS
     differ = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, c) -> s + c)"
-    return F.expr(f"1 + {BITS / (4 * samples)} * ln(greatest(1 - 2 * {differ} / {BITS}, 1e-9))")
+    return F.expr(f"1 + {bits / (4 * samples)} * ln(greatest(1 - 2 * {differ} / {bits}, 1e-9))")
 
 
 class Links:
@@ -106,9 +125,11 @@ class Links:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
-        # Five standard deviations of the samples below the threshold: a true link is practically never dropped.
-        share = percent / 100
-        self.least = share - 5.5 * math.sqrt(share * (1 - share) / (BANDS * ROWS))
+        self.least = lowest(percent, BANDS * ROWS)
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """node and text of the nodes in wanted(node)."""
+        return narrowed(self.docs.withColumnRenamed("doc_id", "node"), wanted, "node").join(wanted, "node", "left_semi").select("node", "text")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs(a, b) whose sets reach the threshold."""
@@ -119,8 +140,7 @@ class Links:
         near = near.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).filter(estimate("sa", "sb") >= self.least)
         near = saved(near.select("a", "b", "na", "nb"))
         wanted = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-        texts = narrowed(self.docs.withColumnRenamed("doc_id", "node"), wanted, "node").join(wanted, "node", "left_semi")
-        sets = saved(sets_of(texts.select("node", "text"), self.width).dropDuplicates(["node"]))
+        sets = saved(sets_of(self.texts(wanted), self.width).dropDuplicates(["node"]))
         whole = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
         whole = whole.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
         common = F.size(F.array_intersect("ha", "hb"))
@@ -175,12 +195,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     member = with_component(shared.select("node", "band"), labels, "node", "component")
     sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    split = member.join(top.filter("groups > 1").select("band", "top"), "band").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    split = saved(split.select("band", "top", "node", "component", "n_shingles", "sketch"))
-    apart = split.filter("component != top").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-    other = split.select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
-    near = (apart["band"] == other["band"]) & F.expr(f"cx != cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (estimate("sx", "sy") >= links.least)
-    cross = apart.join(other, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    split = saved(member.join(top.filter("groups > 1").select("band", "top"), "band"))
+    inside = saved(split.select("node").distinct())
+    fine = finely_sketched(links.texts(inside), width).dropDuplicates(["node"])
+    split = split.join(nodes.select("node", "n_shingles", "sketch"), "node").join(fine, "node")
+    split = saved(split.select("band", "top", "node", "component", "n_shingles", "sketch", "fine"))
+    side = lambda rows, x: rows.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n_shingles", "sketch", "fine")])
+    apart, other = side(split.filter("component != top"), "x"), side(split, "y")
+    near = F.expr(f"x_component != y_component and 100 * least(x_n_shingles, y_n_shingles) >= {percent} * greatest(x_n_shingles, y_n_shingles)")
+    near = (apart["band"] == other["band"]) & near & (estimate("x_sketch", "y_sketch") >= links.least)
+    near = near & (estimate("x_fine", "y_fine", FINE_SAMPLES, FINE_BITS) >= lowest(percent, FINE_SAMPLES))
+    cross = apart.join(other, near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     labels = joined(labels, links, cross.join(pairs, ["a", "b"], "left_anti"))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
