@@ -46,6 +46,11 @@ def narrowed(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(keys), column, "left_semi") if few else rows
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are long: so many rows per Arrow batch keep a task's copies of them at a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

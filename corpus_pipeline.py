@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, neardup, packing, substrings
-from chronofold.llm.common import MOST_KEYS, saved, table
+from chronofold.llm.common import MOST_KEYS, saved, small_batches, table
 
 #: SQL cannot express the stages (trained models, packing); tests hold them against brute force.
 ORACLE_SQL = None
@@ -36,27 +36,32 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame, distinct: bool = False) -> D
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language no evidence explains (operator 9)."""
+    small_batches(spark)
     return kept_rows(docs, language.identify(docs, table(spark, sf_dir, "pages")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each near-duplicate group (operator 4); of repeated rows, one."""
+    small_batches(spark)
     return kept_rows(docs, neardup.near_duplicates(docs, width=5), distinct=True)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 200 and more that repeat in what is left (operator 5)."""
+    small_batches(spark)
     return substrings.cleaned(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (operator 6)."""
+    small_batches(spark)
     scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     return kept_rows(docs, scanned.select("doc_id", (F.col("n_hit") == 0).alias("kept")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents into sequences of 1024 tokens (operator 3)."""
+    small_batches(spark)
     packed = packing.pack(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=packing.piece_crc32, digest_type="long"
     )
