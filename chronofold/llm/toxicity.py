@@ -32,7 +32,8 @@ SEEDS = {
 SYMBOL = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R"}
 OTHER = "."
 WORD = re.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
+CLAUSE_ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]+")
 
 
 @dataclass
@@ -140,26 +141,24 @@ class Scorer:
         self.finder.make_automaton()
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the clauses that weigh anything. Clauses without a trigger word are not read."""
+        """(start, end, weight) of the clauses that weigh anything, each read whole. Clauses without a trigger word are not read."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        ends = [end for end, _ in self.finder.iter(low)]
-        out, done = [], -1
-        for at in ends:
+        out, done = [], 0
+        for at, _ in self.finder.iter(low):
             if at < done:
                 continue
-            start = max((m.end() for m in CLAUSE_END.finditer(low, max(done, 0, at - 400), at)), default=max(done, 0, at - 400))
+            start = max(done, 1 + max(low.rfind(c, done, at) for c in CLAUSE_ENDS))
             m = CLAUSE_END.search(low, at)
-            done = min(m.start() if m else len(low), at + 2000)
+            done = m.start() if m else len(low)
             state, total = 0, 0.0
-            for word in WORD.findall(low, start, done):
-                symbol, weight = self.lexicon.symbol(word.replace("'", ""))
+            for word in WORD.finditer(low, start, done):
+                symbol, weight = self.lexicon.symbol(word[0].replace("'", ""))
                 _, w, state = self.grammar.step(state, symbol)
                 total += w * (weight if symbol == "I" else 1.0)
             if total:
                 out.append((start, done, total))
-            done = max(done, at + 1)
         return out
 
     def raw(self, text: str | None) -> float:

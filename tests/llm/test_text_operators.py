@@ -51,6 +51,31 @@ def test_toxicity_grammar_weighs_context():
     assert scorer.raw("kill you") > scorer.raw("kill time")
 
 
+def whole_clauses(scorer, text):
+    """The rule restated: every clause between two ends, all its words."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        state, weight = 0, 0.0
+        for word in toxicity.WORD.findall(clause):
+            symbol, own = scorer.lexicon.symbol(word.replace("'", ""))
+            _, w, state = scorer.grammar.step(state, symbol)
+            weight += w * (own if symbol == "I" else 1.0)
+        total += min(weight, 3.0)
+    return total
+
+
+def test_toxicity_reads_long_clauses_whole():
+    scorer = toxicity.Scorer(toxicity.seed_lexicon())
+    far = "river of stone " * 300
+    assert scorer.raw(f"she said {far} idiot.") == scorer.raw("she said idiot.")
+    assert scorer.raw("idiot " * 1000) == 3.0
+    rng = random.Random(3)
+    texts = ["s" + "kill " * 81 + "idiot", *[f"{'a' * k} idiot {'b' * (1990 + k)} loser; you" for k in range(12)]]
+    texts += ["".join(rng.choice(["river ", "skill ", "you ", "kill ", "idiot ", "she said ", "not ", *[far[: rng.randrange(900)], "; ", ".\n"][rng.random() < 0.1 :]]) for _ in range(200)) for _ in range(40)]
+    for text in texts:
+        assert abs(scorer.raw(text) - whole_clauses(scorer, text)) < 1e-9, text[:80]
+
+
 def test_toxicity_without_labels(docs, no_docs, labels):
     none = labels.limit(0)
     assert toxicity.score(docs, none).count() == docs.count()
