@@ -9,6 +9,7 @@ outcome is a table of runs (length, first rank, last rank -> sequence, offset),
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,11 +23,21 @@ from chronofold.llm.common import batch, saved
 END_ID = 2
 
 
-def rank_encoder(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, content -> id; they stand for themselves wherever a text holds them."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def rank_encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], np.ndarray]:
     """Text -> ids as unsigned 32-bit numbers, by a vocabulary's rank file.
 
-    The rank file holds the same vocabulary as the tokenizer file, at a fraction of its cost; a test compares both.
-    Control strings inside a text are ordinary text.
+    The rank file holds the same vocabulary as the tokenizer file, at a fraction of its cost; a test compares both. The
+    tokenizer file's added tokens are split off first, as that file's tokenizer does; without `added` they are ordinary text.
     """
     import base64
 
@@ -34,8 +45,8 @@ def rank_encoder(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def piece_ids(ids: np.ndarray) -> list[int]:
@@ -47,14 +58,20 @@ def piece_crc32(ids: np.ndarray) -> int:
 
 
 def tokenised(
-    docs: DataFrame, ranks_path: str, pattern: str, capacity: int, digest: Callable[[np.ndarray], object], digest_type: str
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    capacity: int,
+    digest: Callable[[np.ndarray], object],
+    digest_type: str,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and digest(ids of the piece)."""
     arrow = {"array<long>": pa.list_(pa.int64()), "long": pa.int64()}[digest_type]
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("digest", arrow)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(ranks_path, pattern)
+        encoder = rank_encoder(ranks_path, pattern, added)
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -272,15 +289,16 @@ def pack(
     rounds: int = 400,
     digest: Callable[[np.ndarray], object] = piece_ids,
     digest_type: str = "array<long>",
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Packs every document of docs(doc_id, text) into sequences of at most capacity tokens.
 
     Returns per piece doc_id, piece, start, length, digest (by default the piece's ids), sequence_id and offset; pieces
     of a sequence stand one after another from offset 0. A null or empty text is the end token alone. Rows that repeat
     a doc_id are packed each. An empty table gives no row. Longer documents are cut so that their first piece may be
-    the shorter one; all other documents stay whole.
+    the shorter one; all other documents stay whole. `added` are the tokenizer file's added tokens.
     """
-    pieces = saved(tokenised(docs, ranks_path, pattern, capacity, digest, digest_type))
+    pieces = saved(tokenised(docs, ranks_path, pattern, capacity, digest, digest_type, added))
     hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = plan(hist, capacity, small, groups, rounds)
     spark = docs.sparkSession

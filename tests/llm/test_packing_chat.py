@@ -33,6 +33,24 @@ def test_rank_file_gives_the_tokenizers_ids(rows):
         assert t.encode(text, add_special_tokens=False).ids == encode(text).tolist(), repr(text[:60])
 
 
+def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from chronofold.llm import registry
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.rank_encoder(RANKS, PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(7)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  y", "<|endoftext|><|endoftext|>", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
+    odd += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "it's", "\n", "é", "日", "<|", "|>", "ab"]) for _ in range(20)) for _ in range(200)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in odd]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [encode(x).tolist() for x in odd] == want
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in registry.op3_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_every_document_is_packed_whole(docs, rows, no_docs):
     t = tokenizer()
     got = packing.pack(docs, RANKS, PATTERN, capacity=128, small=16, groups=8).collect()
