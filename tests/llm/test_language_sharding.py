@@ -50,6 +50,29 @@ def test_languages_without_pages_rows_or_labels(corpus, docs, no_docs, rows):
     assert language.identify(docs.drop("lang").withColumn("lang", docs.text.substr(1, 0)).filter("false"), pages).count() == 0
 
 
+def test_rare_languages_have_models_or_keep_their_label(spark):
+    rng = random.Random(6)
+    rare = {"fi": "talo ja joki jossa yötä kävelee metsä".split(), "pl": "dom oraz rzeka gdzie spacer łąka źródło".split(), "el": "σπίτι και ποτάμι με πράγμα".split()}
+    said = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    docs = [(i, said(WORDS[["en", "de"][i % 2]]), ["en", "de"][i % 2], None) for i in range(2400)]
+    docs += [(3000 + i, said(rare["fi"]), "fi", None) for i in range(6)]  # a quarter of a per cent
+    docs += [(3100, said(rare["pl"]), "pl", None), (3101, said(rare["el"]), None, None), (3102, "", "pl", None), (3103, said(rare["el"]), None, None)]
+    pages = [(1, "http://a.example/3101", "<!--" + "x" * 5000 + "--><html lang='el'>"), (2, "http://a.example/3000", f"<script>{'y' * 3000}</script><html lang=fi>")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    by = {r["doc_id"]: r for r in language.identify(d, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(by) == len(docs)
+    assert all(by[i]["lang"] == docs[i][2] and by[i]["kept"] for i in range(2400))
+    assert all((by[3000 + i]["text_lang"], by[3000 + i]["lang"], by[3000 + i]["kept"]) == ("fi", "fi", True) for i in range(6))
+    assert (by[3100]["lang"], by[3100]["text_lang"], by[3100]["posterior"], by[3100]["kept"]) == ("pl", None, None, True)
+    assert (by[3101]["declared"], by[3101]["lang"], by[3101]["kept"]) == ("el", "el", True) and by[3000]["declared"] == "fi"
+    assert not by[3102]["kept"] and not by[3103]["kept"]
+
+
+def test_languages_are_not_capped(spark):
+    d = spark.createDataFrame([(5 * i + k, "a text", f"l{i}") for i in range(80) for k in range(5)] + [(None, "x", "zz")] * 9, "doc_id long, text string, lang string")
+    assert language.declared_languages(d) == sorted(f"l{i}" for i in range(80))
+
+
 def test_model_reads_letters_only():
     assert len(language.gram_buckets("")) == 0 and len(language.gram_buckets("123 !!")) == 0
     assert list(language.gram_buckets("ABC")) == list(language.gram_buckets("abc"))
