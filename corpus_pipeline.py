@@ -17,33 +17,44 @@ from chronofold.llm.common import MOST_KEYS, saved, small_batches, table
 ORACLE_SQL = None
 
 
-def kept_rows(docs: DataFrame, verdicts: DataFrame, distinct: bool = False) -> DataFrame:
-    """The rows of docs but those whose doc_id has no kept row in verdicts(doc_id, kept); if asked, repeated rows once.
+#: A row's own key within a stage's input; ids may be null, repeat, or stand on different texts.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written once, so that every later reading gives a row the same key."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
-    Rows without a doc_id stay. Only ids that go, or that repeat, are matched: while they are few by broadcast, so that
-    the texts are not shuffled.
-    """
-    ids = verdicts.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
-    ids = ids.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
-    special = saved(ids.filter(~F.col("__kept") | F.lit(distinct) & (F.col("__n") > 1)))
-    few = special.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    matched = docs.join(F.broadcast(special) if few else special, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    out = matched.filter("__id is null").select(*docs.columns)
-    if distinct:
-        out = out.unionByName(matched.filter("__kept").select(*docs.columns).dropDuplicates())
-    return out
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed rows but those in gone(ROW), without the key: while these are few by broadcast, so that texts are not shuffled."""
+    gone = saved(gone.select(ROW))
+    few = gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, ROW, "left_anti").drop(ROW)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language no evidence explains (operator 9)."""
     small_batches(spark)
-    return kept_rows(docs, language.identify(docs, table(spark, sf_dir, "pages")))
+    rows = keyed(docs)
+    return without(rows, language.identify(rows, table(spark, sf_dir, "pages"), carry=(ROW,)).filter("not kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each near-duplicate group (operator 4); of repeated rows, one."""
+    """Keeps one row of each near-duplicate group (operator 4): of the smallest doc_id, rows without one come last.
+
+    Every row is a node of its own, whatever its doc_id. Of repeated rows without any word, one stays.
+    """
     small_batches(spark)
-    return kept_rows(docs, neardup.near_duplicates(docs, width=5), distinct=True)
+    rows = keyed(docs)
+    found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), width=5)
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.when(wordless, F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    members = rows.select(ROW, F.col("doc_id").cast("long").alias("id"), same.alias("same"))
+    members = members.join(found.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
+    members = saved(members.select(ROW, "id", F.coalesce("same", F.col("component_id").cast("string")).alias("group")))
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", ROW)).alias("m")).select(F.col(f"m.{ROW}"))
+    return without(rows, members.join(first, ROW, "left_anti"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +66,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (operator 6)."""
     small_batches(spark)
-    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return kept_rows(docs, scanned.select("doc_id", (F.col("n_hit") == 0).alias("kept")))
+    rows = keyed(docs)
+    scanned = decontaminate.scan(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, scanned.filter("n_hit > 0").select(F.col("doc_id").alias(ROW)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

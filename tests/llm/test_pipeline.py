@@ -44,6 +44,22 @@ def test_stages(spark, folder, rows):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in clean.collect()}
 
 
+def test_verdicts_take_effect_row_by_row(spark, folder, rows):
+    texts = [r[1] for r in rows]
+    bad, near = texts[2], texts[0].split(" ")
+    near[20] = "OTHER"
+    own = [(None, bad), (7, bad), (7, texts[6]), (None, texts[0]), (None, " ".join(near)), (50, texts[0]), (40, texts[0]), (None, texts[8]), (None, texts[8]), (None, None), (None, None), (None, "  "), (None, texts[10])]
+    docs = spark.createDataFrame([(d, x, "en", None, None) for d, x in own], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    count = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert count(pipeline.decontamination_stage(spark, docs, folder)) == collections.Counter(x for x in own if x[1] != bad)
+    left = count(pipeline.near_duplicate_stage(spark, docs, folder))
+    assert left == collections.Counter([(7, bad), (7, texts[6]), (40, texts[0]), (None, texts[8]), (None, None), (None, "  "), (None, texts[10])])
+    alien = "日本語の文章です" * 40
+    more = [(60 + i, texts[i], "en", None, None) for i in range(14)] + [(60, alien, None, None, None), (None, alien, None, None, None)]
+    judged = count(pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), folder))
+    assert judged == collections.Counter([*(x for x in own if x[1] and x[1].strip()), *((60 + i, texts[i]) for i in range(14))])
+
+
 def test_run(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
