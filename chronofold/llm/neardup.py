@@ -4,10 +4,12 @@ Exact copies (of the folded word sequence) become one node first. A node's MinHa
 sketch: a parity bitmap of the samples. Nodes that share a band key are candidates; the population count of the XOR of two
 sketches estimates their similarity precisely when it is high and drops the rest; what is left is confirmed on full sets.
 
-A bucket of a band never yields all its pairs. Each has a pivot, by a hash of its own, and every member meets the pivots
-of its bands; as a group of near copies shares most bands, its members meet many different pivots. Pairs within one
-component need no look. Members that are still apart from their bucket's largest component are compared with all members
-of the bucket, on sketches inside the join. So all links between different components of a bucket are looked at.
+A bucket of a band never yields all its pairs. It elects delegates, those members whose own buckets are fullest: in a
+group of near copies these are the texts nearest to its middle, so that whatever links with anything there links with them.
+Every member meets the first delegate. Pairs within one component need no look. Members that are still apart from their
+bucket's largest component meet all members of a bucket of at most SMALL; in a larger one they meet its DELEGATES and,
+in an order by further samples, the NEIGHBOURS before them among those apart. So candidates grow with the members, not with
+their square; in buckets of at most SMALL no pair is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import narrowed, saved
@@ -25,7 +27,10 @@ from chronofold.llm.graph import components
 from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
-#: Samples and bits of the sharper sketches for members of large mixed buckets.
+#: Members of a bucket up to which those apart meet them all; beyond: delegates and neighbours that one meets, members of
+#: one neighbourhood, and candidates of one pivot that one task compares.
+SMALL, DELEGATES, NEIGHBOURS, NEIGHBOURHOOD, AT_PIVOT = 64, 8, 8, 4096, 2000
+#: Samples and bits of the sharper sketches for members of mixed buckets.
 FINE_SAMPLES, FINE_BITS = 2048, 8192
 
 
@@ -132,21 +137,27 @@ class Links:
         return narrowed(self.docs.withColumnRenamed("doc_id", "node"), wanted, "node").join(wanted, "node", "left_semi").select("node", "text")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs(a, b) whose sets reach the threshold."""
+        """The pairs(a, b, salt) whose sets reach the threshold; a b with many pairs is copied once per salt."""
         side = self.nodes.select("node", "n_shingles", "sketch")
         left = side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
         right = side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.join(left, "a").join(right, "b")
+        near = pairs.join(left, "a").join(salted(right, pairs), ["b", "salt"])
         near = near.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).filter(estimate("sa", "sb") >= self.least)
-        near = saved(near.select("a", "b", "na", "nb"))
+        near = saved(near.select("a", "b", "salt", "na", "nb"))
         wanted = saved(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         sets = saved(sets_of(self.texts(wanted), self.width).dropDuplicates(["node"]))
         whole = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-        whole = whole.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+        whole = whole.join(salted(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), near), ["b", "salt"])
         common = F.size(F.array_intersect("ha", "hb"))
         return whole.filter(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def salted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows(b, ...) that pairs(b, salt) name, once for each salt up to the largest of their pairs."""
+    most = pairs.groupBy("b").agg(F.max("salt").alias("most"))
+    return rows.join(most, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), "most"))).drop("most")
+
+
 def with_component(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
     return df.join(labels.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(
         out, F.coalesce(out, node)
@@ -161,6 +172,49 @@ def joined(labels: DataFrame, links: Links, pairs: DataFrame) -> DataFrame:
     return saved(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)))
 
 
+def in_buckets(nodes: DataFrame) -> DataFrame:
+    """node, band, members (of the band's bucket) and two further band keys, for buckets of two members and more."""
+    rows = nodes.select("node", "bands", F.posexplode("bands").alias("k", "band"))
+    after = lambda n: F.get("bands", (F.col("k") + n) % BANDS)
+    rows = rows.select("node", "band", after(1).alias("next"), after(2).alias("third"))
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return saved(rows.join(sizes, "band"))
+
+
+def delegates(shared: DataFrame) -> DataFrame:
+    """band, pivot and delegates of each bucket: of members dealt to slots, the one of each slot whose buckets are fullest."""
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    rank = F.struct("weight", F.xxhash64("node").alias("tie"))
+    slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(DELEGATES))
+    by_slot = shared.join(weights, "node").groupBy("band", slot.alias("slot")).agg(F.max_by("node", rank).alias("node"), F.max(rank).alias("rank"))
+    return by_slot.groupBy("band").agg(F.max_by("node", "rank").alias("pivot"), F.collect_list("node").alias("delegates"))
+
+
+def among_hosts(split: DataFrame, links: Links) -> DataFrame:
+    """Pairs (a, b) of rows apart and hosts of one bucket that both sketches let pass; they are compared inside the join."""
+    fine = finely_sketched(links.texts(saved(split.select("node").distinct())), links.width).dropDuplicates(["node"])
+    rows = split.join(links.nodes.select("node", "n_shingles", "sketch"), "node").join(fine, "node")
+    rows = saved(rows.select("band", "node", "component", "apart", "host", "n_shingles", "sketch", "fine"))
+    side = lambda kept, x: rows.filter(kept).select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "apart", "host", "n_shingles", "sketch", "fine")])
+    x, y = side("apart", "x"), side("host", "y")
+    near = F.expr(f"x_component != y_component and (x_node < y_node or not (x_host and y_apart)) and 100 * least(x_n_shingles, y_n_shingles) >= {links.percent} * greatest(x_n_shingles, y_n_shingles)")
+    near = (x["band"] == y["band"]) & near & (estimate("x_sketch", "y_sketch") >= links.least)
+    near = near & (estimate("x_fine", "y_fine", FINE_SAMPLES, FINE_BITS) >= lowest(links.percent, FINE_SAMPLES))
+    return x.join(y, near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
+def among_neighbours(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows apart in large buckets, each with those just before it in the order of further band keys.
+
+    A neighbourhood holds about NEIGHBOURHOOD members at most, dealt by the next band key: near copies mostly share that.
+    """
+    rows = split.filter(f"apart and members > {SMALL}").withColumn("part", F.pmod(F.col("next"), F.expr(f"1 + members div {NEIGHBOURHOOD}")))
+    before = Window.partitionBy("band", "part").orderBy("next", "third", "node").rowsBetween(-NEIGHBOURS, -1)
+    rows = rows.select("node", "component", F.collect_list(F.struct("node", "component")).over(before).alias("others"))
+    rows = rows.select("node", "component", F.explode("others").alias("other"))
+    return rows.filter("component != other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups the rows of docs(doc_id, text) whose shingle sets are alike to at least `percent` per cent (Jaccard).
 
@@ -178,35 +232,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = some.join(classes.filter("node is not null"), ["d1", "d2"]).filter("doc_id = node")
     nodes = saved(nodes.select("node", "d1", "d2", "n_shingles", "bands", "sketch").dropDuplicates(["node", "d1", "d2"]))
     links = Links(docs, nodes, width, percent)
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    pivots = bands.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("pivot"), F.count(F.lit(1)).alias("members"))
-    pivots = pivots.filter("members > 1").select("band", "pivot")
-    shared = saved(bands.join(pivots, "band"))  # only bands with two members or more
-    pairs = saved(
-        shared.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    )
-    # First the pairs of a few slots by hash; those that they leave apart are looked at after.
-    first = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(8)) == 0)
-    labels = saved(components(links.confirmed(first)))
-    rest = with_component(with_component(pairs.join(first, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
-    labels = joined(labels, links, rest.filter("ca != cb").select("a", "b"))
-    # Members that are apart from their bucket's largest component, against the bucket: sketches are compared in the join,
-    # so that only pairs which they do not rule out come from it.
-    member = with_component(shared.select("node", "band"), labels, "node", "component")
+    shared = in_buckets(nodes)
+    elected = saved(delegates(shared))
+    pairs = shared.join(elected.select("band", "pivot"), "band").filter("node != pivot")
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("members").alias("members"))
+    salt = F.pmod(F.hash("a"), F.expr(f"cast(1 + members div {AT_PIVOT} as int)"))
+    labels = saved(components(links.confirmed(saved(pairs.select("a", "b", salt.alias("salt"))))))
+    # What is apart from its bucket's largest component.
+    member = with_component(shared, labels, "node", "component")
     sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    split = saved(member.join(top.filter("groups > 1").select("band", "top"), "band"))
-    inside = saved(split.select("node").distinct())
-    fine = finely_sketched(links.texts(inside), width).dropDuplicates(["node"])
-    split = split.join(nodes.select("node", "n_shingles", "sketch"), "node").join(fine, "node")
-    split = saved(split.select("band", "top", "node", "component", "n_shingles", "sketch", "fine"))
-    side = lambda rows, x: rows.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n_shingles", "sketch", "fine")])
-    apart, other = side(split.filter("component != top"), "x"), side(split, "y")
-    near = F.expr(f"x_component != y_component and 100 * least(x_n_shingles, y_n_shingles) >= {percent} * greatest(x_n_shingles, y_n_shingles)")
-    near = (apart["band"] == other["band"]) & near & (estimate("x_sketch", "y_sketch") >= links.least)
-    near = near & (estimate("x_fine", "y_fine", FINE_SAMPLES, FINE_BITS) >= lowest(percent, FINE_SAMPLES))
-    cross = apart.join(other, near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    labels = joined(labels, links, cross.join(pairs, ["a", "b"], "left_anti"))
+    split = member.join(top.filter("groups > 1").join(elected, "band").select("band", "top", "delegates"), "band")
+    split = split.withColumn("apart", F.col("component") != F.col("top")).withColumn("host", F.expr(f"members <= {SMALL} or array_contains(delegates, node)"))
+    split = saved(split.filter("apart or host").drop("delegates", "top"))
+    labels = joined(labels, links, among_hosts(split, links).unionByName(among_neighbours(split)).distinct().withColumn("salt", F.lit(0)))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
