@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,32 +65,29 @@ def git_blob_id(data: Column) -> Column:
     return F.sha1(F.concat(F.lit("blob ").cast("binary"), F.octet_length(b).cast("string").cast("binary"), F.lit(b"\x00"), b))
 
 
-def git_trees(files: DataFrame, most_depth: int = 32) -> DataFrame:
-    """dir ('' is the root) and tree_id of files(path, blob_id): directories from the deepest up, one job per depth.
+def git_trees(files: DataFrame) -> DataFrame:
+    """dir ('' is the root) and tree_id of files(path, blob_id): directories from the deepest up, one written table per depth.
 
-    A tree's entries go by name, directories as if their name ended in a slash.
+    A tree's entries go by name, directories as if their name ended in a slash. A directory's entries meet in one value, as
+    its id is the hash of them all.
     """
-    from chronofold.sources.log import depth_levels
-
-    levels = depth_levels(files, most_depth)
-    entries = files.select(
-        F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-        F.lit("100644").alias("mode"), F.col("blob_id").alias("oid"),
-    )
-    done = None
-    for depth in range(levels, -1, -1):
-        level = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-        here = entries.filter(level == depth)
+    from chronofold.sources.tables import stored
+
+    dir_of, name_of = F.regexp_replace("path", r"/?[^/]*$", ""), F.regexp_extract("path", r"([^/]*)$", 1)
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    leaves = files.select(dir_of.alias("dir"), name_of.alias("name"), F.lit("100644").alias("mode"), F.col("blob_id").alias("oid"))
+    leaves = stored(leaves.withColumn("depth", depth))
+    levels, below = [], None
+    for level in range(leaves.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here = leaves.filter(F.col("depth") == level).drop("depth")
+        if below is not None:
+            above = below.select(F.col("dir").alias("path"), F.lit("40000").alias("mode"), F.col("tree_id").alias("oid"))
+            here = here.unionByName(above.select(dir_of.alias("dir"), name_of.alias("name"), "mode", "oid"))
         line = F.hex(F.concat(F.concat_ws(" ", "mode", "name").cast("binary"), F.lit(b"\x00"), F.unhex("oid")))
         sort_name = F.when(F.col("mode") == "40000", F.concat("name", F.lit("/"))).otherwise(F.col("name"))
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(sort_name.alias("n"), line.alias("l")))), lambda e: e["l"]), "")
         trees = here.groupBy("dir").agg(F.unhex(body).alias("body"))
         header = F.concat(F.lit("tree ").cast("binary"), F.octet_length("body").cast("string").cast("binary"), F.lit(b"\x00"))
-        trees = trees.select("dir", F.sha1(F.concat(header, F.col("body"))).alias("tree_id"))
-        done = trees if done is None else done.unionByName(trees)
-        above = trees.filter("dir != ''").select(
-            F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), F.regexp_extract("dir", r"([^/]*)$", 1).alias("name"),
-            F.lit("40000").alias("mode"), F.col("tree_id").alias("oid"),
-        )
-        entries = entries.filter(level != depth).unionByName(above)
-    return done
+        below = stored(trees.select("dir", F.sha1(F.concat(header, F.col("body"))).alias("tree_id")))
+        levels.append(below)
+    return reduce(DataFrame.unionByName, levels)

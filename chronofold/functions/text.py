@@ -62,20 +62,26 @@ def ignored(path: Column, content: str, private: str = ".store") -> Column:
     return always | decided
 
 
+#: What the trimming of a line removes at both ends.
+SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\u000B]"
+
+
 def word_count(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")
+    """Runs of anything but white space."""
+    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{SPACE}+"))).cast("long")
 
 
 def line_count(text: Column) -> Column:
-    """Lines without trailing newlines."""
-    cut = F.regexp_replace(text, r"\n+$", "")
-    return F.when(cut == "", 0).otherwise(F.size(F.split(cut, "\n"))).cast("long")
+    """Lines without trailing newlines; an empty text has none, one of newlines only has one."""
+    return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n+$", ""), "\n", -1))).cast("long")
 
 
 def has_frontmatter(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    return (F.rtrim(lines[0]) == "---") & F.exists(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.rtrim(x) == "---")
+    """Does the text begin with a line `---` and hold another? Carriage returns and white space round a line do not count."""
+    lines = F.split(F.translate(text, "\r", ""), "\n", -1)
+    fence = lambda x: x.rlike(f"^{SPACE}*---{SPACE}*$")
+    return fence(lines[0]) & F.exists(F.slice(lines, F.lit(2), F.size(lines)), fence)
 
 
 LINK = r"\[(?:!\[[^\]]*\]\([^)]*\)|[^\]\[]*)\]\(([^)\s]+)[^)]*\)|!\[[^\]]*\]\(([^)\s]+)[^)]*\)"
@@ -88,13 +94,12 @@ def markdown_links(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "place", F.regexp_extract("link", r"\(([^()\s]+)[^()]*\)$", 1).alias("target"))
 
 
-#: Extension and language.
-LANGUAGES = {
-    "md": "markdown", "markdown": "markdown", "py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "json": "json",
-    "html": "html", "css": "css", "sql": "sql", "sh": "shell", "go": "go", "java": "java", "toml": "toml", "yaml": "yaml", "yml": "yaml",
-}
+#: The extensions that share another's language; any other extension is its own.
+SAME_LANGUAGE = {"js": "ts tsx js jsx mjs cjs", "sh": "sh bash zsh", "yaml": "yml yaml", "css": "css scss"}
 
 
 def lang_of(path: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(names[extension(path)], F.lit("text"))
+    """The language of a path's extension (ASCII letters and digits after the last dot), `txt` without one."""
+    end = F.lower(F.regexp_extract(path, r"(?s)\.([A-Za-z0-9]+)$", 1))
+    names = F.create_map(*[F.lit(x) for name, ends in SAME_LANGUAGE.items() for end_ in ends.split() for x in (end_, name)])
+    return F.when(end == "", "txt").otherwise(F.coalesce(names[end], end))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators.fold import key_of, states
+from chronofold.operators.fold import key_of, states, with_merged
 from chronofold.operators.paths import resolve_paths
 from chronofold.operators.sync import version_vector
-from chronofold.sources.schemas import BRANCH_RECORD, MAIN, META_KINDS
+from chronofold.sources.schemas import BRANCH_RECORD, MAIN
 from chronofold.sources.tables import stored
 
 
@@ -20,22 +20,25 @@ def with_main(branches: DataFrame) -> DataFrame:
     )
 
 
-def ancestry(branches: DataFrame, most_depth: int = 64) -> DataFrame:
+def ancestry(branches: DataFrame) -> DataFrame:
     """(target, depth, branch_id) of every branch's line of parents, itself at 0; a repeat or an unknown parent ends it.
 
-    The branch table is small; the loop joins it once per level and stops when no line grows.
+    The branch table is small. Lines double in each round: what is known of a branch's ancestors up to 2^k is joined to
+    the branch that stands 2^k above it, so that a line of any length takes a number of rounds that is its logarithm.
     """
     known = stored(with_main(branches).select("branch_id", "parent"))
-    line = known.select(F.col("branch_id").alias("target"), F.lit(0).alias("depth"), "branch_id", "parent", F.array("branch_id").alias("seen"))
-    done = line
-    nodes = known.select(F.col("branch_id").alias("b"), F.col("parent").alias("p"))
-    for depth in range(1, most_depth + 1):
-        line = line.join(nodes, line.parent == nodes.b).filter(~F.array_contains("seen", F.col("b")))
-        line = line.select("target", F.lit(depth).alias("depth"), F.col("b").alias("branch_id"), F.col("p").alias("parent"), F.concat("seen", F.array("b")).alias("seen"))
-        if line.isEmpty():
+    up = known.join(known.select(F.col("branch_id").alias("parent")), "parent", "left_semi").select(F.col("branch_id").alias("target"), F.lit(1).cast("long").alias("depth"), F.col("parent").alias("branch_id"))
+    lines = stored(known.select(F.col("branch_id").alias("target"), F.lit(0).cast("long").alias("depth"), "branch_id").unionByName(up))
+    reach, most = 1, known.count()
+    while reach < most:  # no line without a repeat is longer than there are branches
+        last = lines.filter(F.col("depth") == reach).select("target", F.col("branch_id").alias("at"))
+        more = lines.filter("depth > 0").select(F.col("target").alias("at"), F.col("depth").alias("step"), "branch_id")
+        more = stored(last.join(more, "at").select("target", (F.lit(reach) + F.col("step")).alias("depth"), "branch_id"))
+        if more.isEmpty():
             break
-        done = done.unionByName(line)
-    return stored(done.select("target", "depth", "branch_id"))
+        lines, reach = stored(lines.unionByName(more)), 2 * reach
+    # In a cycle a branch comes again and again: its first place counts.
+    return stored(lines.groupBy("target", "branch_id").agg(F.min("depth").cast("int").alias("depth")).select("target", "depth", "branch_id"))
 
 
 def visibility_caps(branches: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def visible_rows(log: DataFrame, branches: DataFrame, target: str | None = None)
     return log.join(own, "branch_id").unionByName(log.join(above, ["branch_id", "site_id"]).filter("seq <= cap").drop("cap"), allowMissingColumns=False)
 
 
-def branch_files(log: DataFrame, branches: DataFrame, target: str, blobs: DataFrame | None = None) -> DataFrame:
+def branch_files(log: DataFrame, branches: DataFrame, target: str, blobs: DataFrame) -> DataFrame:
     return resolve_paths(states(visible_rows(log, branches, target).drop("target"), blobs))
 
 
@@ -85,9 +88,9 @@ def nearest_live_ancestor(branches: DataFrame) -> DataFrame:
     return all_of.join(near, "target", "left").select(F.col("target").alias("branch_id"), F.coalesce("ancestor", F.lit(MAIN)).alias("ancestor"))
 
 
-def compare_branches(log: DataFrame, branches: DataFrame, a: str, b: str) -> DataFrame:
+def compare_branches(log: DataFrame, branches: DataFrame, a: str, b: str, blobs: DataFrame) -> DataFrame:
     """path and both hashes where the states of two branches differ."""
-    side = lambda x, out: branch_files(log, branches, x).filter("not deleted").select("path", F.col("result_hash").alias(out))
+    side = lambda x, out: branch_files(log, branches, x, blobs).filter("not deleted").select("path", F.col("result_hash").alias(out))
     return side(a, "hash_a").join(side(b, "hash_b"), "path", "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
@@ -101,16 +104,28 @@ def lanes(branches: DataFrame) -> DataFrame:
     return rows.select("branch_id", "parent", "fork_vv", "created_lamport", (F.row_number().over(order) - 1).alias("lane"))
 
 
-def settle_commits(log: DataFrame, gap: int = 3) -> DataFrame:
+def settle_commits(log: DataFrame, gap: int = 3, block: int = 1_000_000) -> DataFrame:
     """Commits of a branch: a row starts one when the site changes or lamport leaps by more than `gap`.
 
-    commit_id is the last row's id; label tells its path or the number of changes.
+    commit_id is the last row's id; label tells its path or the number of changes; commit counts from 1 in each branch.
+    A branch may hold most of the log: its rows are windowed in blocks of lamport, and blocks are joined by their ends.
     """
-    order = Window.partitionBy("branch_id").orderBy("lamport", "site_id", "id")
-    rows = log.filter("kind != 'branch'")
-    start = F.coalesce((F.lag("site_id").over(order) != F.col("site_id")) | (F.col("lamport") - F.lag("lamport").over(order) > gap), F.lit(True))
-    rows = rows.withColumn("commit", F.sum(start.cast("int")).over(order))
-    last = rows.groupBy("branch_id", "commit").agg(
+    part = [F.col("branch_id"), F.expr(f"lamport div {block}").alias("__block")]
+    rows = log.filter("kind != 'branch'").select("branch_id", part[1], "lamport", "site_id", "id", "ts", "path")
+    order = Window.partitionBy("branch_id", "__block").orderBy("lamport", "site_id", "id")
+    leap = (F.lag("site_id").over(order) != F.col("site_id")) | (F.col("lamport") - F.lag("lamport").over(order) > gap)
+    rows = rows.withColumn("__k", F.sum(F.coalesce(leap, F.lit(False)).cast("int")).over(order))
+    # Per block: how many commits start inside it, and whether its first row starts one after the block before.
+    ends = rows.groupBy("branch_id", "__block").agg(
+        F.max("__k").alias("inner"), F.min(key_of()).alias("first"), F.max(key_of()).alias("last"),
+    )
+    blocks = Window.partitionBy("branch_id").orderBy("__block")
+    before = F.lag("last").over(blocks)
+    fresh = F.coalesce((before["site_id"] != F.col("first.site_id")) | (F.col("first.lamport") - before["lamport"] > gap), F.lit(True)).cast("int")
+    ends = ends.withColumn("fresh", fresh)
+    base = F.sum(F.col("fresh") + F.col("inner")).over(blocks) - F.col("inner")
+    rows = rows.join(ends.select("branch_id", "__block", base.alias("__base")), ["branch_id", "__block"])
+    last = rows.groupBy("branch_id", (F.col("__base") + F.col("__k")).alias("commit")).agg(
         F.max_by("id", key_of()).alias("commit_id"), F.max_by("ts", key_of()).alias("ts"), F.max("lamport").alias("lamport"),
         F.max_by("site_id", key_of()).alias("site_id"),
         F.max_by("path", F.when(F.col("path").isNotNull(), key_of())).alias("path"), F.count(F.lit(1)).alias("n"),
@@ -131,10 +146,12 @@ def graph(log: DataFrame, branches: DataFrame, cap: int = 200, head: str = MAIN)
     A lane's first node left has the parent branch's commit at the fork point as parent: the last one up to it, else the last.
     """
     lane = lanes(branches)
-    newest = Window.partitionBy("branch_id").orderBy(F.desc("commit"))
     nodes = settle_commits(log).join(lane.select("branch_id", "lane"), "branch_id")
-    nodes = nodes.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= cap)
-    nodes = nodes.withColumn("before", F.lag("commit_id").over(Window.partitionBy("branch_id").orderBy("commit")))
+    top = nodes.groupBy("branch_id").agg(F.max("commit").alias("top"))
+    nodes = nodes.join(top, "branch_id").filter(F.col("commit") > F.col("top") - cap).drop("top")
+    # Commits are counted without gaps, so that the one before is found by its number.
+    previous = nodes.select("branch_id", (F.col("commit") + 1).alias("commit"), F.col("commit_id").alias("before"))
+    nodes = nodes.join(previous, ["branch_id", "commit"], "left")
     fork = F.greatest("created_lamport", F.coalesce(F.array_max(F.map_values("fork_vv")), F.lit(0)), F.lit(0))
     forks = lane.filter(f"branch_id != '{MAIN}'").select("branch_id", "parent", fork.alias("fork"))
     chain = nodes.select(F.col("branch_id").alias("parent"), F.col("commit_id").alias("c"), F.col("lamport").alias("l"), F.col("commit").alias("o"))
@@ -164,18 +181,38 @@ def tag_points(log: DataFrame, branches: DataFrame, requests: DataFrame) -> Data
 
 
 def merge_branches(log: DataFrame, branches: DataFrame, src: str, into: str, blobs: DataFrame) -> DataFrame:
-    """file_id and merged content where two branches changed a file since the fork: base is what both see of the rows."""
+    """file_id, path, action, have, want and content of what brings src's changes into a branch; have is into's content.
+
+    The base is what both see of the rows. Files that only src has are created, files that only src deleted are deleted,
+    files that both changed are merged; timetravel.author_rows() seals the result as rows.
+    """
     from chronofold.operators.merge import merge3
 
-    side = lambda rows: states(rows, blobs).filter("not deleted")
-    a, b = visible_rows(log, branches, into).drop("target"), visible_rows(log, branches, src).drop("target")
+    a, b = stored(visible_rows(log, branches, into).drop("target")), stored(visible_rows(log, branches, src).drop("target"))
     base = a.join(b.select("id"), "id", "left_semi")
-    named = [side(x).select("file_id", F.col("merge_class").alias(f"{n}_class"), F.col("result_hash").alias(n)) for n, x in (("base", base), ("ours", a), ("theirs", b))]
-    rows = named[1].join(named[2], "file_id").join(named[0], "file_id", "left").filter("not (ours <=> theirs)")
-    for n in ("base", "ours", "theirs"):
-        rows = rows.join(blobs.select(F.col("content_hash").alias(n), F.col("text").alias(f"{n}_text")), n, "left")
+    sides = [("base", base), ("ours", a), ("theirs", b)]
+    side = lambda n, x: states(x, blobs).filter("not deleted").select("file_id", F.col("path").alias(f"{n}_path"), F.col("merge_class").alias(f"{n}_class"), F.col("result_hash").alias(n))
+    named = [side(n, x) for n, x in sides]
+    rows = named[1].join(named[2], "file_id", "full_outer").join(named[0], "file_id", "left")
+    rows = stored(rows.filter("not (theirs <=> base) and not (theirs <=> ours)"))
+    one = rows.filter("ours <=> base").select(
+        "file_id", F.coalesce("ours_path", "theirs_path").alias("path"), F.when(F.col("theirs").isNull(), "delete").when(F.col("ours").isNull(), "create").otherwise("edit").alias("action"),
+        F.col("ours").alias("have"), F.col("theirs").alias("want"), F.lit(False).alias("conflict"),
+    )
+    # What one side deleted and the other changed keeps the change.
+    kept = rows.filter("not (ours <=> base) and ours is null").select(
+        "file_id", F.col("theirs_path").alias("path"), F.lit("create").alias("action"), F.col("ours").alias("have"), F.col("theirs").alias("want"), F.lit(True).alias("conflict")
+    )
+    both = rows.filter("not (ours <=> base) and ours is not null and theirs is not null")
+    texts = [with_merged(blobs, x).select(F.col("content_hash").alias(n), F.col("text").alias(f"{n}_text")).dropDuplicates([n]) for n, x in sides]
+    for (n, _), text in zip(sides, texts, strict=True):
+        both = both.join(text, n, "left")
     text = lambda n: F.coalesce(f"{n}_text", F.lit("")).alias(n)
-    return merge3(rows.select(F.col("file_id").alias("key"), F.col("ours_class").alias("merge_class"), text("base"), text("ours"), text("theirs"))).withColumnRenamed("key", "file_id")
+    done = merge3(both.select(F.col("file_id").alias("key"), F.col("ours_class").alias("merge_class"), text("base"), text("ours"), text("theirs")))
+    merged = both.select("file_id", F.col("ours_path").alias("path"), F.col("ours").alias("have")).join(done.withColumnRenamed("key", "file_id"), "file_id")
+    merged = merged.select("file_id", "path", F.lit("edit").alias("action"), "have", F.sha2("merged", 256).alias("want"), "conflict", F.col("merged").alias("content"))
+    plain = one.unionByName(kept).join(texts[2].withColumnRenamed("theirs", "want").withColumnRenamed("theirs_text", "content"), "want", "left")
+    return plain.select(*merged.columns).unionByName(merged)
 
 
 def dedup_branch_names(branches: DataFrame) -> DataFrame:
@@ -188,7 +225,3 @@ def dedup_branch_names(branches: DataFrame) -> DataFrame:
 
 def live_records(records: DataFrame) -> DataFrame:
     return records.filter("not coalesce(deleted, false)")
-
-
-def not_meta(log: DataFrame) -> DataFrame:
-    return log.filter(~F.col("kind").isin(*META_KINDS))

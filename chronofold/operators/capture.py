@@ -50,7 +50,13 @@ def dir_entities(empty_dirs: DataFrame, tracked: DataFrame, files: DataFrame, va
 
 
 def missing_deletes(files: DataFrame, host: DataFrame, warm: bool, rules: str = "") -> DataFrame:
-    """Paths known but absent from the host's listing; a cold replica or an empty listing deletes nothing."""
+    """Paths known but absent from the host's listing; a cold replica or an empty listing deletes nothing.
+
+    Of files(path, ...) with merge_class or deleted, directories and files that are deleted already are left out.
+    """
     if not warm or host.isEmpty():
         return files.select("path").limit(0)
+    for column, plain in (("merge_class", F.lit("dir")), ("deleted", F.lit(True))):
+        if column in files.columns:
+            files = files.filter(~F.col(column).eqNullSafe(plain))
     return files.filter(~ignored(F.col("path"), rules)).select("path").join(host.select("path"), "path", "left_anti")

@@ -6,14 +6,18 @@ stand on the current content fold by windows over hashes; only files with a stal
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronofold.operators.merge import merge_text
 from chronofold.sources.schemas import FILES, NO_FILE_KINDS
+from chronofold.sources.tables import stored
 
 
 def by_file() -> WindowSpec:
@@ -54,26 +58,37 @@ def causal_order(rows: list[tuple]) -> list[int]:
     return out + [i for i in sorted(range(len(rows)), key=lambda i: rows[i][0]) if i not in seen]
 
 
-def fold_order(log: DataFrame) -> DataFrame:
-    """file_id, id and position (from 1) of each row in its file's causal order."""
-    odd = out_of_order(log).select("file_id").distinct()
-    plain = log.join(odd, "file_id", "left_anti").select("file_id", "id", F.row_number().over(by_file()).cast("long").alias("position"))
+def ordered(log: DataFrame) -> DataFrame:
+    """log with rn, each row's place (from 1) in its file's causal order: by key, and parents before their children.
+
+    Only files that hold a parent with a larger key leave the window for a walk over their graph.
+    """
+    odd = stored(out_of_order(log).select("file_id").distinct())
+    if odd.isEmpty():
+        return log.withColumn("rn", F.row_number().over(by_file()))
+    plain = log.join(odd, "file_id", "left_anti").withColumn("rn", F.row_number().over(by_file()))
 
     def kahn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(zip(pdf.lamport, pdf.site_id, pdf.id), pdf.id, pdf.parent, strict=True))
         order = causal_order(rows)
-        return pd.DataFrame({"file_id": pdf.file_id.iloc[0], "id": [rows[i][1] for i in order], "position": range(1, len(rows) + 1)})
+        return pd.DataFrame({"file_id": pdf.file_id.iloc[0], "id": [rows[i][1] for i in order], "rn": range(1, len(rows) + 1)})
 
-    rest = log.join(odd, "file_id", "left_semi").select("file_id", "id", "lamport", "site_id", "parent")
-    return plain.unionByName(rest.groupBy("file_id").applyInPandas(kahn, "file_id string, id string, position long"))
+    rest = log.join(odd, "file_id", "left_semi")
+    places = rest.select("file_id", "id", "lamport", "site_id", "parent").groupBy("file_id").applyInPandas(kahn, "file_id string, id string, rn int")
+    return plain.unionByName(rest.join(places, ["file_id", "id"]).select(*plain.columns))
+
+
+def fold_order(log: DataFrame) -> DataFrame:
+    """file_id, id and position (from 1) of each row in its file's causal order."""
+    return ordered(log).select("file_id", "id", F.col("rn").cast("long").alias("position"))
 
 
 def effective(log: DataFrame) -> DataFrame:
-    """Rows that bear on their file's state, with rn, their place by key.
+    """Rows that bear on their file's state, with rn, their place in causal order.
 
     What comes before a file's last create is replaced by it; the first delete after that is final but for later deletes.
     """
-    rows = log.filter(~F.col("kind").isin(*NO_FILE_KINDS)).withColumn("rn", F.row_number().over(by_file()))
+    rows = ordered(log).filter(~F.col("kind").isin(*NO_FILE_KINDS))
     rows = rows.withColumn("created", F.max(F.when(F.col("kind") == "create", F.col("rn"))).over(Window.partitionBy("file_id")))
     rows = rows.filter("rn >= created")
     rows = rows.withColumn("ended", F.min(F.when(F.col("kind") == "delete", F.col("rn"))).over(Window.partitionBy("file_id")))
@@ -83,13 +98,17 @@ def effective(log: DataFrame) -> DataFrame:
 def with_stale(rows: DataFrame) -> DataFrame:
     """Adds stale: an edit whose base is not the content before it (null-safe)."""
     content = F.when(F.col("kind").isin("create", "edit"), F.struct("result_hash"))
-    before = F.last(content, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(content, ignorenulls=True).over(Window.partitionBy("file_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("stale", (F.col("kind") == "edit") & ~F.col("base_hash").eqNullSafe(before["result_hash"]))
 
 
 def fold_linear(log: DataFrame) -> DataFrame:
     """State per file by windows and arg-max: exact wherever needs_merge is false."""
-    rows = with_stale(effective(log))
+    return linear_states(with_stale(effective(log)))
+
+
+def linear_states(rows: DataFrame) -> DataFrame:
+    """fold_linear() of with_stale() rows."""
     last = lambda value, *kinds: F.max_by(value, F.when(F.col("kind").isin(*kinds), F.col("rn")))
     claim = F.struct("lamport", "site_id", "id")
     return rows.groupBy("file_id").agg(
@@ -102,77 +121,99 @@ def fold_linear(log: DataFrame) -> DataFrame:
 
 def needs_merge(log: DataFrame) -> DataFrame:
     """Files that hold an effective edit on a stale base."""
-    return fold_linear(log).filter("needs_merge").select("file_id")
+    return with_stale(effective(log)).groupBy("file_id").agg(F.max("stale").alias("stale")).filter("stale").select("file_id")
 
 
 CLAIM = "struct<lamport: bigint, site_id: string, id: string>"
 MERGED = f"{FILES}, claim {CLAIM}, content string"
 
 
+STEPS = "file_id string, rn int, kind string, lamport long, site_id string, id string, base_hash string, result_hash string, base_text string, result_text string, merge_class string, path string"
+STATE = pa.schema(
+    [
+        ("file_id", pa.string()), ("path", pa.string()), ("result_hash", pa.string()), ("merge_class", pa.string()), ("deleted", pa.bool_()), ("lamport", pa.int64()),
+        ("site_id", pa.string()), ("conflict", pa.bool_()), ("claim", pa.struct([("lamport", pa.int64()), ("site_id", pa.string()), ("id", pa.string())])), ("content", pa.string()),
+    ]
+)
+
+
+def after(state: dict | None, r: dict) -> dict:
+    """The state of a file after one more of its effective rows."""
+    key = {"lamport": r["lamport"], "site_id": r["site_id"], "id": r["id"]}
+    if r["kind"] == "create" or state is None:
+        state = {"path": r["path"], "result_hash": r["result_hash"], "merge_class": r["merge_class"], "deleted": False, "conflict": False, "claim": key}
+        state |= {"text": r["result_text"], "content": None}
+    elif r["kind"] == "edit" and r["base_hash"] == state["result_hash"]:
+        state |= {"result_hash": r["result_hash"], "text": r["result_text"], "content": None}
+    elif r["kind"] == "edit":
+        text, conflict = merge_text(state["merge_class"], r["base_text"] or "", state["text"] or "", r["result_text"] or "")
+        state |= {"result_hash": hashlib.sha256(text.encode()).hexdigest(), "text": text, "content": text, "conflict": state["conflict"] or conflict}
+    elif r["kind"] == "rename":
+        state |= {"path": r["path"], "claim": key}
+    elif r["kind"] == "reclass":
+        state |= {"merge_class": r["merge_class"]}
+    else:
+        state |= {"deleted": True}
+    return state | {"lamport": r["lamport"], "site_id": r["site_id"]}
+
+
 def fold_merge(log: DataFrame, blobs: DataFrame) -> DataFrame:
     """State per file of log, its stale edits merged on contents; `content` is set where a merge made a new one.
 
-    blobs(content_hash, text) gives the three sides; a missing one is empty. A file's rows meet in one task, as its state
-    is one sequence of merges; call it on the files that need it.
+    blobs(content_hash, text) gives the three sides; a missing one is empty. A file's rows are sorted to one task, as its
+    state is one sequence of merges, and stream through it one by one; call it on the files that need it.
     """
-    rows = effective(log)
+    return merged_rows(effective(log), blobs)
+
+
+def merged_rows(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """fold_merge() of effective() rows."""
     texts = blobs.select("content_hash", "text")
     for side in ("base", "result"):
         own = texts.select(F.col("content_hash").alias(f"{side}_hash"), F.col("text").alias(f"{side}_text"))
         rows = rows.join(own, f"{side}_hash", "left")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        pdf = pdf.sort_values("rn")
-        state: dict = {}
-        content: str | None = None
-        merged = False
-        for r in pdf.itertuples(index=False):
-            base, result = none(r.base_hash), none(r.result_hash)
-            if r.kind == "create":
-                state = {"path": none(r.path), "hash": result, "class": r.merge_class, "deleted": False, "conflict": False, "claim": (r.lamport, r.site_id, r.id)}
-                content, merged = none(r.result_text), False
-            elif r.kind == "edit":
-                if base == state["hash"]:
-                    state["hash"], content, merged = result, none(r.result_text), False
-                else:
-                    content, conflict = merge_text(state["class"], none(r.base_text) or "", content or "", none(r.result_text) or "")
-                    state["hash"], merged = hashlib.sha256(content.encode()).hexdigest(), True
-                    state["conflict"] |= conflict
-            elif r.kind == "rename":
-                state["path"], state["claim"] = none(r.path), (r.lamport, r.site_id, r.id)
-            elif r.kind == "reclass":
-                state["class"] = r.merge_class
-            else:
-                state["deleted"] = True
-            state["lamport"], state["site_id"] = r.lamport, r.site_id
-        claim = dict(zip(("lamport", "site_id", "id"), state["claim"], strict=True))
-        return pd.DataFrame(
-            [[pdf.file_id.iloc[0], state["path"], state["hash"], state["class"], state["deleted"], state["lamport"], state["site_id"], state["conflict"], claim, content if merged else None]],
-            columns=["file_id", "path", "result_hash", "merge_class", "deleted", "lamport", "site_id", "conflict", "claim", "content"],
-        )
-
-    keep = ["file_id", "rn", "kind", "lamport", "site_id", "id", "base_hash", "result_hash", "base_text", "result_text", "merge_class", "path"]
-    return rows.select(*keep).groupBy("file_id").applyInPandas(fold, MERGED)
-
-
-def none(x: object) -> object:
-    return None if x is None or x != x else x
-
-
-def states(log: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
-    """State per file with its path claim; files with stale bases are merged if blobs are given, else left at their last edit."""
-    linear = fold_linear(log)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict | None = None
+        done: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if state is not None and state["file_id"] != r["file_id"]:
+                    done.append(state)
+                    state = None
+                state = {"file_id": r["file_id"], **after(state, r)}
+            yield pa.RecordBatch.from_pylist(done, schema=STATE)
+            done = []
+        yield pa.RecordBatch.from_pylist([state] if state else [], schema=STATE)
+
+    steps = rows.select(*[x.split()[0] for x in STEPS.split(", ")])
+    return steps.repartition("file_id").sortWithinPartitions("file_id", "rn").mapInArrow(run, MERGED)
+
+
+def split_states(log: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The states of files that fold by windows, and those of files that merge; effective rows are written once for both."""
+    rows = stored(with_stale(effective(log)))
+    linear = linear_states(rows)
+    hard = rows.filter("stale").select("file_id").distinct()
+    plain = linear.filter("not needs_merge").withColumn("conflict", F.lit(False))
+    return plain, merged_rows(rows.join(hard, "file_id", "left_semi"), blobs)
+
+
+def states(log: DataFrame, blobs: DataFrame) -> DataFrame:
+    """State per file with its path claim; files with stale bases are merged on blobs(content_hash, text)."""
     columns = ["file_id", "path", "result_hash", "merge_class", "deleted", "lamport", "site_id", "conflict", "claim"]
-    if blobs is None:
-        return linear.withColumn("conflict", F.lit(False)).select(*columns)
-    plain = linear.filter("not needs_merge").withColumn("conflict", F.lit(False)).select(*columns)
-    hard = log.join(linear.filter("needs_merge").select("file_id"), "file_id", "left_semi")
-    return plain.unionByName(fold_merge(hard, blobs).select(*columns))
+    plain, merged = split_states(log, blobs)
+    return plain.select(*columns).unionByName(merged.select(*columns))
+
+
+def with_merged(blobs: DataFrame, log: DataFrame) -> DataFrame:
+    """blobs(content_hash, text) and the contents that merges of the log's files end with."""
+    made = stored(split_states(log, blobs)[1].select("result_hash", "content").filter("content is not null"))
+    made = made.select(F.col("result_hash").alias("content_hash"), F.col("content").alias("text"))
+    return blobs.select("content_hash", "text").unionByName(made.dropDuplicates(["content_hash"]).join(blobs, "content_hash", "left_anti"))
 
 
-def refold(held: DataFrame, log: DataFrame, touched: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+def refold(held: DataFrame, log: DataFrame, touched: DataFrame, blobs: DataFrame) -> DataFrame:
     """States after new rows: only touched(file_id) fold anew, the others are taken from held."""
     fresh = states(log.join(touched.select("file_id").distinct(), "file_id", "left_semi"), blobs)
     return held.join(touched.select("file_id").distinct(), "file_id", "left_anti").unionByName(fresh)

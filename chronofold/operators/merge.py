@@ -69,19 +69,23 @@ def merge3(triples: DataFrame) -> DataFrame:
     return native.unionByName(rest)
 
 
-def line_diff(df: DataFrame, before: str = "before", after: str = "after", context: int = 3) -> DataFrame:
-    """Adds line (first that differs, from 1), removed, added, and context lines on both sides; null line if none differs."""
-    rows = df.withColumn("__a", F.split(before, "\n", -1)).withColumn("__b", F.split(after, "\n", -1))
+def line_diff(df: DataFrame, before: str = "before", after: str = "after", context: int = 2) -> DataFrame:
+    """Adds line (the first that differs, from 1), removed, added, and context, the lines just before; 0 and none if equal.
+
+    An empty side has no lines; null counts as empty.
+    """
+    for side, text in (("a", before), ("b", after)):
+        df = df.withColumn(f"__{side}", F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1)))
     # The longest common prefix, then the longest common suffix of what is left.
     head = "coalesce(nullif(array_position(zip_with(__a, __b, (x, y) -> x <=> y), false), 0) - 1, least(size(__a), size(__b)))"
-    rows = rows.withColumn("__p", F.expr(f"cast({head} as int)"))
+    rows = df.withColumn("__p", F.expr(f"cast({head} as int)"))
     for side in ("a", "b"):
         rows = rows.withColumn(f"__{side}t", F.expr(f"reverse(slice(__{side}, __p + 1, greatest(size(__{side}) - __p, 0)))"))
     tail = "coalesce(nullif(array_position(zip_with(__at, __bt, (x, y) -> x <=> y), false), 0) - 1, least(size(__at), size(__bt)))"
     rows = rows.withColumn("__s", F.expr(f"cast({tail} as int)"))
     part = lambda side: F.expr(f"slice(__{side}, __p + 1, size(__{side}) - __p - __s)")
-    differs: Column = ~F.col(before).eqNullSafe(F.col(after))
-    rows = rows.withColumn("line", F.when(differs, F.col("__p") + 1)).withColumn("removed", part("a")).withColumn("added", part("b"))
-    rows = rows.withColumn("context_before", F.expr(f"slice(__a, greatest(__p - {context}, 0) + 1, least(__p, {context}))"))
-    rows = rows.withColumn("context_after", F.expr(f"slice(__a, size(__a) - __s + 1, least(__s, {context}))"))
+    differs: Column = F.coalesce(before, F.lit("")) != F.coalesce(after, F.lit(""))
+    rows = rows.withColumn("line", F.when(differs, F.col("__p") + 1).otherwise(0)).withColumn("removed", part("a")).withColumn("added", part("b"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("context", F.when(differs, F.expr(f"slice(__a, greatest(__p - {context}, 0) + 1, least(__p, {context}))")).otherwise(none))
     return rows.drop("__a", "__b", "__p", "__at", "__bt", "__s")

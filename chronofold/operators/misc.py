@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as arrow_type
+
+from chronofold.operators.sync import assign_counters
+from chronofold.sources.tables import stored
 
 
 def access_audit(keys: DataFrame, now: int, default_days: int = 30) -> DataFrame:
@@ -20,16 +31,55 @@ def put_embeddings(held: DataFrame, new: DataFrame) -> DataFrame:
     return held.join(keys, ["content_hash", "model_id"], "left_anti").unionByName(new)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, id and cosine similarity of the k nearest vectors(id, vector) to each of queries(query, vector).
+def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 500) -> DataFrame:
+    """query, id, cosine and rank of the k nearest vectors(id, vector) to each of queries(query, vector), itself left out.
 
-    Every query meets every vector, block by block of queries; partial top-k lists per partition keep the shuffle small.
+    Brute force: queries are numbered and taken in blocks of `block`, each broadcast by itself. A task folds its vectors
+    into lists of k for every query of the block, so that only k rows per query and task are shuffled; a block's result is
+    written before the next one starts. Similarities are compared to 12 decimals, ties go by id; a vector of length 0 has
+    no similarity (null) and comes last.
     """
-    norm = lambda v: f"sqrt(aggregate({v}, 0D, (s, x) -> s + x * x))"
-    both = vectors.select("id", F.col("vector").alias("v"), F.expr(norm("vector")).alias("vn")).join(
-        F.broadcast(queries.select("query", F.col("vector").alias("q"), F.expr(norm("vector")).alias("qn"))), F.col("id") != F.col("query")
-    )
-    cosine = F.expr("aggregate(zip_with(v, q, (x, y) -> cast(x as double) * y), 0D, (s, x) -> s + x) / nullif(vn * qn, 0D)")
-    rows = both.select("query", "id", cosine.alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    asked, ids = queries.schema["query"].dataType, vectors.schema["id"].dataType
+    kind = pa.schema([("query", arrow_type(asked)), ("id", arrow_type(ids)), ("cosine", pa.float64())])
+    numbered = stored(assign_counters(queries.select("query", "vector"), ["query"], 0, "n"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("cosine"), "id"))
+    blocks = []
+    for first in range(0, numbered.count(), block):
+        held = spark.sparkContext.broadcast(numbered.filter(f"n >= {first} and n < {first + block}").select("query", "vector").toPandas())
+        part = vectors.select("id", "vector").mapInArrow(nearest_in(held, k, kind), f"query {asked.simpleString()}, id {ids.simpleString()}, cosine double")
+        blocks.append(stored(part.withColumn("rank", rank).filter(F.col("rank") <= k)))
+    empty = spark.createDataFrame([], f"query {asked.simpleString()}, id {ids.simpleString()}, cosine double, rank int")
+    return reduce(DataFrame.unionByName, blocks, empty)
+
+
+def nearest_in(held: Broadcast, k: int, kind: pa.Schema, rows: int = 2000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k best vectors for every query of a broadcast block, `rows` vectors at a time."""
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["query", "cosine", "id"], ascending=[True, False, True]).groupby("query").head(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.value["query"].to_numpy()
+        q = unit(held.value["vector"].tolist())
+        found = []
+        for b in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            own = np.array(b.column(0).to_pylist())
+            place = np.argsort(own, kind="stable")
+            own = own[place]
+            cosine = np.nan_to_num(np.round(q @ unit(b.column(1).to_pylist())[place].T, 12), nan=-2.0)
+            cosine[names[:, None] == own[None, :]] = -3.0
+            top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+            part = pd.DataFrame({"query": np.repeat(names, top.shape[1]), "id": own[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()})
+            found = [best(pd.concat([*found, part[part.cosine > -3.0]]))]
+        for part in found:
+            yield pa.RecordBatch.from_pandas(part.assign(cosine=part.cosine.where(part.cosine > -2.0)), schema=kind, preserve_index=False)
+
+    return run
+
+
+def unit(vectors: list) -> np.ndarray:
+    """Vectors of length 1; one of zeros becomes NaN."""
+    rows = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.full_like(rows, np.nan), where=size > 0)

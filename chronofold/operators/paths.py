@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.sources.schemas import FILES
+from chronofold.sources.tables import stored
 
 #: A suffix goes before the last dot, unless that is the first character or a slash follows.
 EXTENSION = r"(?s)^.+?(\.[^./]*)$"
@@ -46,7 +47,7 @@ def resolve_paths(states: DataFrame) -> DataFrame:
     Tombstones come with a null hash. Live directories are one per path and give way to a file; deleted ones give no row.
     Families in which no path is claimed twice never leave the native plan.
     """
-    states = states.withColumn("path", F.coalesce("path", F.lit("")))
+    states = stored(states.withColumn("path", F.coalesce("path", F.lit(""))))  # read several times below; merges run once
     files = states.filter("merge_class != 'dir'")
     gone = files.filter("deleted").withColumn("result_hash", F.lit(None).cast("string"))
     live = files.filter("not deleted").withColumn("family", family(F.col("path")))
@@ -54,7 +55,7 @@ def resolve_paths(states: DataFrame) -> DataFrame:
     plain = live.join(crowded, "family", "left_anti").drop("family")
     fought = live.join(crowded, "family", "left_semi")
     won = fought.select("family", "file_id", "path", "claim").groupBy("family").applyInPandas(claimed, "file_id string, path string")
-    settled = plain.unionByName(fought.drop("family", "path").join(won, "file_id").select(*plain.columns))
+    settled = stored(plain.unionByName(fought.drop("family", "path").join(won, "file_id").select(*plain.columns)))
     first = Window.partitionBy("path").orderBy("claim", "file_id")
     dirs = states.filter("merge_class = 'dir' and not deleted").withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
     dirs = dirs.join(settled.select("path"), "path", "left_anti").withColumn("conflict", F.lit(False)).withColumn("result_hash", F.lit(None).cast("string"))

@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.ids import row_id
-from chronofold.operators.fold import effective, key_of, states
+from chronofold.operators.branches import visible_rows
+from chronofold.operators.fold import effective, key_of, states, with_merged
 from chronofold.operators.paths import resolve_paths
+from chronofold.operators.sync import assign_counters
+from chronofold.sources.schemas import MAIN, META_KINDS
+from chronofold.sources.tables import stored
 
 
 def as_of_filter(log: DataFrame, t: int) -> DataFrame:
     return log.filter(F.col("ts") <= t)
 
 
-def state_as_of(log: DataFrame, t: int, blobs: DataFrame | None = None) -> DataFrame:
-    """Live content files of the log up to t."""
-    files = resolve_paths(states(as_of_filter(log, t), blobs))
-    return files.filter("not deleted and merge_class != 'dir'").select("file_id", "path", "result_hash")
+def live_contents(log: DataFrame, blobs: DataFrame) -> DataFrame:
+    """file_id, path and result_hash of the log's live files that have contents, merges and path claims settled."""
+    files = resolve_paths(states(log, blobs))
+    return files.filter("not deleted and merge_class != 'dir' and result_hash is not null").select("file_id", "path", "result_hash")
+
+
+def state_as_of(log: DataFrame, t: int, blobs: DataFrame, branches: DataFrame, branch: str = MAIN) -> DataFrame:
+    """Live content files of what a branch sees of the log up to t."""
+    return live_contents(as_of_filter(visible_rows(log, branches, branch).drop("target"), t), blobs)
 
 
 def file_versions(log: DataFrame) -> DataFrame:
@@ -25,19 +34,33 @@ def file_versions(log: DataFrame) -> DataFrame:
 
     Exact where a file's ts do not fall in fold order; state_as_of() stays the definition.
     """
-    w = Window.partitionBy("file_id").orderBy("lamport", "site_id", "id")
+    w = Window.partitionBy("file_id").orderBy("rn")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = effective(log)
     content = F.last(F.when(F.col("kind").isin("create", "edit"), F.struct("result_hash")), True).over(upto)["result_hash"]
     path = F.last(F.when(F.col("kind").isin("create", "rename"), F.struct("path")), True).over(upto)["path"]
     gone = F.max(F.col("kind") == "delete").over(upto)
-    rows = rows.select("file_id", "ts", "lamport", "id", "site_id", content.alias("result_hash"), path.alias("path"), gone.alias("deleted"))
+    rows = rows.select("file_id", "ts", "rn", content.alias("result_hash"), path.alias("path"), gone.alias("deleted"))
     state = F.struct("result_hash", "path", "deleted")
     rows = rows.withColumn("same", F.lag(state).over(w).eqNullSafe(state)).filter("not same")
     return rows.select("file_id", "result_hash", "path", "deleted", F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
 
 
-def file_at(log: DataFrame, probes: DataFrame) -> DataFrame:
+def file_at(log: DataFrame, paths: DataFrame, t: int, blobs: DataFrame, branches: DataFrame, branch: str = MAIN) -> DataFrame:
+    """found, result_hash and content of paths(path) as a branch had them at t: an empty file is found, an absent one not.
+
+    The whole state is folded, as who owns a contended path depends on the others; contents are read for the paths only.
+    """
+    then = stored(as_of_filter(visible_rows(log, branches, branch).drop("target"), t))
+    files = resolve_paths(states(then, blobs)).filter("not deleted").select("path", "result_hash", F.lit(True).alias("found"))
+    hit = paths.select("path").distinct().join(files, "path", "left")
+    texts = with_merged(blobs, then).select(F.col("content_hash").alias("result_hash"), F.col("text").alias("content"))
+    out = hit.join(texts.dropDuplicates(["result_hash"]), "result_hash", "left")
+    found = F.coalesce("found", F.lit(False))
+    return out.select("path", found.alias("found"), "result_hash", F.when(found, F.coalesce("content", F.lit(""))).alias("content"))
+
+
+def versions_at(log: DataFrame, probes: DataFrame) -> DataFrame:
     """probes(path, t) with found and result_hash, for logs without contended paths: an interval join on the versions."""
     versions = file_versions(log).filter("not deleted").select("path", "result_hash", "valid_from", "valid_to", "file_id")
     hit = probes.join(versions, "path").filter("valid_from <= t and (valid_to is null or t < valid_to)")
@@ -52,8 +75,8 @@ def tree_hash(state: DataFrame) -> DataFrame:
     return state.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("tree_hash"), F.count(F.lit(1)).alias("files"))
 
 
-def snapshot(log: DataFrame, label: str, t: int) -> DataFrame:
-    return state_as_of(log, t).select(F.lit(label).alias("label"), "file_id", "path", "result_hash")
+def snapshot(log: DataFrame, label: str, t: int, blobs: DataFrame, branches: DataFrame, branch: str = MAIN) -> DataFrame:
+    return state_as_of(log, t, blobs, branches, branch).select(F.lit(label).alias("label"), "file_id", "path", "result_hash")
 
 
 def snapshot_by_label(snapshots: DataFrame) -> DataFrame:
@@ -70,43 +93,59 @@ def diff_states(current: DataFrame, desired: DataFrame) -> DataFrame:
     return both.select("path", action.alias("action"), "have", "want")
 
 
-def restore(log: DataFrame, t: int, now: int) -> DataFrame:
-    """What to author so that the state of t returns."""
-    return diff_states(state_as_of(log, now), state_as_of(log, t))
+def restore(log: DataFrame, desired: DataFrame, blobs: DataFrame, branches: DataFrame, site: str, ts: int, first_seq: int, first_lamport: int, branch: str = MAIN) -> DataFrame:
+    """Sealed rows that bring a branch to desired(path, result_hash), a past state or a snapshot: the log itself only grows."""
+    seen = stored(visible_rows(log, branches, branch).drop("target"))
+    now = stored(live_contents(seen, blobs))
+    changes = diff_states(now, desired).join(now.select("path", "file_id"), "path", "left")
+    fresh = F.sha2(F.concat(F.lit(f"{site}:{first_lamport}:"), "path"), 256)  # a path that no file has now gets a file of its own
+    return author_rows(seen, changes.withColumn("file_id", F.coalesce("file_id", fresh)), site, ts, first_seq, first_lamport, branch)
+
 
+def author_rows(log: DataFrame, changes: DataFrame, site: str, ts: int, first_seq: int, first_lamport: int, branch: str = MAIN) -> DataFrame:
+    """Sealed rows for changes(file_id, path, action, have, want): parent is the file's tip, base the content it has.
 
-def author_rows(log: DataFrame, changes: DataFrame, site: str, ts: int, first_seq: int, first_lamport: int) -> DataFrame:
-    """Sealed rows for changes(file_id, path, action, have, want): parent is the file's tip, base the content it has."""
-    tips = log.groupBy("file_id").agg(F.max_by("id", key_of()).alias("parent"), F.max_by("merge_class", key_of()).alias("merge_class"))
-    order = Window.partitionBy(F.lit(0)).orderBy("path")
-    rows = changes.filter("not (have <=> want)").join(tips, "file_id", "left").withColumn("k", F.row_number().over(order) - 1)
+    Changes that change nothing author nothing; rows are numbered by path over ranges, not in one task.
+    """
+    tips = log.filter(~F.col("kind").isin(*META_KINDS)).groupBy("file_id").agg(F.max_by("id", key_of()).alias("parent"), F.max_by("merge_class", key_of()).alias("merge_class"))
+    rows = changes.filter("not (have <=> want)").join(tips, "file_id", "left")
+    rows = assign_counters(rows, ["path", "file_id"], first_seq)
     rows = rows.select(
-        F.lit(site).alias("site_id"), (F.lit(first_lamport) + F.col("k")).cast("long").alias("lamport"), (F.lit(first_seq) + F.col("k")).cast("long").alias("seq"),
+        F.lit(site).alias("site_id"), (F.lit(first_lamport) + F.col("seq") - F.lit(first_seq)).cast("long").alias("lamport"), F.col("seq").cast("long").alias("seq"),
         F.lit(ts).cast("long").alias("ts"), "file_id", F.col("action").alias("kind"), F.coalesce("merge_class", F.lit("text")).alias("merge_class"), "parent",
         F.col("have").alias("base_hash"), F.col("want").alias("result_hash"), F.when(F.col("action") == "create", F.col("path")).alias("path"),
-        F.lit("main").alias("branch_id"), F.lit(None).cast("string").alias("merge_parent"),
+        F.lit(branch).alias("branch_id"), F.lit(None).cast("string").alias("merge_parent"),
     )
     return rows.withColumn("id", row_id())
 
 
-def state_at_tags(log: DataFrame, tags: DataFrame) -> DataFrame:
-    """(tag_id, file_id, result_hash, path) of live files at each tag's instant; folds are keyed by tag and file."""
-    rows = log.join(tags.select("tag_id", "at_ts"), F.col("ts") <= F.col("at_ts")).drop("at_ts")
-    keyed = rows.withColumn("file_id", F.concat("tag_id", F.lit("\0"), "file_id"))
-    done = states(keyed).filter("not deleted")
-    parts = F.split("file_id", "\0")
-    return done.select(parts[0].alias("tag_id"), parts[1].alias("file_id"), "result_hash", "path")
+def state_at_tags(log: DataFrame, tags: DataFrame, blobs: DataFrame, branches: DataFrame) -> DataFrame:
+    """(tag_id, file_id, path, result_hash) of the live files of each tag's branch at its instant.
+
+    A branch's rows meet the tags of that branch only; states are keyed by tag and file, paths are claimed per tag.
+    """
+    asked = tags.select("tag_id", F.col("branch_id").alias("target"), "at_ts")
+    rows = visible_rows(log, branches).join(asked, "target").filter("ts <= at_ts").drop("at_ts", "target")
+    keyed = rows.withColumn("file_id", F.concat("tag_id", F.lit("\0"), "file_id")).withColumn("path", F.concat("tag_id", F.lit("\0"), "path")).drop("tag_id")
+    done = live_contents(keyed, blobs)
+    part = lambda c, k: F.get(F.split(c, "\0"), F.lit(k))
+    return done.select(part("file_id", 0).alias("tag_id"), part("file_id", 1).alias("file_id"), part("path", 1).alias("path"), "result_hash")
 
 
-#: Bucket sizes in seconds.
-STEPS = (60, 300, 900, 1800, 3600, 7200, 21600, 43200, 86400, 172800, 604800, 2592000)
+#: Bucket sizes in seconds, from five minutes to 30 days.
+STEPS = (300, 900, 1800, 3600, 10800, 21600, 43200, 86400, 172800, 604800, 1209600, 2592000)
 
 
 def step_for(span: int, wanted: int = 6) -> int:
+    """The smallest step that needs at most `wanted` buckets for the span; else the largest."""
     return next((s for s in STEPS if span / s <= wanted), STEPS[-1])
 
 
-def activity(log: DataFrame, step: int) -> DataFrame:
+def activity(log: DataFrame, step: int | None = None) -> DataFrame:
+    """bucket, kind and n; without a step, the one that fits the log's own span."""
+    if step is None:
+        low, high = log.agg(F.min("ts"), F.max("ts")).first()
+        step = step_for((high or 0) - (low or 0))
     return log.groupBy((F.expr(f"ts div {step}") * step).alias("bucket"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,16 +156,16 @@ def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.min(F.struct("key", "only_in")).alias("m")).select("file_id", F.col("m.key.id").alias("id"), "m.only_in")
 
 
-def refold_with_tiebreak(log: DataFrame) -> DataFrame:
+def refold_with_tiebreak(log: DataFrame, blobs: DataFrame) -> DataFrame:
     """Files whose state changes if rows go by wall clock instead of lamport."""
-    a = states(log).select("file_id", F.col("result_hash").alias("by_lamport"))
-    b = states(log.withColumn("lamport", F.col("ts"))).select("file_id", F.col("result_hash").alias("by_clock"))
+    a = states(log, blobs).select("file_id", F.col("result_hash").alias("by_lamport"))
+    b = states(log.withColumn("lamport", F.col("ts")), blobs).select("file_id", F.col("result_hash").alias("by_clock"))
     return a.join(b, "file_id", "full_outer").filter("not (by_lamport <=> by_clock)")
 
 
 def blob_gc(blobs: DataFrame, log: DataFrame, horizon: int, snapshots: DataFrame | None = None) -> DataFrame:
-    """Contents that nothing needs: no live file, no row since the horizon, no snapshot."""
-    roots = states(log).filter("not deleted").select(F.col("result_hash").alias("content_hash"))
+    """Contents, merged ones too, that nothing needs: no live file, no row since the horizon, no snapshot."""
+    roots = states(log, blobs).filter("not deleted").select(F.col("result_hash").alias("content_hash"))
     recent = log.filter(F.col("ts") >= horizon).select(F.explode(F.array_compact(F.array("base_hash", "result_hash"))).alias("content_hash"))
     roots = roots.unionByName(recent)
     if snapshots is not None:

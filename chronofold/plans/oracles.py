@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.functions.text import CODE_EXTENSIONS, LANGUAGES
+from chronofold.functions.text import CODE_EXTENSIONS
 from chronofold.sources import fixtures as fx
 
 
@@ -10,14 +10,15 @@ def T(share: float) -> str:
     return f"(SELECT cast(floor(min(s) + (max(s) - min(s)) * {share}) AS bigint) FROM (SELECT cast(floor(epoch(ts)) AS bigint) AS s FROM events))"
 
 
-#: Common table expressions that oracles name.
+#: Common table expressions that oracles name. Every content of the fixture is one line, so a merge of texts gives the
+#: later one, and in code each merge wraps the content so far: st_ states both in SQL.
 FOLD = """
 r_{x} AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY lamport, site_id, id) AS rn FROM {x} WHERE kind NOT IN ('merge','branch','tag')),
 c_{x} AS (SELECT *, max(CASE WHEN kind = 'create' THEN rn END) OVER (PARTITION BY file_id) AS cr FROM r_{x}),
 d_{x} AS (SELECT *, min(CASE WHEN kind = 'delete' THEN rn END) OVER (PARTITION BY file_id) AS dr FROM c_{x} WHERE rn >= cr),
 k_{x} AS (SELECT * FROM d_{x} WHERE dr IS NULL OR rn <= dr OR kind = 'delete'),
 l_{x} AS (SELECT *, lag(result_hash) OVER (PARTITION BY file_id ORDER BY rn) AS prev FROM k_{x} WHERE kind IN ('create','edit')),
-st_{x} AS (SELECT file_id, arg_max(path, rn) FILTER (WHERE kind IN ('create','rename')) AS path,
+ln_{x} AS (SELECT file_id, arg_max(path, rn) FILTER (WHERE kind IN ('create','rename')) AS path,
   arg_max(result_hash, rn) FILTER (WHERE kind IN ('create','edit')) AS result_hash,
   arg_max(merge_class, rn) FILTER (WHERE kind IN ('create','reclass')) AS merge_class, bool_or(kind = 'delete') AS deleted,
   arg_max(lamport, rn) AS lamport, arg_max(site_id, rn) AS site_id,
@@ -25,9 +26,17 @@ st_{x} AS (SELECT file_id, arg_max(path, rn) FILTER (WHERE kind IN ('create','re
   arg_max({{'lamport': lamport, 'site_id': site_id, 'id': id}}, rn) FILTER (WHERE kind IN ('create','rename')) AS claim,
   bool_or(EXISTS (SELECT 1 FROM l_{x} l WHERE l.id = k.id AND l.file_id = k.file_id AND l.kind = 'edit' AND l.base_hash IS DISTINCT FROM l.prev)) AS needs_merge
   FROM k_{x} k GROUP BY file_id),
+e_{x} AS (SELECT *, last_value(CASE WHEN kind IN ('create','reclass') THEN merge_class END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cls,
+  regexp_extract(file_id, '[0-9]+$') || ':' || substr(id, 2) AS txt FROM k_{x}),
+f_{x} AS (SELECT e.*, e.kind = 'edit' AND e.base_hash IS DISTINCT FROM l.prev AS stale FROM e_{x} e JOIN l_{x} l ON l.id = e.id AND l.file_id = e.file_id),
+m_{x} AS (SELECT *, min(CASE WHEN stale AND cls = 'code' THEN rn END) OVER (PARTITION BY file_id) AS fm FROM f_{x}),
+n_{x} AS (SELECT file_id, bool_or(stale) AS conflict, min(fm) AS fm, arg_max(stale, rn) AS laststale, arg_max(txt, rn) AS lasttxt, arg_max(txt, rn) FILTER (rn < fm) AS c0, count(*) FILTER (rn >= fm) AS n,
+  string_agg('=======' || chr(10) || txt || chr(10) || '>>>>>>> B' || chr(10), '' ORDER BY rn) FILTER (rn >= fm) AS tail FROM m_{x} GROUP BY file_id),
+c2_{x} AS (SELECT *, CASE WHEN fm IS NULL THEN lasttxt ELSE repeat('<<<<<<< A' || chr(10), n) || c0 || chr(10) || tail END AS content FROM n_{x}),
+st_{x} AS (SELECT s.* EXCLUDE (result_hash), CASE WHEN fm IS NULL THEN s.result_hash ELSE sha256(content) END AS result_hash, coalesce(conflict, false) AS conflict, content, fm IS NOT NULL OR laststale AS made FROM ln_{x} s LEFT JOIN c2_{x} c ON c.file_id = s.file_id),
 p_{x} AS (SELECT *, CASE WHEN deleted THEN 1 ELSE row_number() OVER (PARTITION BY deleted, path ORDER BY claim.lamport, claim.site_id, claim.id, file_id) END AS k FROM st_{x}),
 res_{x} AS (SELECT file_id, CASE WHEN k = 1 THEN path ELSE concat(regexp_replace(path, '\\.[^./]*$', ''), ' (', k - 1, ')', regexp_extract(path, '\\.[^./]*$')) END AS path,
-  CASE WHEN deleted THEN NULL ELSE result_hash END AS result_hash, merge_class, deleted, lamport, site_id FROM p_{x})
+  CASE WHEN deleted THEN NULL ELSE result_hash END AS result_hash, merge_class, deleted, lamport, site_id, conflict, content FROM p_{x})
 """.replace("{{", "«").replace("}}", "»")
 
 SIMPLE = {
@@ -95,6 +104,19 @@ def capped(cap: int) -> dict[str, str]:
 GALL = {"allb": ALL_BRANCHES, **GRAPH}
 LOGB = ("log", "branches")
 REQ = f"SELECT * FROM (VALUES (0, 'main', {T(0.2)}), (1, 'b1', {T(0.5)}), (2, 'b2', {T(0.8)}), (3, 'b1', {T(1.0)})) v(request, branch_id, t)"
+VMAIN = "SELECT * EXCLUDE (target) FROM vis WHERE target = 'main'"
+VB1 = "SELECT * EXCLUDE (target) FROM vis WHERE target = 'b1'"
+
+
+def upto(share: float, of: str = "vmain") -> str:
+    return f"SELECT * FROM {of} WHERE ts <= {T(share)}"
+
+
+def parents(of: str) -> str:
+    """Every directory above the paths of a table."""
+    return f"SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS path FROM (SELECT path, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS n FROM {of})"
+
+
 ASOF = f"SELECT * FROM log WHERE ts <= {T(0.5)}"
 EXT = ", ".join(f"'{x}'" for x in CODE_EXTENSIONS)
 BASE3 = "'h1\nh2\nh3\n' || coalesce(text, '') || '\nt1\nt2\nt3\n'"
@@ -131,13 +153,11 @@ k AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN mtime - 1 ELSE mtime END AS mti
 SELECT coalesce(l.path, k.path) AS path, CASE WHEN l.path IS NULL THEN NULL ELSE sha256(l.text) END AS content_hash,
 CASE WHEN l.path IS NULL THEN 'vanished' WHEN l.mtime IS NOT DISTINCT FROM k.mtime AND l.size IS NOT DISTINCT FROM k.size THEN 'cached' ELSE 'hashed' END AS status
 FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path""",
-    "a03_read_log": oracle("SELECT * FROM log ORDER BY lamport, site_id, id", "log"),
+    "a03_read_log": oracle("SELECT id, file_id, lamport, kind, 'main' AS branch_id, cast(NULL AS varchar) AS merge_parent FROM log ORDER BY lamport, site_id, id", "log"),
     "a04_rows_for_files": oracle("SELECT id, file_id, kind FROM log WHERE file_id IN (SELECT file_id FROM log WHERE kind = 'delete')", "log"),
     "a05_meta_rows": oracle("SELECT id, file_id FROM meta WHERE kind = 'tag'", "meta"),
     "a06_append_log": oracle("SELECT id FROM log WHERE lamport % 3 = 1", "log"),
-    "a07_integrate": oracle(
-        "SELECT id, lamport AS position, lamport % 3 = 1 AS is_new FROM log UNION ALL SELECT id, lamport + 10000000, false FROM log WHERE lamport % 4 = 0", "log"
-    ),
+    "a07_integrate": oracle(f"SELECT sha256({ROW_ID}) AS id, lamport AS position, lamport % 3 = 1 AS is_new FROM log UNION ALL SELECT sha256({ROW_ID}), lamport + 10000000, false FROM log WHERE lamport % 4 = 0", "log"),
     "a08_put_blobs": "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
     "a09_get_blobs": oracle("SELECT * FROM blobs WHERE content_hash IN (SELECT result_hash FROM log WHERE kind = 'create')", "log", "blobs"),
     "a10_sync_files": oracle(
@@ -164,10 +184,10 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "b09_record_ids": oracle(f"SELECT id, sha256({fld('name')} || {num('at_ts')} || {fld('branch_id')} || {num('lamport')} || {fld('site_id')}) AS tag_id FROM trec", "meta", trec=TREC),
     "b11_as_of_filter": oracle(f"SELECT id FROM log WHERE ts <= {T(0.5)}", "log"),
     "b17_access_audit": "SELECT c_custkey AS key_id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 1000000 WHEN c_custkey % 5 = 0 THEN NULL ELSE ((500000000 + 30 * 86400) // 86400 + 1) * 86400 END AS expires_at, c_custkey % 5 = 0 AS never, c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR 500000000 < c_custkey * 1000000 AS valid FROM customer",
-    "b18_counts": "SELECT doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS bigint) AS words, cast(CASE WHEN rtrim(text, chr(10)) = '' THEN 0 ELSE len(string_split(rtrim(text, chr(10)), chr(10))) END AS bigint) AS lines FROM documents",
-    "b19_has_frontmatter": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN len(list_filter(string_split(text, chr(10)), lambda x: rtrim(x) = '---')) > 0 ELSE false END AS has_frontmatter FROM documents",
+    "b18_counts": "SELECT doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS bigint) AS words, cast(CASE WHEN text = '' THEN 0 ELSE len(string_split(rtrim(text, chr(10)), chr(10))) END AS bigint) AS lines FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN chr(10) || chr(10) ELSE text END AS text FROM documents)",
+    "b19_has_frontmatter": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text IS NOT NULL WHEN doc_id % 3 = 1 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '---')) > 0 ELSE false END AS has_frontmatter FROM documents",
     "b20_markdown_links": "SELECT page_id, cast(k AS bigint) AS place, CASE k WHEN 0 THEN url WHEN 1 THEN 'a/b.png' ELSE 't' || page_id END AS target FROM pages, (VALUES (0), (1), (2)) v(k)",
-    "b21_lang_of": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{LANGUAGES['py']}' WHEN 1 THEN '{LANGUAGES['md']}' WHEN 2 THEN 'text' ELSE '{LANGUAGES['rs']}' END AS lang FROM pages",
+    "b21_lang_of": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'py' WHEN 1 THEN 'js' WHEN 2 THEN 'zzz' WHEN 3 THEN 'sh' WHEN 4 THEN 'css' ELSE 'txt' END AS lang FROM pages",
     "b23_git_blob_oid": "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS oid FROM documents",
     "c01_missing_rows": oracle("SELECT id, log.site_id, seq FROM log LEFT JOIN (SELECT site_id, max(seq) // 2 AS s FROM log WHERE site_id <> 's4' GROUP BY 1) v ON v.site_id = log.site_id WHERE seq > coalesce(s, -1)", "log"),
     "c02_page_after": oracle("SELECT id, seq FROM log WHERE site_id = 's2' AND seq > 100 ORDER BY seq LIMIT 256", "log"),
@@ -212,40 +232,78 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     ),
     "f08_missing_deletes": oracle("SELECT path FROM o WHERE path NOT LIKE '%.log' AND path NOT IN (SELECT path FROM n)", o=OLD, n=NEW),
     "g01_fold_order": oracle("SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY lamport, site_id, id) AS position FROM log", "log"),
-    "g02_fold_linear": oracle("SELECT file_id, path, result_hash, merge_class, deleted, lamport, site_id, needs_merge FROM st_log", "log", fold=("log",)),
-    "g03_needs_merge": oracle("SELECT file_id FROM st_log WHERE needs_merge", "log", fold=("log",)),
+    "g02_fold_linear": oracle("SELECT file_id, path, result_hash, merge_class, deleted, lamport, site_id, needs_merge FROM ln_log", "log", fold=("log",)),
+    "g03_needs_merge": oracle("SELECT file_id FROM ln_log WHERE needs_merge", "log", fold=("log",)),
     "g05_merge3": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256('ours' || chr(10) || coalesce(text, '')) WHEN 1 THEN sha256(coalesce(text, '') || chr(10) || 'theirs') WHEN 2 THEN sha256(coalesce(text, '')) ELSE sha256('new' || chr(10)) END AS merged_hash, false AS conflict FROM documents",
     "g05_merge3_hunks": f"SELECT doc_id, sha256(regexp_replace(regexp_replace({BASE3}, '^h1\nh2', 'h1\nours'), 't2\nt3\n$', 'theirs\nt3\n')) AS merged_hash, false AS conflict FROM documents",
     "g06_resolve_paths": oracle("SELECT file_id, path, deleted, result_hash FROM res_log", "log", fold=("log",)),
     "g07_current_files_linear": oracle("SELECT file_id, path, result_hash, lamport FROM res_lin WHERE NOT deleted", "lin", fold=("lin",)),
-    "g08_refold": oracle("SELECT file_id, path, result_hash, deleted, lamport FROM st_log", "log", fold=("log",)),
-    "g10_line_diff": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN p + 1 WHEN 1 THEN len(string_split(t, chr(10))) + 1 END AS line, cast(0 AS bigint) AS n_removed, cast(CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS bigint) AS n_added, CASE doc_id % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'end' ELSE '' END AS added FROM (SELECT doc_id, coalesce(text, '') AS t, cast(0 AS bigint) AS p FROM documents)",
+    "g08_refold": oracle("SELECT file_id, path, result_hash, deleted, lamport, conflict FROM st_log", "log", fold=("log",)),
+    "g10_line_diff": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN t = '' THEN 1 ELSE len(l) + 1 END ELSE 0 END AS line, '' AS removed, CASE doc_id % 3 WHEN 0 THEN CASE WHEN t = '' THEN 'top|' ELSE 'top' END WHEN 1 THEN CASE WHEN t = '' THEN '|end' ELSE 'end' END ELSE '' END AS added, CASE WHEN doc_id % 3 = 1 AND t <> '' THEN array_to_string(list_slice(l, -2, -1), '|') ELSE '' END AS context FROM (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
     "h01_ancestry": oracle("SELECT target, cast(depth AS bigint) AS depth, branch_id FROM lines", "meta", brec=BREC, bl=BLWW, bm=BMAIN, lines=LINEAGE.replace("{b}", "bm")),
-    "h04_branch_files": oracle("SELECT file_id, deleted, lamport FROM st_v1", "branches", log=SIMPLE["lin"], **VIS, v1="SELECT * EXCLUDE (target) FROM vis WHERE target = 'b1'", fold=("v1",)),
+    "h04_branch_files": oracle("SELECT file_id, path, result_hash, deleted, lamport, conflict FROM res_v1", *LOGB, **VIS, v1=VB1, fold=("v1",)),
     "h05_fork_vectors": oracle("SELECT cast(r.request AS bigint) AS request, site_id, max(seq) AS seq FROM req r JOIN vis ON vis.target = r.branch_id AND vis.ts <= r.t GROUP BY 1, 2", *LOGB, **VIS, req=REQ),
     "h06_nearest_live_ancestor": oracle("SELECT b.branch_id, coalesce((SELECT arg_min(l.branch_id, l.depth) FROM lines l JOIN bm p ON p.branch_id = l.branch_id WHERE l.target = b.branch_id AND l.depth > 0 AND NOT p.deleted), 'main') AS ancestor FROM bm b", "meta", brec=BREC, bl=BLWW, bm=BMAIN, lines=LINEAGE.replace("{b}", "bm")),
     "h08_graph": oracle("SELECT commit_id, branch_id, lane, label, parent FROM nodes", *LOGB, **GALL, **capped(200)),
-    "h09_compare_branches": oracle("SELECT coalesce(a.path, b.path) AS path FROM (SELECT * FROM res_va WHERE NOT deleted) a FULL JOIN (SELECT * FROM res_vb WHERE NOT deleted) b ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash", "branches", log=SIMPLE["lin"], **VIS, va="SELECT * EXCLUDE (target) FROM vis WHERE target = 'main'", vb="SELECT * EXCLUDE (target) FROM vis WHERE target = 'b1'", fold=("va", "vb")),
-    "t01_state_as_of": oracle("SELECT file_id, path, result_hash FROM res_old WHERE NOT deleted", "log", old=ASOF, fold=("old",)),
-    "t02_file_at_missing": oracle("SELECT DISTINCT l.path, s.path IS NOT NULL AS present FROM log l LEFT JOIN (SELECT path FROM res_old WHERE NOT deleted) s ON s.path = l.path WHERE l.path IS NOT NULL", "log", old=ASOF, fold=("old",)),
-    "t03_snapshot": oracle("SELECT 'half' AS label, file_id, path, result_hash FROM res_old WHERE NOT deleted", "log", old=ASOF, fold=("old",)),
+    "h09_compare_branches": oracle("SELECT coalesce(a.path, b.path) AS path, a.result_hash AS hash_a, b.result_hash AS hash_b FROM (SELECT * FROM res_va WHERE NOT deleted) a FULL JOIN (SELECT * FROM res_vb WHERE NOT deleted) b ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash", *LOGB, **VIS, va=VMAIN, vb=VB1, fold=("va", "vb")),
+    "t01_state_as_of": oracle("SELECT file_id, path, result_hash FROM res_old WHERE NOT deleted", *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("old",)),
+    "t02_file_at_missing": oracle("SELECT DISTINCT l.path, s.path IS NOT NULL AS found, s.result_hash, s.content FROM log l LEFT JOIN (SELECT * FROM res_old WHERE NOT deleted) s ON s.path = l.path WHERE l.path IS NOT NULL", *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("old",)),
+    "t03_snapshot": oracle("SELECT 'half' AS label, file_id, path, result_hash FROM res_old WHERE NOT deleted", *LOGB, **VIS, vb=VB1, old=upto(0.5, "vb"), fold=("old",)),
     "t04_snapshot_by_label": oracle("SELECT 'l' || (lamport % 7) AS label, arg_max(id, lamport) AS snapshot_id FROM log WHERE kind = 'rename' GROUP BY 1", "log"),
-    "t05_restore": oracle("SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'create' WHEN b.path IS NULL THEN 'delete' ELSE 'edit' END AS action FROM (SELECT * FROM res_log WHERE NOT deleted) a FULL JOIN (SELECT * FROM res_old WHERE NOT deleted) b ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash", "log", old=ASOF, fold=("log", "old")),
+    "t05_restore": oracle(
+        f"SELECT c.kind, row_number() OVER (ORDER BY c.p, c.fid) - 1 AS seq, 1000000000 + row_number() OVER (ORDER BY c.p, c.fid) - 1 AS lamport, t.tip AS parent, c.have AS base_hash, c.want AS result_hash, CASE WHEN c.kind = 'create' THEN c.p END AS path, true AS valid FROM (SELECT coalesce(a.path, b.path) AS p, coalesce(a.file_id, '') AS fid, a.file_id AS f, a.result_hash AS have, b.result_hash AS want, CASE WHEN a.path IS NULL THEN 'create' WHEN b.path IS NULL THEN 'delete' ELSE 'edit' END AS kind FROM (SELECT * FROM res_vmain WHERE NOT deleted) a FULL JOIN (SELECT * FROM res_old WHERE NOT deleted) b ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash) c LEFT JOIN (SELECT file_id, arg_max(id, {KEY}) AS tip FROM vmain GROUP BY 1) t ON t.file_id = c.f",
+        *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("vmain", "old"),
+    ),
     "t07_file_versions": oracle(
         "SELECT file_id, result_hash, path, deleted, ts AS valid_from, lead(ts) OVER (PARTITION BY file_id ORDER BY rn) AS valid_to FROM (SELECT *, lag({'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted}) OVER (PARTITION BY file_id ORDER BY rn) IS DISTINCT FROM {'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted} AS fresh FROM (SELECT file_id, rn, ts, last_value(CASE WHEN kind IN ('create','edit') THEN result_hash END IGNORE NULLS) OVER w AS result_hash, last_value(CASE WHEN kind IN ('create','rename') THEN path END IGNORE NULLS) OVER w AS path, coalesce(bool_or(kind = 'delete') OVER w, false) AS deleted FROM k_lin WINDOW w AS (PARTITION BY file_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) WHERE fresh",
         "lin", fold=("lin",),
     ),
-    "t08_state_at_tags": oracle("SELECT split_part(file_id, '@', 1) AS tag_id, split_part(file_id, '@', 2) AS file_id, result_hash FROM st_x WHERE NOT deleted", "log", "meta", trec=TREC, tl=TLWW, x="SELECT l.* REPLACE (t.tag_id || '@' || l.file_id AS file_id) FROM log l JOIN tl t ON l.ts <= t.at_ts WHERE t.branch_id = 'main'", fold=("x",)),
-    "t09_activity": oracle("SELECT ts // 86400 * 86400 AS bucket, kind, count(*) AS n FROM log GROUP BY 1, 2", "log"),
+    "t08_state_at_tags": oracle(
+        "SELECT split_part(file_id, '@', 1) AS tag_id, split_part(file_id, '@', 2) AS file_id, split_part(path, '@', 2) AS path, result_hash FROM res_x WHERE NOT deleted",
+        "log", "branches", "meta", **VIS, trec=TREC, tl=TLWW, x="SELECT l.* EXCLUDE (target) REPLACE (t.tag_id || '@' || l.file_id AS file_id, t.tag_id || '@' || l.path AS path) FROM vis l JOIN tl t ON l.target = t.branch_id AND l.ts <= t.at_ts", fold=("x",),
+    ),
+    "t09_activity": oracle("SELECT ts // step * step AS bucket, kind, count(*) AS n FROM log, (SELECT coalesce(min(v), 2592000) AS step FROM (VALUES (300), (900), (1800), (3600), (10800), (21600), (43200), (86400), (172800), (604800), (1209600), (2592000)) s(v) WHERE v >= (SELECT max(ts) - min(ts) FROM log) / 6) GROUP BY 1, 2", "log"),
     "v01_put_embeddings": "SELECT cast(vec_id AS varchar) AS content_hash, round(cast(embedding[1] AS double) * CASE WHEN vec_id % 10 = 3 THEN 2 ELSE 1 END, 5) AS first FROM embeddings",
     "v02_search": "SELECT query, rank, id FROM (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::double[], q.embedding::double[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5",
     "v05_first_divergence": oracle(f"SELECT file_id, arg_min(id, {KEY}) AS id, arg_min(CASE WHEN lamport % 40 = 1 THEN 'a' ELSE 'b' END, {KEY}) AS only_in FROM log WHERE lamport % 40 IN (0, 1) GROUP BY 1", "log"),
-    "v06_blob_gc": oracle(f"SELECT content_hash FROM blobs WHERE content_hash NOT IN (SELECT result_hash FROM st_log WHERE NOT deleted UNION SELECT h FROM (SELECT base_hash AS h FROM log WHERE ts >= {T(0.7)} UNION SELECT result_hash FROM log WHERE ts >= {T(0.7)}) WHERE h IS NOT NULL UNION SELECT result_hash FROM st_old WHERE NOT deleted)", "log", "blobs", old=ASOF, fold=("log", "old")),
+    "v06_blob_gc": oracle(
+        f"SELECT content_hash FROM (SELECT content_hash FROM blobs UNION SELECT result_hash FROM st_log WHERE made) WHERE content_hash NOT IN (SELECT result_hash FROM st_log WHERE NOT deleted AND result_hash IS NOT NULL UNION SELECT h FROM (SELECT base_hash AS h FROM log WHERE ts >= {T(0.7)} UNION SELECT result_hash FROM log WHERE ts >= {T(0.7)}) WHERE h IS NOT NULL UNION SELECT result_hash FROM res_old WHERE NOT deleted)",
+        "log", "blobs", "branches", **VIS, vmain=VMAIN, old=upto(0.5), fold=("log", "old"),
+    ),
     "v07_dedup_branch_names": oracle("SELECT branch_id, CASE WHEN k = 1 THEN name ELSE name || ' (' || k || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_lamport, branch_id) AS k FROM bl)", "meta", brec=BREC, bl=BLWW),
-    "s01_stream_integrate": oracle("SELECT id, file_id FROM log", "log"),
-    "s02_stream_fold": oracle("SELECT file_id, path, result_hash, deleted, lamport FROM st_log", "log", fold=("log",)),
+    "s01_stream_integrate": oracle(f"SELECT sha256({ROW_ID}) AS id, file_id FROM log", "log"),
+    "s02_stream_fold": oracle("SELECT file_id, path, result_hash, deleted, lamport, conflict FROM st_log", "log", fold=("log",)),
     "s04_stream_version_vector": oracle("SELECT site_id, max(seq) AS seq FROM log GROUP BY 1", "log"),
     "s05_stream_status": oracle("SELECT count(*) AS rows, max(ts) AS last_ts, max(lamport) AS max_lamport FROM log", "log"),
     "s06_stream_activity": oracle("SELECT ts // 86400 * 86400 AS bucket, kind, count(*) AS n FROM log GROUP BY 1, 2", "log"),
     "s07_stream_records": oracle("SELECT branch_id, name, parent, created_lamport, deleted FROM bl", "meta", brec=BREC, bl=BLWW),
+    "a01_scan_tree": "SELECT 'lang=' || coalesce(lang, 'none') AS dir, cast(sum(strlen(coalesce(text, '')) + 1) AS bigint) AS bytes FROM documents WHERE coalesce(lang, 'none') <> 'de' GROUP BY 1",
+    "d13_tree_hash": oracle("SELECT sha256(string_agg(file_id || chr(0) || path || chr(0) || result_hash || chr(10), '' ORDER BY file_id || chr(0) || path)) AS tree_hash, count(*) AS files FROM res_old WHERE NOT deleted", *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("old",)),
+    "f07_dir_entities": oracle(
+        "SELECT path, 'create' AS action FROM (SELECT path || '/empty' AS path FROM pv) WHERE path NOT IN (SELECT path FROM po) AND path NOT IN (SELECT path FROM pv) UNION ALL SELECT path, 'delete' FROM po WHERE path IN (SELECT path FROM pn) OR path NOT IN (SELECT path || '/empty' FROM pv)",
+        o=OLD, n=NEW, v="SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)", po=parents("o"), pn=parents("n"), pv=parents("v"),
+    ),
+    "f09_author_rows": oracle(
+        f"SELECT c.file_id, 'edit' AS kind, row_number() OVER (ORDER BY c.path, c.file_id) - 1 AS seq, t.tip AS parent, c.have AS base_hash, c.want AS result_hash, true AS valid FROM (SELECT a.file_id, a.path, a.result_hash AS have, b.result_hash AS want FROM res_now a JOIN res_old b ON a.file_id = b.file_id WHERE NOT a.deleted AND NOT b.deleted AND a.result_hash IS DISTINCT FROM b.result_hash) c JOIN (SELECT file_id, arg_max(id, {KEY}) AS tip FROM vmain GROUP BY 1) t ON t.file_id = c.file_id",
+        *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), now=upto(1.0), fold=("old", "now"),
+    ),
+    "g04_fold_merge": oracle("SELECT file_id, path, result_hash, merge_class, deleted, lamport, site_id, conflict, CASE WHEN made THEN content END AS content FROM st_log", "log", fold=("log",)),
+    "g07_current_files": oracle("SELECT * EXCLUDE (content) FROM res_log", "log", fold=("log",)),
+    "g09_conflicts": oracle("SELECT file_id, path FROM st_log WHERE conflict", "log", fold=("log",)),
+    "h02_visibility_caps": oracle(
+        "SELECT l.target, l.branch_id, NULL AS site_id, NULL AS cap FROM lines l WHERE l.depth = 0 AND l.branch_id IN (SELECT branch_id FROM log) UNION ALL SELECT l.target, l.branch_id, 's' || i, min(b.cap) FROM lines l JOIN lines g ON g.target = l.target AND g.depth < l.depth JOIN allb b ON b.branch_id = g.branch_id, generate_series(0, 4) v(i) WHERE l.branch_id IN (SELECT branch_id FROM log) GROUP BY l.target, l.branch_id, l.depth, i HAVING count(b.cap) = l.depth",
+        *LOGB, **VIS,
+    ),
+    "t06_restore_files_at": oracle(
+        "SELECT b.path, CASE WHEN a.path IS NULL THEN 'create' ELSE 'edit' END AS action FROM (SELECT * FROM res_old WHERE NOT deleted AND path IN (SELECT path FROM log WHERE kind = 'rename')) b LEFT JOIN (SELECT * FROM res_now WHERE NOT deleted) a ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash",
+        *LOGB, **VIS, vmain=VMAIN, old=upto(0.4), now=upto(1.0), fold=("old", "now"),
+    ),
+    "t10_diff_versions": oracle(
+        "SELECT path, p + 1 AS line, array_to_string(list_slice(a, p + 1, len(a) - s), '|') AS removed, array_to_string(list_slice(b, p + 1, len(b) - s), '|') AS added FROM (SELECT *, coalesce(list_min(list_filter(generate_series(1, m - p), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, m - p) AS s FROM (SELECT *, coalesce(list_min(list_filter(generate_series(1, m), lambda i: a[i] <> b[i])) - 1, m) AS p FROM (SELECT path, a, b, least(len(a), len(b)) AS m FROM (SELECT x.path, string_split(x.content, chr(10)) AS a, string_split(y.content, chr(10)) AS b FROM res_old x JOIN res_now y ON x.path = y.path WHERE NOT x.deleted AND NOT y.deleted AND x.content <> y.content AND x.path IN (SELECT path FROM log WHERE path IS NOT NULL)))))",
+        *LOGB, **VIS, vmain=VMAIN, old=upto(0.3), now=upto(0.9), fold=("old", "now"),
+    ),
+    "v04_refold_with_tiebreak": oracle(
+        "SELECT coalesce(a.file_id, b.file_id) AS file_id, a.result_hash AS by_lamport, b.result_hash AS by_clock FROM st_late a FULL JOIN st_clock b ON a.file_id = b.file_id WHERE a.result_hash IS DISTINCT FROM b.result_hash",
+        "log", late="SELECT * REPLACE (CASE WHEN lamport % 9 = 0 THEN ts - 1000000 ELSE ts END AS ts) FROM log", clock="SELECT * REPLACE (ts AS lamport) FROM late", fold=("late", "clock"),
+    ),
 }

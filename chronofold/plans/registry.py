@@ -13,7 +13,7 @@ from chronofold.operators import capture, fold, merge, misc, paths, sync
 from chronofold.operators import timetravel as tt
 from chronofold.sources import fixtures as fx
 from chronofold.sources import log as src
-from chronofold.sources.tables import stored, table
+from chronofold.sources.tables import new_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +59,11 @@ def listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def a01_scan_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return src.scan_tree(spark, sf).select("path", "size")
+    root = new_folder(spark)
+    docs = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang").text(root)
+    found = src.scan_tree(spark, root, "lang=de/\n")
+    return found.groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("dir")).agg(F.sum("size").alias("bytes"))
 
 
 @query
@@ -73,7 +77,9 @@ def a02_changed_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a03_read_log(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.log(spark, sf).orderBy("lamport", "site_id", "id")
+    root = new_folder(spark)
+    src.write_log(fx.log(spark, sf).drop("branch_id"), root)
+    return src.read_log(spark, root).drop("is_meta").orderBy("lamport", "site_id", "id").select("id", "file_id", "lamport", "kind", "branch_id", "merge_parent")
 
 
 @query
@@ -95,9 +101,10 @@ def a06_append_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a07_integrate(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.log(spark, sf)
+    log = stored(sealed(spark, sf))
     twice = log.withColumn("position", F.col("lamport")).unionByName(log.filter("lamport % 4 = 0").withColumn("position", F.col("lamport") + 10_000_000))
-    return src.integrate(probe(log, 1, 3), twice, check_ids=False).select("id", "position", "is_new")
+    blobs = fx.blobs(spark, sf).select("content_hash", F.col("text").cast("binary").alias("bytes"))
+    return src.integrate(probe(log, 1, 3), twice, blobs).select("id", "position", "is_new")
 
 
 @query
@@ -113,19 +120,19 @@ def a09_get_blobs(spark: SparkSession, sf: str) -> DataFrame:
     return src.get_blobs(fx.blobs(spark, sf), wanted)
 
 
-def files_like(log: DataFrame) -> DataFrame:
-    return fold.states(log).select("file_id", "path", "result_hash", "deleted")
+def files_like(log: DataFrame, blobs: DataFrame) -> DataFrame:
+    return fold.states(log, blobs).select("file_id", "path", "result_hash", "deleted")
 
 
 @query
 def a10_sync_files(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.log(spark, sf)
-    return src.sync_files(files_like(log), files_like(tt.as_of_filter(log, at(spark, sf))))
+    log, blobs = fx.log(spark, sf), fx.blobs(spark, sf)
+    return src.sync_files(files_like(log, blobs), files_like(tt.as_of_filter(log, at(spark, sf)), blobs))
 
 
 @query
 def a11_replace_files(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(files_like(fx.log(spark, sf)))
+    return src.replace_files(files_like(fx.log(spark, sf), fx.blobs(spark, sf)), new_folder(spark))
 
 
 @query
@@ -135,8 +142,9 @@ def a12_export_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a13_import_state(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.log(spark, sf)
-    return src.import_state(probe(log, 0, 4), "v", log, "v").agg(F.count(F.lit(1)).alias("new_rows"))
+    log = stored(sealed(spark, sf))
+    blobs = fx.blobs(spark, sf).select("content_hash", F.col("text").cast("binary").alias("bytes"))
+    return src.import_state(probe(log, 0, 4), "v", log, "v", blobs).agg(F.count(F.lit(1)).alias("new_rows"))
 
 
 @query
@@ -180,12 +188,12 @@ def b02_in_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def b03_live_files(spark: SparkSession, sf: str) -> DataFrame:
-    return files_like(fx.log(spark, sf)).filter("not deleted").select("file_id", "path").orderBy("path")
+    return files_like(fx.log(spark, sf), fx.blobs(spark, sf)).filter("not deleted").select("file_id", "path").orderBy("path")
 
 
 @query
 def b04_live_file_by_path(spark: SparkSession, sf: str) -> DataFrame:
-    files = files_like(fx.log(spark, sf)).filter("not deleted")
+    files = files_like(fx.log(spark, sf), fx.blobs(spark, sf)).filter("not deleted")
     wanted = fx.log(spark, sf).filter("kind = 'rename'").select("path").distinct()
     return files.join(wanted, "path", "left_semi").select("path", "file_id")
 
@@ -237,13 +245,14 @@ def b17_access_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def b18_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.line_count(F.col("text")).alias("lines"))
+    body = F.when(F.col("doc_id") % 50 == 0, "\n\n").otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", text.word_count(body).alias("words"), text.line_count(body).alias("lines"))
 
 
 @query
 def b19_has_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntitle: x\n---\n"), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("---\n"), F.col("text"))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\r\ntitle: x\r\n --- \r\n"), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("---\n"), F.col("text"))).otherwise(F.col("text"))
     return docs.select("doc_id", text.has_frontmatter(body).alias("has_frontmatter"))
 
 
@@ -255,7 +264,7 @@ def b20_markdown_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def b21_lang_of(spark: SparkSession, sf: str) -> DataFrame:
-    path = F.concat(F.lit("p."), F.element_at(F.array(*[F.lit(x) for x in ("py", "MD", "zzz", "rs")]), (F.col("page_id") % 4 + 1).cast("int")))
+    path = F.concat(F.lit("p."), F.element_at(F.array(*[F.lit(x) for x in ("py", "TSX", "zzz", "bash", "scss", "")]), (F.col("page_id") % 6 + 1).cast("int")))
     return table(spark, sf, "pages").select("page_id", text.lang_of(path).alias("lang"))
 
 
@@ -302,7 +311,7 @@ def c05_infer_renames(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c06_content_of(spark: SparkSession, sf: str) -> DataFrame:
-    files = files_like(fx.linear_log(spark, sf)).filter("not deleted")
+    files = files_like(fx.linear_log(spark, sf), fx.blobs(spark, sf)).filter("not deleted")
     return files.join(fx.blobs(spark, sf), F.col("result_hash") == F.col("content_hash")).select("file_id", "text")
 
 
@@ -323,13 +332,13 @@ def c08_fork_edge(spark: SparkSession, sf: str) -> DataFrame:
 def c09_file_at(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.linear_log(spark, sf).withColumn("path", F.when(F.col("path").isNotNull(), F.concat("file_id", F.lit("/"), "path")))
     probes = log.filter("path is not null").select("path", F.lit(at(spark, sf, 0.4)).alias("t")).distinct()
-    return tt.file_at(log, probes)
+    return tt.versions_at(log, probes)
 
 
 @query
 def c10_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.log(spark, sf)
-    live = fold.states(log).filter("not deleted").select(F.col("result_hash").alias("content_hash"))
+    live = fold.states(log, fx.blobs(spark, sf)).filter("not deleted").select(F.col("result_hash").alias("content_hash"))
     return fx.blobs(spark, sf).join(live, "content_hash", "left_anti").select("content_hash")
 
 
@@ -346,7 +355,7 @@ def d02_visible_version_vector(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def d03_status(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.log(spark, sf)
-    return sync.status(log, fold.states(log))
+    return sync.status(log, fold.states(log, fx.blobs(spark, sf)))
 
 
 @query
@@ -403,7 +412,7 @@ def d12_dir_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def d13_tree_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.tree_hash(tt.state_as_of(fx.linear_log(spark, sf), at(spark, sf)))
+    return tt.tree_hash(main_at(spark, sf))
 
 
 @query
@@ -511,10 +520,10 @@ def f08_missing_deletes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def f09_author_rows(spark: SparkSession, sf: str) -> DataFrame:
-    log = stored(fx.linear_log(spark, sf))
-    now, then = tt.state_as_of(log, at(spark, sf, 1.0)), tt.state_as_of(log, at(spark, sf))
-    ids_of = now.select("path", "file_id").unionByName(then.select("path", "file_id")).groupBy("path").agg(F.max("file_id").alias("file_id"))
-    rows = tt.author_rows(log, tt.diff_states(now, then).join(ids_of, "path"), "s9", 0, 0, 1_000_000_000)
+    seen = stored(br.visible_rows(fx.log(spark, sf), fx.branches(spark), "main").drop("target"))
+    now, then = main_at(spark, sf, 1.0), main_at(spark, sf)
+    changes = now.select("file_id", "path", F.col("result_hash").alias("have")).join(then.select("file_id", F.col("result_hash").alias("want")), "file_id")
+    rows = tt.author_rows(seen, changes.withColumn("action", F.lit("edit")), "s9", 0, 0, 1_000_000_000)
     return rows.withColumn("valid", ids.id_valid()).select("file_id", "kind", "seq", "parent", "base_hash", "result_hash", "valid")
 
 
@@ -566,7 +575,7 @@ def g05_merge3_hunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def g06_resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.resolve_paths(fold.states(fx.log(spark, sf))).select("file_id", "path", "deleted", "result_hash")
+    return paths.resolve_paths(fold.states(fx.log(spark, sf), fx.blobs(spark, sf))).select("file_id", "path", "deleted", "result_hash")
 
 
 @query
@@ -581,10 +590,10 @@ def g07_current_files_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def g08_refold(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.log(spark, sf)
+    log, blobs = fx.log(spark, sf), fx.blobs(spark, sf)
     t = at(spark, sf, 0.9)
-    held = fold.states(tt.as_of_filter(log, t))
-    return fold.refold(held, log, log.filter(F.col("ts") > t)).select("file_id", "path", "result_hash", "deleted", "lamport")
+    held = fold.states(tt.as_of_filter(log, t), blobs)
+    return fold.refold(held, log, log.filter(F.col("ts") > t), blobs).select("file_id", "path", "result_hash", "deleted", "lamport", "conflict")
 
 
 @query
@@ -597,7 +606,7 @@ def g10_line_diff(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
     after = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("top\n"), F.col("before"))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("before"), F.lit("\nend"))).otherwise(F.col("before"))
     rows = merge.line_diff(docs.withColumn("after", after))
-    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.size("removed").cast("long").alias("n_removed"), F.size("added").cast("long").alias("n_added"), F.array_join("added", "\n").alias("added"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("removed", "|").alias("removed"), F.array_join("added", "|").alias("added"), F.array_join("context", "|").alias("context"))
 
 
 # --- branches, time travel -----------------------------------------------------------------------------------------------------
@@ -617,7 +626,7 @@ def h02_visibility_caps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def h04_branch_files(spark: SparkSession, sf: str) -> DataFrame:
-    return br.branch_files(fx.linear_log(spark, sf), fx.branches(spark), "b1").select("file_id", "deleted", "lamport")
+    return br.branch_files(fx.log(spark, sf), fx.branches(spark), "b1", fx.blobs(spark, sf)).select("file_id", "path", "result_hash", "deleted", "lamport", "conflict")
 
 
 @query
@@ -637,25 +646,29 @@ def h08_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def h09_compare_branches(spark: SparkSession, sf: str) -> DataFrame:
-    return br.compare_branches(stored(fx.linear_log(spark, sf)), fx.branches(spark), "main", "b1").select("path")
+    return br.compare_branches(stored(fx.log(spark, sf)), fx.branches(spark), "main", "b1", fx.blobs(spark, sf))
+
+
+def main_at(spark: SparkSession, sf: str, share: float = 0.5) -> DataFrame:
+    """The live files of the main branch at a share of the log's span."""
+    return tt.state_as_of(fx.log(spark, sf), at(spark, sf, share), fx.blobs(spark, sf), fx.branches(spark))
 
 
 @query
 def t01_state_as_of(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.state_as_of(fx.log(spark, sf), at(spark, sf))
+    return main_at(spark, sf)
 
 
 @query
 def t02_file_at_missing(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.log(spark, sf)
-    wanted = log.filter("path is not null").select("path").distinct()
-    state = tt.state_as_of(log, at(spark, sf)).select("path", F.lit(True).alias("present"))
-    return wanted.join(state, "path", "left").select("path", F.coalesce("present", F.lit(False)).alias("present"))
+    wanted = log.filter("path is not null").select("path")
+    return tt.file_at(log, wanted, at(spark, sf), fx.blobs(spark, sf), fx.branches(spark))
 
 
 @query
 def t03_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.snapshot(fx.log(spark, sf), "half", at(spark, sf))
+    return tt.snapshot(fx.log(spark, sf), "half", at(spark, sf), fx.blobs(spark, sf), fx.branches(spark), "b1")
 
 
 @query
@@ -666,15 +679,17 @@ def t04_snapshot_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t05_restore(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.restore(stored(fx.log(spark, sf)), at(spark, sf), at(spark, sf, 1.0)).select("path", "action")
+    log, blobs, branches = stored(fx.log(spark, sf)), fx.blobs(spark, sf), fx.branches(spark)
+    rows = tt.restore(log, main_at(spark, sf), blobs, branches, "s9", 0, 0, 1_000_000_000)
+    return rows.withColumn("valid", ids.id_valid()).select("kind", "seq", "lamport", "parent", "base_hash", "result_hash", "path", "valid")
 
 
 @query
 def t06_restore_files_at(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.linear_log(spark, sf).withColumn("path", F.when(F.col("path").isNotNull(), F.concat("file_id", F.lit("/"), "path")))
-    probes = log.filter("path is not null").select("path", F.lit(at(spark, sf, 0.4)).alias("t")).distinct()
-    old = tt.file_at(log, probes).filter("found").select("path", "result_hash")
-    now = tt.state_as_of(log, at(spark, sf, 1.0)).select("path", "result_hash")
+    log = stored(fx.log(spark, sf))
+    asked = log.filter("kind = 'rename'").select("path")
+    old = tt.file_at(log, asked, at(spark, sf, 0.4), fx.blobs(spark, sf), fx.branches(spark)).filter("found").select("path", "result_hash")
+    now = main_at(spark, sf, 1.0).select("path", "result_hash")
     return tt.diff_states(now.join(old, "path", "left_semi"), old).select("path", "action")
 
 
@@ -685,21 +700,22 @@ def t07_file_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t08_state_at_tags(spark: SparkSession, sf: str) -> DataFrame:
-    tags = sync.reconciled(src.decode_records(fx.meta(spark, sf), "tag"), "tag").filter("branch_id = 'main'")
-    return tt.state_at_tags(fx.log(spark, sf), tags).select("tag_id", "file_id", "result_hash")
+    tags = br.live_records(sync.reconciled(src.decode_records(fx.meta(spark, sf), "tag"), "tag"))
+    return tt.state_at_tags(fx.log(spark, sf), tags, fx.blobs(spark, sf), fx.branches(spark))
 
 
 @query
 def t09_activity(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.activity(fx.log(spark, sf), 86_400)
+    return tt.activity(fx.log(spark, sf))
 
 
 @query
 def t10_diff_versions(spark: SparkSession, sf: str) -> DataFrame:
-    log, blobs = fx.linear_log(spark, sf), fx.blobs(spark, sf)
-    side = lambda t, n: tt.state_as_of(log, t).join(blobs, F.col("result_hash") == F.col("content_hash")).select("file_id", F.col("text").alias(n))
-    rows = side(at(spark, sf, 0.3), "before").join(side(at(spark, sf, 0.9), "after"), "file_id")
-    return merge.line_diff(rows).filter("line is not null").select("file_id", F.array_join("removed", "|").alias("removed"), F.array_join("added", "|").alias("added"))
+    log = fx.log(spark, sf)
+    asked = log.filter("path is not null").select("path").distinct()
+    side = lambda share, n: tt.file_at(log, asked, at(spark, sf, share), fx.blobs(spark, sf), fx.branches(spark)).filter("found").select("path", F.col("content").alias(n))
+    rows = merge.line_diff(side(0.3, "before").join(side(0.9, "after"), "path"))
+    return rows.filter("line > 0").select("path", F.col("line").cast("long").alias("line"), F.array_join("removed", "|").alias("removed"), F.array_join("added", "|").alias("added"))
 
 
 # --- vectors and declared work ----------------------------------------------------------------------------------------------------
@@ -721,13 +737,14 @@ def v02_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def v03_merge_branches(spark: SparkSession, sf: str) -> DataFrame:
-    return br.merge_branches(stored(fx.log(spark, sf)), fx.branches(spark), "b1", "main", fx.blobs(spark, sf))
+    done = br.merge_branches(stored(fx.log(spark, sf)), fx.branches(spark), "b1", "main", fx.blobs(spark, sf))
+    return done.select("file_id", "path", "action", "have", "want", "conflict")
 
 
 @query
 def v04_refold_with_tiebreak(spark: SparkSession, sf: str) -> DataFrame:
     late = fx.log(spark, sf).withColumn("ts", F.when(F.col("lamport") % 9 == 0, F.col("ts") - 1_000_000).otherwise(F.col("ts")))
-    return tt.refold_with_tiebreak(late)
+    return tt.refold_with_tiebreak(late, fx.blobs(spark, sf))
 
 
 @query
@@ -738,7 +755,8 @@ def v05_first_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def v06_blob_gc(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.blob_gc(fx.blobs(spark, sf), fx.log(spark, sf), at(spark, sf, 0.7), tt.snapshot(fx.log(spark, sf), "half", at(spark, sf)))
+    blobs = fold.with_merged(fx.blobs(spark, sf), fx.log(spark, sf))
+    return tt.blob_gc(stored(blobs), fx.log(spark, sf), at(spark, sf, 0.7), main_at(spark, sf).withColumn("label", F.lit("half")))
 
 
 @query

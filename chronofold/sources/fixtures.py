@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronofold.sources.tables import stored
+
 LOG = """
 SELECT h.id, concat('s', cast(h.event_id % 5 AS string)) AS site_id, h.event_id + 1 AS lamport, h.seq,
        h.tsec AS ts, concat('f', cast(h.user_id AS string)) AS file_id, h.kind,
@@ -98,15 +100,15 @@ def derived(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, LOG)
+    return stored(derived(spark, sf_dir, LOG))
 
 
 def linear_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, LINEAR_LOG)
+    return stored(derived(spark, sf_dir, LINEAR_LOG))
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, BLOBS)
+    return stored(derived(spark, sf_dir, BLOBS))
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:

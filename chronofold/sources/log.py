@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.ids import blob_valid, content_hash, id_valid
-from chronofold.sources.schemas import BRANCH_RECORD, LOG, META_KINDS, TAG_RECORD
+from chronofold.functions.text import ignored
+from chronofold.sources.schemas import BRANCH_RECORD, MAIN, META_KINDS, TAG_RECORD
+
 
+def scan_tree(spark: SparkSession, root: str, rules: str = "", private: str = ".store") -> DataFrame:
+    """path (below root), modified and size of every file in scope; contents are not read.
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), modified and size of every file; contents are not read."""
+    Spark's reader leaves out names that begin with a dot or an underscore.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
     base = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.regexp_extract("path", rf"/{base}/(.*)$", 1)
-    return rows.select(below.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    below = F.regexp_extract("path", rf"/{re.escape(base)}/(.*)$", 1)
+    rows = rows.select(below.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return in_scope(rows, rules, private)
+
+
+def in_scope(listing: DataFrame, rules: str = "", private: str = ".store") -> DataFrame:
+    """The rows of listing(path, ...) that the scope rules leave."""
+    return listing.filter(~ignored(F.col("path"), rules, private))
 
 
 def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:
@@ -67,11 +79,23 @@ def new_rows(held: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(["id"]).join(held.select("id"), "id", "left_anti")
 
 
-def integrate(held: DataFrame, incoming: DataFrame, check_ids: bool = True) -> DataFrame:
-    """incoming(position, ...) with is_new: not held, and the first of its id in the batch. Bad ids fail the job."""
-    rows = incoming
-    if check_ids:
-        rows = rows.withColumn("id", F.when(id_valid(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("row id does not match: "), F.col("id")))))
+def checked(rows: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """rows, failing the job where an id does not match its fields or blobs(content_hash, bytes) has a content not its hash's."""
+    seen = F.when(id_valid(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("row id does not match: "), F.coalesce("id", F.lit("null")))))
+    rows = rows.withColumn("id", seen)
+    if blobs is not None:
+        bad = blobs.filter(~blob_valid()).agg(F.min("content_hash").alias("__bad"))  # one row
+        fine = F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("content does not match: "), F.col("__bad")))).otherwise(F.col("id"))
+        rows = rows.crossJoin(F.broadcast(bad)).withColumn("id", fine).drop("__bad")
+    return rows
+
+
+def integrate(held: DataFrame, incoming: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """incoming(position, ...) with is_new: not held, and the first of its id in the batch.
+
+    A row whose id is not its fields' hash, or a content of blobs(content_hash, bytes) that is not its hash's, fails the job.
+    """
+    rows = checked(incoming, blobs)
     first = Window.partitionBy("id").orderBy("position")
     rows = rows.withColumn("__k", F.row_number().over(first))
     mine = held.select("id").distinct().withColumn("__held", F.lit(True))
@@ -89,8 +113,10 @@ def get_blobs(blobs: DataFrame, hashes: DataFrame) -> DataFrame:
     return blobs.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
-def bad_blobs(blobs: DataFrame) -> DataFrame:
-    return blobs.filter(~blob_valid()).select("content_hash")
+def replace_files(files: DataFrame, path: str) -> DataFrame:
+    """Overwrites the table of files at path and reads it back."""
+    files.write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.schema(files.schema).parquet(path)
 
 
 def sync_files(new: DataFrame, old: DataFrame, key: str = "file_id") -> DataFrame:
@@ -117,11 +143,11 @@ def export_state(log: DataFrame, blobs: DataFrame, path: str | None = None) -> t
     return log, needed
 
 
-def import_state(held: DataFrame, vault: str, incoming: DataFrame, incoming_vault: str) -> DataFrame:
-    """New rows of an exported log; another vault's is refused."""
+def import_state(held: DataFrame, vault: str, incoming: DataFrame, incoming_vault: str, blobs: DataFrame | None = None) -> DataFrame:
+    """New rows of an exported log, ids and contents checked; another vault's is refused. A second import adds nothing."""
     if vault != incoming_vault:
         raise ValueError(f"state of vault {incoming_vault!r}, not {vault!r}")
-    return new_rows(held, incoming)
+    return new_rows(held, checked(incoming, blobs))
 
 
 def bundle_wire(log: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -141,18 +167,10 @@ def shipped_once(log: DataFrame) -> DataFrame:
 
 
 def decode_records(meta: DataFrame, kind: str) -> DataFrame:
-    """Readable records of meta(..., record) of one kind, as struct `rec`."""
+    """Readable records of meta(..., record) of one kind, as struct `rec`; fields that old records lack get their defaults."""
     schema, key = (BRANCH_RECORD, "branch_id") if kind == "branch" else (TAG_RECORD, "tag_id")
     rows = meta.filter(F.col("kind") == kind).withColumn("rec", F.from_json("record", schema))
-    return rows.filter(F.col(f"rec.{key}").isNotNull())
-
-
-def depth_levels(files: DataFrame, most: int) -> int:
-    deepest = files.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
-    if deepest - 1 > most:
-        raise ValueError(f"directories are deeper than {most}")
-    return deepest - 1
-
-
-def empty_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LOG)
+    rec = rows["rec"].withField("deleted", F.coalesce("rec.deleted", F.lit(False)))
+    if kind == "tag":
+        rec = rec.withField("branch_id", F.coalesce("rec.branch_id", F.lit(MAIN))).withField("at_lamport", F.coalesce("rec.at_lamport", F.lit(0)))
+    return rows.filter(F.col(f"rec.{key}").isNotNull()).withColumn("rec", rec)

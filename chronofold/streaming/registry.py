@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.plans.registry import query
+from chronofold.plans.registry import query, sealed
 from chronofold.sources import fixtures as fx
 from chronofold.sources.log import decode_records
-from chronofold.sources.tables import stored
+from chronofold.sources.tables import new_folder
 from chronofold.streaming import streams
 
 BATCHES = 4
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        stored(spark.range(1))  # sets a folder where none is given
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def arriving(rows: DataFrame, work: str) -> DataFrame:
     """The rows as a stream of BATCHES files, by a hash of their ids."""
     spark = rows.sparkSession
@@ -33,51 +23,51 @@ def arriving(rows: DataFrame, work: str) -> DataFrame:
 
 @query
 def s01_stream_integrate(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
-    log = fx.log(spark, sf)
+    work = new_folder(spark)
+    log = sealed(spark, sf)
     return streams.integrate(arriving(log.unionByName(log.filter("kind = 'rename'")), work), work).select("id", "file_id")
 
 
 @query
 def s02_stream_fold(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
-    return streams.fold(arriving(fx.log(spark, sf), work), work).select("file_id", "path", "result_hash", "deleted", "lamport")
+    work = new_folder(spark)
+    return streams.fold(arriving(fx.log(spark, sf), work), work, fx.blobs(spark, sf)).select("file_id", "path", "result_hash", "deleted", "lamport", "conflict")
 
 
 @query
 def s03_stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
+    work = new_folder(spark)
     rows = fx.log(spark, sf).filter("kind in ('create', 'edit')")
     return streams.whole(streams.debounce(arriving(rows, work)), work)
 
 
 @query
 def s04_stream_version_vector(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
+    work = new_folder(spark)
     return streams.updates(streams.version_vector(arriving(fx.log(spark, sf), work)), work, ["site_id"])
 
 
 @query
 def s05_stream_status(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
+    work = new_folder(spark)
     return streams.updates(streams.status(arriving(fx.log(spark, sf), work)), work, [])
 
 
 @query
 def s06_stream_activity(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
+    work = new_folder(spark)
     return streams.updates(streams.activity(arriving(fx.log(spark, sf), work)), work, ["bucket", "kind"])
 
 
 @query
 def s07_stream_records(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
+    work = new_folder(spark)
     rows = decode_records(fx.meta(spark, sf), "branch").select("id", "lamport", "site_id", "file_id", "rec")
     return streams.updates(streams.records(arriving(rows, work)), work, ["file_id"]).select("rec.branch_id", "rec.name", "rec.parent", "rec.created_lamport", "rec.deleted")
 
 
 @query
 def s08_stream_files_delta(spark: SparkSession, sf: str) -> DataFrame:
-    work = folder(spark)
-    rows = streams.files_delta(arriving(fx.log(spark, sf), work), work)
+    work = new_folder(spark)
+    rows = streams.files_delta(arriving(fx.log(spark, sf), work), work, fx.blobs(spark, sf))
     return rows.groupBy("file_id").agg(F.max_by("action", "batch").alias("last_action"), F.count_if(F.col("action") == "insert").alias("inserts"))

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators.fold import key_of, states
-from chronofold.sources.log import new_rows, sync_files
-from chronofold.sources.tables import stored
+from chronofold.operators.fold import CLAIM, key_of, states
+from chronofold.sources.log import checked, new_rows, sync_files
+from chronofold.sources.schemas import FILES
+
+STATES = f"{FILES}, claim {CLAIM}"
 
 
 def read_rows(spark: SparkSession, path: str, schema: object, files_per_batch: int = 1) -> DataFrame:
@@ -59,16 +61,18 @@ def batches(spark: SparkSession, work: str, name: str = "out") -> list[str]:
     """The folders that a stream's batches wrote."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/{name}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
     return sorted(str(x.getPath()) for x in fs.listStatus(path))
 
 
-def integrate(stream: DataFrame, work: str) -> DataFrame:
-    """Appends each new id once; a batch that is run again after a failure adds nothing twice."""
+def integrate(stream: DataFrame, work: str, check: bool = True) -> DataFrame:
+    """Appends each new id once; a batch that is run again after a failure adds nothing twice. A bad id fails the stream."""
     spark = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["id"])
-        held = [p for p in ([] if number == 0 else batches(spark, work)) if not p.endswith(f"/n={number}")]
+        rows = (checked(batch) if check else batch).dropDuplicates(["id"])
+        held = [p for p in batches(spark, work) if number_of(p) < number]
         if held:
             rows = new_rows(spark.read.schema(batch.schema).parquet(*held), rows)
         rows.write.mode("overwrite").parquet(f"{work}/out/n={number}")
@@ -77,22 +81,46 @@ def integrate(stream: DataFrame, work: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*batches(spark, work))
 
 
-def fold(stream: DataFrame, work: str) -> DataFrame:
-    """Keeps the folded states up to date: a batch re-folds the files that it touches from all their rows."""
-    spark = stream.sparkSession
-    kept: dict[int, DataFrame] = {}
+def number_of(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
+
+
+def kept_states(work: str, blobs: DataFrame, note: Callable[[DataFrame, DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch step that keeps folded states below work/states: only the files that the batch touches fold anew.
+
+    The log below work/log is partitioned by a hash of file_id, so that a batch reads no other partitions than its files',
+    and states of partitions that it does not touch are carried on as they are. Everything a batch needs is on the shared
+    folder: a query that stops goes on from there, and a batch that is run again overwrites its own output.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/log/n={number}")
-        log = spark.read.schema(batch.schema).parquet(*batches(spark, work, "log"))
-        touched = batch.select("file_id").distinct()
-        fresh = states(log.join(touched, "file_id", "left_semi"))
-        held = kept.get(number - 1)
-        kept[number] = stored(fresh if held is None else held.join(touched, "file_id", "left_anti").unionByName(fresh))
-        kept.pop(number - 2, None)
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("file_id"), F.lit(PARTS)).cast("int")
+        batch.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{work}/log/n={number}")
+        log = spark.read.schema(f"{stream_schema(batch)}, part int").option("basePath", f"{work}/log").parquet(*[p for p in batches(spark, work, "log") if number_of(p) <= number])
+        touched = spark.read.schema(f"{stream_schema(batch)}, part int").parquet(f"{work}/log/n={number}").select("file_id", "part").distinct()
+        parts = sorted(r[0] for r in touched.select("part").distinct().collect())  # PARTS at most
+        fresh = states(log.filter(F.col("part").isin(parts)).join(touched.select("file_id"), "file_id", "left_semi").drop("part"), blobs)
+        before = [p for p in batches(spark, work, "states") if number_of(p) < number]
+        held = spark.read.schema(fresh.schema).parquet(max(before, key=number_of)) if before else fresh.limit(0)
+        now = held.join(touched.select("file_id"), "file_id", "left_anti").unionByName(fresh)
+        now.write.mode("overwrite").parquet(f"{work}/states/n={number}")
+        if note:
+            note(spark.read.schema(now.schema).parquet(f"{work}/states/n={number}"), held, number)
 
-    drain(stream, work, each)
-    return kept[max(kept)]
+    return each
+
+
+#: Partitions of a stream's log.
+PARTS = 64
+
+
+def fold(stream: DataFrame, work: str, blobs: DataFrame) -> DataFrame:
+    """Keeps the folded states up to date: a batch re-folds the files that it touches from all their rows."""
+    spark = stream.sparkSession
+    drain(stream, work, kept_states(work, blobs))
+    last = max(batches(spark, work, "states"), key=number_of)
+    return spark.read.schema(STATES).parquet(last)
 
 
 def debounce(stream: DataFrame, gap: str = "10 minutes", longest: int = 86_400, late: str | None = None) -> DataFrame:
@@ -129,20 +157,13 @@ def records(stream: DataFrame, record: str = "rec") -> DataFrame:
     return stream.groupBy("file_id").agg(F.max_by(record, key_of()).alias(record))
 
 
-def files_delta(stream: DataFrame, work: str) -> DataFrame:
-    """(batch, file_id, action) of the file rows that each batch changes."""
+def files_delta(stream: DataFrame, work: str, blobs: DataFrame) -> DataFrame:
+    """(batch, file_id, action) of the file rows that each batch changes, against the states kept by the one before."""
     spark = stream.sparkSession
-    kept: dict[int, DataFrame] = {}
     names = ["file_id", "path", "result_hash", "deleted"]
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/log/n={number}")
-        log = spark.read.schema(batch.schema).parquet(*batches(spark, work, "log"))
-        now = stored(states(log).select(*names))
-        before = kept.get(number - 1, now.limit(0))
-        sync_files(now, before).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/n={number}")
-        kept[number] = now
-        kept.pop(number - 2, None)
+    def note(now: DataFrame, before: DataFrame, number: int) -> None:
+        sync_files(now.select(*names), before.select(*names)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/n={number}")
 
-    drain(stream, work, each)
+    drain(stream, work, kept_states(work, blobs, note))
     return spark.read.schema("file_id string, action string, batch int").parquet(*batches(spark, work))

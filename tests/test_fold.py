@@ -6,9 +6,11 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.operators import fold, paths
 from chronofold.operators.merge import merge_text
+from chronofold.operators.timetravel import refold_with_tiebreak
 from chronofold.sources.schemas import LOG
 
 COLUMNS = [x.split()[0] for x in LOG.split(", ")]
@@ -28,7 +30,8 @@ def history(seed: int) -> tuple[list[dict], dict[str, str]]:
             kind = "create" if not k and rng.random() < 0.9 else rng.choice(["edit"] * 5 + ["rename", "delete", "reclass", "create", "merge"])
             parent, base = rng.choice(tips) if tips else (None, None)
             row = dict.fromkeys(COLUMNS)
-            row |= {"id": f"r{seed}-{f}-{k}", "site_id": rng.choice("xyz"), "lamport": len(rows) + rng.randrange(3), "seq": len(rows), "ts": len(rows), "file_id": f"f{f}", "kind": kind,
+            lamport = len(rows) + rng.randrange(3) - (8 if rng.random() < 0.15 else 0)  # at times below its parent's
+            row |= {"id": f"r{seed}-{f}-{k}", "site_id": rng.choice("xyz"), "lamport": lamport, "seq": len(rows), "ts": len(rows), "file_id": f"f{f}", "kind": kind,
                     "merge_class": rng.choice(["text", "code"]), "parent": parent, "branch_id": "main"}
             if kind in ("create", "edit"):
                 row["result_hash"] = rng.choice(list(contents))
@@ -43,7 +46,12 @@ def history(seed: int) -> tuple[list[dict], dict[str, str]]:
 def machine(rows: list[dict], contents: dict[str, str]) -> dict[str, dict]:
     out: dict[str, dict] = {}
     made = dict(contents)
-    for r in sorted(rows, key=lambda r: (r["lamport"], r["site_id"], r["id"])):
+    left = sorted(rows, key=lambda r: (r["lamport"], r["site_id"], r["id"]))
+    order: list[dict] = []
+    while left:  # the smallest row whose parent is placed or unknown
+        waiting = {r["id"] for r in left}
+        order.append(left.pop(next(i for i, r in enumerate(left) if r["parent"] not in waiting)))
+    for r in order:
         s = out.get(r["file_id"])
         key = (r["lamport"], r["site_id"], r["id"])
         if r["kind"] == "create":
@@ -128,6 +136,28 @@ def test_paths_equal_greedy_claims(frames):
     assert {r["file_id"]: r["path"] for r in paths.resolve_paths(fold.states(log, blobs)).collect()} == resolved(every)
 
 
+def test_a_parent_with_a_larger_key_comes_first(spark):
+    rows = [("c", "x", 1, "create", None, None, "1"), ("e1", "x", 9, "edit", "c", "1", "2"), ("e2", "x", 5, "edit", "e1", "2", "3")]
+    log = spark.createDataFrame(rows, "id string, site_id string, lamport long, kind string, parent string, base_hash string, result_hash string")
+    log = log.selectExpr("id", "site_id", "lamport", "lamport as seq", "lamport as ts", "'f' as file_id", "kind", "'text' as merge_class", "parent", "base_hash", "result_hash", "'p' as path", "'main' as branch_id")
+    blobs = spark.createDataFrame([], "content_hash string, text string")
+    row = fold.states(log, blobs).first()
+    assert (row["result_hash"], row["conflict"]) == ("3", False)
+    assert fold.needs_merge(log).isEmpty()
+
+
+def test_clock_order_equals_the_machine_on_clock_keys(frames):
+    log, blobs, parts = frames
+    clocked = log.withColumn("ts", F.when(F.col("seq") % 3 == 0, F.col("ts") - 7).otherwise(F.col("ts")))
+    want = {}
+    for i, (rows, texts) in enumerate(parts):
+        a = machine(rows, texts)
+        b = machine([{**r, "lamport": r["ts"] - 7 if r["seq"] % 3 == 0 else r["ts"]} for r in rows], texts)
+        want |= {f"h{i}-{f}": (s["hash"], b[f]["hash"]) for f, s in a.items() if s["hash"] != b[f]["hash"]}
+    got = {r["file_id"]: (r["by_lamport"], r["by_clock"]) for r in refold_with_tiebreak(clocked, blobs).collect()}
+    assert got == want
+
+
 def test_causal_order_moves_children_after_parents():
     rows = [((5, "a", "p"), "p", None), ((1, "a", "c"), "c", "p"), ((2, "a", "x"), "x", "gone"), ((3, "a", "m"), "m", "n"), ((4, "a", "n"), "n", "m")]
     assert [rows[i][1] for i in fold.causal_order(rows)] == ["x", "p", "c", "m", "n"]

@@ -11,8 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions import ids, text
+from chronofold.operators.fold import states
 from chronofold.operators.merge import line_diff, merge_text
 from chronofold.operators.timetravel import step_for
+from chronofold.sources.schemas import LOG
+
+COLUMNS = [x.split()[0] for x in LOG.split(", ")]
 
 
 def test_content_hash(spark):
@@ -76,10 +80,58 @@ def test_merges():
 
 
 def test_line_diff(spark):
-    rows = [("a\nb\nc", "a\nx\ny\nc"), ("a", "a"), ("", "q"), ("a\na", "a\na\na")]
-    got = line_diff(spark.createDataFrame(rows, "before string, after string")).select("line", "removed", "added").collect()
-    assert [tuple(r) for r in got] == [(2, ["b"], ["x", "y"]), (None, [], []), (1, [""], ["q"]), (3, [], ["a"])]
+    rows = [("a\nb\nc", "a\nx\ny\nc"), ("a", "a"), ("", "q"), ("a\na", "a\na\na"), ("1\n2\n3\n4", "1\n2\n3\n5"), ("q", None)]
+    got = line_diff(spark.createDataFrame(rows, "before string, after string")).select("line", "removed", "added", "context").collect()
+    assert [tuple(r) for r in got] == [
+        (2, ["b"], ["x", "y"], ["a"]), (0, [], [], []), (1, [], ["q"], []), (3, [], ["a"], ["a", "a"]), (4, ["4"], ["5"], ["2", "3"]), (1, ["q"], [], [])
+    ]
 
 
 def test_steps():
-    assert step_for(360) == 60 and step_for(86_400 * 6) == 86_400
+    assert [step_for(s) for s in (1, 360, 1801, 86_400 * 6, 3600 * 17, 86_400 * 80, 10**9)] == [300, 300, 900, 86_400, 10_800, 1_209_600, 2_592_000]
+
+
+def test_text_rules(spark):
+    one = lambda column, values: [r[0] for r in spark.createDataFrame([(x,) for x in values], "x string").select(column(F.col("x"))).collect()]
+    assert one(text.lang_of, ["a.ts", "b/c.MJS", "d.scss", "e.yml", "f.zsh", "g.rs", "h.Weird", "README", "x.tar.gz", "n.a-b", "p.json"]) == [
+        "js", "js", "css", "yaml", "sh", "rs", "weird", "txt", "gz", "txt", "json"
+    ]
+    assert one(text.line_count, ["", "\n", "\n\n", "a", "a\n\n", "a\nb", "\na"]) == [0, 1, 1, 1, 1, 2, 2]
+    assert one(text.word_count, ["", " \n", "a", " a  b\tc\n", "a\u00a0b"]) == [0, 0, 1, 3, 2]
+    assert one(text.has_frontmatter, ["---\r\nx\r\n---\r\n", " --- \na\n\t---", "---\nx", "x\n---\n---", "", "---\n----"]) == [True, True, False, False, False, False]
+
+
+#: Three sealed rows of a published set, and what they fold to.
+GOLDEN = [
+    {"base_hash": None, "branch_id": "main", "file_id": "f1", "id": "7881af762febf2b6b26f646acbd6e9076018fb0413ab00f8a31fa2c6bee02dd3", "kind": "create", "lamport": 1, "merge_class": "text", "merge_parent": None, "parent": None, "path": "doc.md", "result_hash": "8f2b6a9cfba2207f332cf001304e81648aef2828d041ea880ae278c9c577a3b3", "seq": 0, "site_id": "aa", "ts": 0},
+    {"base_hash": "8f2b6a9cfba2207f332cf001304e81648aef2828d041ea880ae278c9c577a3b3", "branch_id": "main", "file_id": "f1", "id": "ad1d9b05bcb76f36d90da34d0d7b971ffe3b1cb230ff2b049e0d76d642f0d0ee", "kind": "edit", "lamport": 2, "merge_class": "text", "merge_parent": None, "parent": "7881af762febf2b6b26f646acbd6e9076018fb0413ab00f8a31fa2c6bee02dd3", "path": None, "result_hash": "a6ce49ce75c612b00592e315645cf1d7e0a92efd0ad028e3cfc658ea491fb160", "seq": 1, "site_id": "aa", "ts": 0},
+    {"base_hash": "8f2b6a9cfba2207f332cf001304e81648aef2828d041ea880ae278c9c577a3b3", "branch_id": "main", "file_id": "f1", "id": "382ae926d045be61a456981d72aef438f81c7ebe88eee6fcc1e195f95716c2b4", "kind": "edit", "lamport": 2, "merge_class": "text", "merge_parent": None, "parent": "7881af762febf2b6b26f646acbd6e9076018fb0413ab00f8a31fa2c6bee02dd3", "path": None, "result_hash": "bba27c56a8fe7719440912d31cfe47e5fe69fb17fe1055d1285f6ffbaf3ec4a4", "seq": 0, "site_id": "bb", "ts": 0},
+]
+
+
+def test_golden_rows_are_valid_and_fold(spark):
+    log = spark.createDataFrame([tuple(r.get(c) for c in COLUMNS) for r in GOLDEN], LOG)
+    assert [r[0] for r in log.select(ids.id_valid()).collect()] == [True] * 3
+    texts = ["l1\nl2\nl3\n", "A1\nl2\nl3\n", "l1\nl2\nC3\n"]
+    blobs = spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), t) for t in texts], "content_hash string, text string")
+    row = states(log, blobs).first()
+    assert row["result_hash"] == hashlib.sha256(b"A1\nl2\nC3\n").hexdigest() and not row["conflict"] and row["path"] == "doc.md"
+
+
+def test_branch_ids_cover_the_vector_in_any_order(spark):
+    rows = [("n", "main", {"a": 1, "b": 2}, 5, "s"), ("n", "main", {"b": 2, "a": 1}, 5, "s"), ("n", "main", {"a": 1, "b": 3}, 5, "s"), ("n", "main", {}, 5, "s")]
+    got = ids.branch_id_of(spark.createDataFrame(rows, "name string, parent string, fork_vv map<string,long>, created_lamport long, site_id string")).collect()
+    assert got[0]["branch_id"] == got[1]["branch_id"] and len({r["branch_id"] for r in got}) == 3
+
+
+def test_git_trees_are_deep_and_plan_by_level(spark):
+    deep = "/".join(f"d{k}" for k in range(20)) + "/x"
+    rows = spark.createDataFrame([(deep, "a" * 40), ("y", "b" * 40)], "path string, blob_id string")
+    trees = {r["dir"]: r["tree_id"] for r in ids.git_trees(rows).collect()}
+    want, oid, name = {}, "a" * 40, b"100644 x"
+    for k in range(20, -1, -1):
+        body = name + b"\0" + bytes.fromhex(oid) + (b"100644 y\0" + bytes.fromhex("b" * 40) if k == 0 else b"")
+        oid = hashlib.sha1(b"tree %d\0" % len(body) + body).hexdigest()
+        want["/".join(f"d{j}" for j in range(k))] = oid
+        name = f"40000 d{k - 1}".encode()
+    assert trees == want
