@@ -1,9 +1,10 @@
 """Operator 6: benchmark decontamination with training suffix arrays.
 
 Each task takes its share of the documents in shards of bounded size, writes them as word numbers of the benchmark's
-vocabulary, and sorts the suffixes that can match (those that begin with enough benchmark words) into a suffix array.
-Every suffix of every benchmark item is looked up by binary search; runs of hits on one diagonal are the longest verbatim
-matches, with their places in document and item. A benchmark beyond the broadcast bound is taken in blocks.
+vocabulary, and sorts the suffixes that can match (those that begin with enough benchmark words) by all their words into a
+suffix array. Every suffix of every benchmark item is looked up by binary search: the suffixes that share its first words
+stand side by side. Common prefixes of the pairs found there are the longest verbatim matches, with their places in
+document and item. A benchmark beyond the broadcast bound is taken in blocks.
 """
 
 from __future__ import annotations
@@ -21,87 +22,109 @@ from chronofold.llm.common import alnum_words, batch
 #: Bytes of benchmark text in one broadcast block, and words in one suffix array.
 BLOCK_BYTES = 16 << 20
 SHARD_WORDS = 1_000_000
-DEPTH = 12
+#: Pairs of places whose common prefixes are compared at once.
+PAIRS = 200_000
 
 
 @dataclass
 class Probe:
-    """A block of the benchmark: its vocabulary and, by window length, the distinct windows and who has them."""
+    """A block of the benchmark: its items' words as numbers, each item closed by a 0, and their suffixes."""
 
-    words: dict[bytes, int]
-    windows: dict[int, np.ndarray]  # length -> (n, length) word numbers
-    owners: dict[int, list[list[tuple[str, int]]]]  # length -> per window: (item, first word)
+    numbers: dict[bytes, int]
+    words: np.ndarray  # all items one after another
+    items: list[str]
+    item: np.ndarray  # per suffix: its item and first word there, its place in `words`, and how many words must match
+    within: np.ndarray
+    start: np.ndarray
+    need: np.ndarray
 
     @property
     def shortest(self) -> int:
-        return min(self.windows, default=0)
-
-
-def probe(items: list[tuple[object, str | None]], width: int) -> Probe:
-    texts = [(str(i), alnum_words(t)) for i, t in items if i is not None]
-    words = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-    found: dict[tuple[bytes, ...], list[tuple[str, int]]] = {}
-    for item, ws in texts:
-        n = min(width, len(ws))
-        for k in range(len(ws) - n + 1 if n else 0):
-            found.setdefault(tuple(ws[k : k + n]), []).append((item, k))
-    windows: dict[int, list] = {}
-    owners: dict[int, list] = {}
-    for window, own in found.items():
-        windows.setdefault(len(window), []).append([words[w] for w in window])
-        owners.setdefault(len(window), []).append(own)
-    return Probe(words, {n: np.array(w) for n, w in windows.items()}, owners)
-
-
-def suffix_keys(ids: np.ndarray, starts: np.ndarray, kind: str) -> np.ndarray:
-    """The first DEPTH words of each suffix as bytes that sort as the words do."""
-    padded = np.concatenate([ids, np.zeros(DEPTH, dtype=ids.dtype)])
-    rows = padded[starts[:, None] + np.arange(DEPTH)]
-    ended = np.cumsum(rows == 0, axis=1) > 0
-    return np.where(ended, 0, rows).astype(kind).view(f"S{DEPTH * int(kind[2:])}").ravel()
-
-
-def search(ids: np.ndarray, p: Probe) -> Iterator[tuple[int, np.ndarray, list[list[tuple[str, int]]], np.ndarray]]:
-    """(length, places, owners, window of each place) of all windows that occur in the shard."""
-    if not p.windows:
-        return
+        return int(self.need.min()) if len(self.need) else 0
+
+
+def probe(rows: list[tuple[object, str | None]], width: int) -> Probe:
+    """Suffixes that a whole window begins: of `width` words, or all of an item's if it has fewer."""
+    texts = [(str(i), ws) for i, t in rows if i is not None and (ws := alnum_words(t))]
+    numbers = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
+    sizes = np.array([len(ws) for _, ws in texts], dtype=np.int64)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    words = np.array([n for _, ws in texts for n in [*(numbers[w] for w in ws), 0]], dtype=np.int64)
+    need = np.minimum(sizes, width)
+    count = sizes - need + 1
+    item = np.repeat(np.arange(len(texts)), count)
+    within = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    return Probe(numbers, words, [i for i, _ in texts], item, within, first[item] + within if len(item) else item, need[item] if len(item) else item)
+
+
+def suffix_array(ids: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the suffixes with `least` words or more before the next 0, sorted by all words up to it.
+
+    Ranks by the first word are refined to the first 2, 4, 8, ... words (prefix doubling) until they tell all apart or no
+    run of words is longer.
+    """
     stops = np.flatnonzero(np.concatenate([ids == 0, [True]]))
     run = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
-    starts = np.flatnonzero(run >= p.shortest)
-    if not len(starts):
-        return
-    kind = ">u2" if len(p.words) < 65_000 else ">u4"
-    keys = suffix_keys(ids, starts, kind)
-    order = np.argsort(keys, kind="stable")  # the shard's suffix array
-    keys, starts = keys[order], starts[order]
-    for n, windows in p.windows.items():
-        low = np.zeros((len(windows), DEPTH), dtype=kind)
-        low[:, :n] = windows
-        high = np.full((len(windows), DEPTH), np.iinfo(np.dtype(kind)).max, dtype=kind)
-        high[:, :n] = windows
-        size = f"S{DEPTH * int(kind[2:])}"
-        a = np.searchsorted(keys, low.view(size).ravel(), "left")
-        b = np.searchsorted(keys, high.view(size).ravel(), "right")
-        hit = np.flatnonzero(b > a)
-        if len(hit):
-            many = (b - a)[hit]
-            at = np.repeat(a[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield n, starts[at], p.owners[n], np.repeat(hit, many)
+    head = np.flatnonzero((run >= least) & (np.concatenate([[0], run[:-1]]) <= 1))  # first words of long enough runs
+    if not least or not len(head):
+        return np.zeros(0, dtype=np.int64)
+    size = run[head]
+    at = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(size.sum())  # all words of these runs
+    rank = np.zeros(len(ids) + 1, dtype=np.int64)
+    rank[at] = ids[at]
+    k, distinct = 1, 0
+    while k < size.max() and distinct < len(at):
+        pair = rank[at] * (len(ids) + int(ids.max()) + 2) + rank[np.minimum(at + k, len(ids))]
+        values, new = np.unique(pair, return_inverse=True)
+        # Ranks of k words reach past a run's end only through its 0, which ends every comparison.
+        rank[at] = new + 1
+        distinct, k = len(values), 2 * k
+    starts = at[run[at] >= least]
+    return starts[np.argsort(rank[starts], kind="stable")]
+
+
+def common_prefix(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """Words that a from i and b from j share, up to the first 0 (or to `most`)."""
+    out = np.zeros(len(i), dtype=np.int64)
+    left = np.arange(len(i))
+    depth = 0
+    while len(left):
+        if most is not None:
+            left = left[most[left] > depth]
+        x = a[np.minimum(i[left] + depth, len(a) - 1)]
+        left = left[(x == b[np.minimum(j[left] + depth, len(b) - 1)]) & (x != 0)]
+        depth += 1
+        out[left] = depth
+    return out
 
 
-Match = tuple[str, int, int, int]  # item, first word in the item, first word in the document, words
+def ranges(ids: np.ndarray, array: np.ndarray, p: Probe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, low, high) of the benchmark suffixes of which array[low:high] share the words that must match."""
+    firsts = ids[array]
+    first = p.words[p.start]
+    low, high = np.searchsorted(firsts, first, "left"), np.searchsorted(firsts, first, "right")
+    asked = np.flatnonzero(high > low)
+
+    def bound(after: bool) -> np.ndarray:
+        a, b = low[asked].copy(), high[asked].copy()
+        while True:
+            open_ = np.flatnonzero(a < b)
+            if not len(open_):
+                return a
+            middle = (a[open_] + b[open_]) // 2
+            q = asked[open_]
+            same = common_prefix(ids, array[middle], p.words, p.start[q], p.need[q])
+            here, want = ids[np.minimum(array[middle] + same, len(ids) - 1)], p.words[p.start[q] + same]
+            below = np.where(same >= p.need[q], after, here < want)
+            a[open_] = np.where(below, middle + 1, a[open_])
+            b[open_] = np.where(below, b[open_], middle)
+
+    start, end = bound(False), bound(True)
+    hit = end > start
+    return asked[hit], start[hit], end[hit]
 
 
-def matches_of(hits: list[tuple[int, int, str, int]]) -> list[Match]:
-    """Longest verbatim matches of one document, from (place, length, item, place in item) of its hits."""
-    out: list[list] = []
-    for place, n, item, k in sorted(hits, key=lambda h: (h[2], h[0] - h[3], h[0])):
-        last = out[-1] if out else None
-        if last and last[0] == item and last[2] - last[1] == place - k and place <= last[2] + last[3]:
-            last[3] = max(last[3], place + n - last[2])
-        else:
-            out.append([item, k, place, n])
-    return [tuple(m) for m in out]
+Match = tuple[str, int, int, int]  # item, first word in the item, first word in the document, words
 
 
 MATCH = "struct<item: string, item_word: long, word: long, words: long>"
@@ -115,26 +138,40 @@ ARROW = pa.schema(
 
 def shard_rows(docs: list[tuple[int | None, list[bytes]]], p: Probe) -> list[tuple]:
     """(doc_id, n_words, hit words, items, matches) of the documents of one shard."""
-    get = p.words.get
-    sizes = [len(ws) for _, ws in docs]
-    first = np.concatenate([[0], np.cumsum([n + 1 for n in sizes])])  # a 0 after each document
+    get = p.numbers.get
+    sizes = np.array([len(ws) for _, ws in docs], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 0 after each document
     ids = np.zeros(int(first[-1]), dtype=np.int64)
     for (_, ws), at in zip(docs, first, strict=False):
         ids[at : at + len(ws)] = [get(w, 0) for w in ws]
-    hits: dict[int, list] = {}
-    marks: dict[int, list] = {}
-    for n, places, owners, window in search(ids, p):
-        doc = np.searchsorted(first, places, "right") - 1
-        for d, place, w in zip(doc.tolist(), (places - first[doc]).tolist(), window.tolist(), strict=True):
-            marks.setdefault(d, []).append((place, n))
-            hits.setdefault(d, []).extend((place, n, item, k) for item, k in owners[w])
+    array = suffix_array(ids, p.shortest)
+    covered = np.zeros(len(ids) + 1, dtype=np.int64)
+    items: list[set[str]] = [set() for _ in docs]
+    matches: list[list[Match]] = [[] for _ in docs]
+    suffix, low, high = ranges(ids, array, p) if len(array) else (np.zeros(0, dtype=np.int64),) * 3
+    before, done = np.cumsum(high - low), 0
+    while done < len(suffix):  # so many benchmark suffixes that about PAIRS places are held
+        upto = max(done + 1, int(np.searchsorted(before, (before[done - 1] if done else 0) + PAIRS, "right")))
+        many = (high - low)[done:upto]
+        q = np.repeat(suffix[done:upto], many)
+        place = array[np.repeat(low[done:upto], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        doc = np.searchsorted(first, place, "right") - 1
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + p.need[q], -1)
+        for d, i in np.unique(np.stack([doc, p.item[q]]), axis=1).T.tolist():
+            items[d].add(p.items[i])
+        # A match is longest to the left if the words before differ; its length is the common prefix.
+        starts = (p.within[q] == 0) | (place == first[doc]) | (ids[place - 1] != p.words[p.start[q] - 1])
+        q, place, doc = q[starts], place[starts], doc[starts]
+        length = common_prefix(ids, place, p.words, p.start[q])
+        for d, i, k, at, n in zip(doc.tolist(), p.item[q].tolist(), p.within[q].tolist(), (place - first[doc]).tolist(), length.tolist(), strict=True):
+            matches[d].append((p.items[i], k, at, n))
+        done = upto
+    hit = np.cumsum(covered)[:-1] > 0
     out = []
     for d, (doc_id, _) in enumerate(docs):
-        words = set()
-        for place, n in marks.get(d, ()):
-            words.update(range(place, place + n))
-        found = matches_of(hits.get(d, []))
-        out.append((doc_id, sizes[d], words, sorted({m[0] for m in found}), found))
+        words = set(np.flatnonzero(hit[first[d] : first[d + 1]]).tolist())
+        out.append((doc_id, int(sizes[d]), words, sorted(items[d]), sorted(set(matches[d]))))
     return out
 
 

@@ -2,8 +2,9 @@
 
 Any string of `least` bytes holds an anchor: the smallest hash of its `gram`-byte substrings (winnowing), which its content
 alone decides. Equal strings so share an anchor, and only suffixes at anchors whose gram recurs need to be sorted. Anchors
-whose whole surroundings recur are settled by a grouped count. The others are dealt by gram to tasks that order the text
-to their right and, backwards, to their left by deep-shallow sorting, and read the repeats off the common prefixes.
+whose whole surroundings recur are settled by a grouped count of (gram, surroundings), 128 bits of hashes. The others are dealt
+by gram, frequent grams by what stands next to them, to tasks that order the text to their right and, backwards, to their
+left by deep-shallow sorting, and read the repeats off the common prefixes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +138,50 @@ def surroundings(texts: DataFrame, least: int, gram: int) -> DataFrame:
 SPAN = pa.schema([("unit", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
 
 
+#: Places that one task sorts together; a group of more is split by the bytes next to what it shares.
+GROUP = 20_000
+
+
+def grouped(rows: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """rows(fp, unit, place, left, right) with `group` and `core`, so that any two places of a repeat share a group; and spans.
+
+    A group shares its gram. If it is large it is split: a string of `least` bytes over bytes that all places share goes at
+    least half of what is missing to the right or to the left of them. So every place goes into the group of its next bytes
+    to the right and into that of those to the left (if it has so many), and what repeats meets again in one of the two.
+    This goes on, the missing part halving, until groups are small or nothing is missing: what such a group shares then is
+    a span of each of its places, without sorting.
+    """
+    todo = rows.select(F.col("fp").alias("group"), F.lit(0).alias("back"), F.lit(gram).alias("core"), "unit", "place", "left", "right")
+    done: list[DataFrame] = []
+    missing = least - gram
+    while True:
+        sizes = todo.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        large = saved(sizes.filter(F.col("n") > GROUP).select("group"))
+        done.append(saved(todo.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group", "left_semi")))
+        if large.isEmpty() or not missing:
+            shared = todo.join(large, "group", "left_semi").select("unit", (F.col("place") - F.col("back")).alias("low"), (F.col("place") + F.col("core")).alias("high"))
+            return reduce(DataFrame.unionByName, done), shared
+        half = -(-missing // 2)
+        missing -= half
+        hot = todo.join(large, "group", "left_semi")
+        right = F.when(F.octet_length("right") >= F.col("core") + half, F.substring("right", F.col("core") + 1, F.lit(half)))
+        left = F.when(F.octet_length("left") >= F.col("back") + half, F.substring("left", F.col("back") + 1, F.lit(half)))
+        sides = [
+            hot.withColumn("key", key).withColumn(grown, F.col(grown) + half).filter("key is not null").withColumn("group", F.xxhash64("group", F.lit(grown), "key")).drop("key")
+            for key, grown in ((right, "core"), (left, "back"))
+        ]
+        todo = saved(sides[0].unionByName(sides[1]))
+
+
 def sorted_repeats(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """Spans (unit, low, high) that repeat, of rows(fp, unit, place, left, right): one gram's suffixes meet in one task."""
+    """Spans (unit, low, high) that repeat, of rows(fp, unit, place, left, right): a group's suffixes meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+        stream = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
         out: list[list] = [[], [], []]
         for _, group in itertools.groupby(stream, key=lambda r: r[0]):
-            _, units, places, lefts, rights = map(list, zip(*group, strict=True))
-            start = gram if all(r[:gram] == rights[0][:gram] for r in rights) else 0
+            _, cores, units, places, lefts, rights = map(list, zip(*group, strict=True))
+            start = cores[0] if all(r[: cores[0]] == rights[0][: cores[0]] for r in rights) else 0
             for unit, place, (left, right) in zip(units, places, reaches(lefts, rights, least, start), strict=True):
                 if right:
                     for column, v in zip(out, (unit, place - left, place + right), strict=True):
@@ -154,8 +191,9 @@ def sorted_repeats(rows: DataFrame, least: int, gram: int) -> DataFrame:
                 out = [[], [], []]
         yield batch(out, SPAN)
 
-    ordered = rows.repartition("fp").sortWithinPartitions("fp", "unit", "place")
-    return ordered.select("fp", "unit", "place", "left", "right").mapInArrow(run, "unit binary, low int, high int")
+    groups, shared = grouped(rows, least, gram)
+    ordered = groups.repartition("group").sortWithinPartitions("group", "unit", "place")
+    return ordered.select("group", "core", "unit", "place", "left", "right").mapInArrow(run, "unit binary, low int, high int").unionByName(shared)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -188,7 +226,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, gram: int = GRAM) -> tuple
     asked = kinds.join(open_grams, "fp")
     asked = saved(asked.groupBy("unit").agg(F.collect_list(F.struct("fp", "place")).alias("places")))  # bounded by the text
     near = narrowed(texts, asked, "unit").join(asked, "unit")
-    spans = settled.unionByName(sorted_repeats(surroundings(near, least, gram), least, gram))
+    spans = settled.unionByName(sorted_repeats(saved(surroundings(near, least, gram)), least, gram))
     spans = spans.join(whole.select("unit"), "unit", "left_anti")
     return whole, saved(spans.groupBy("unit").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 

@@ -135,6 +135,49 @@ def test_repeated_substrings(docs, rows, no_docs, least, gram):
         assert substrings.report(no_docs).count() == 0
 
 
+def test_frequent_grams_are_split(spark, monkeypatch):
+    """A short passage in every text, with like and unlike surroundings: split groups give the same as whole ones."""
+    monkeypatch.setattr(substrings, "GROUP", 3)
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, sides = letters(90), [letters(150) for _ in range(6)]
+    rows = [(i, letters(40) + rng.choice(sides)[rng.randrange(140) :] + core + rng.choice(sides)[: rng.randrange(150)] + letters(60)) for i in range(70)]
+    rows += [(100 + i, letters(30) + sides[0][-100:] + core + sides[1][:80] + letters(25)) for i in range(9)]
+    got = substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(removed(rows, 200))
+
+
+def test_links_in_a_large_mixed_bucket(spark, monkeypatch):
+    """Copies of one text with few to many edits: nearly all links of 0.80 to 0.85 are found though buckets are not compared whole."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "NEIGHBOURHOOD", 50)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8, 12, 20, 40])):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    twins = []
+    for i in range(40):  # pairs of 0.80 to 0.85 whose members are far from the rest
+        words = list(base)
+        for _ in range(25):
+            words[rng.randrange(150)] = f"m{i}-{rng.randrange(10**6)}"
+        other = list(words)
+        for k in rng.sample(range(0, 150, 4), 7):
+            other[k] = f"o{i}-{k}"
+        twins.append((1000 + 2 * i, 1001 + 2 * i))
+        rows += [(twins[-1][0], " ".join(words)), (twins[-1][1], " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    want = grouped(rows, 2)
+    linked = [(a, b) for a, b in twins if want[a] == want[b]]
+    assert len(linked) > 20 and sum(got[a] == got[b] for a, b in linked) >= 0.95 * len(linked)
+    own = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in own) >= 0.97 * len(own)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that is not
+
+
 def test_cleaned_keeps_columns_and_characters(docs, rows):
     got = substrings.cleaned(docs)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes and got.count() == len(rows)

@@ -8,6 +8,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+
 from chronofold.llm import decontaminate, licenses, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +149,49 @@ def test_decontamination_reports_longest_matches(spark):
     assert (m["item"], m["item_word"], m["word"], m["words"]) == ("7", 10, 5, 30)
 
 
+def test_suffix_arrays_are_sorted_by_all_words():
+    rng = np.random.default_rng(4)
+    for least in (1, 3, 10):
+        ids = rng.integers(0, 4, 600) * (rng.random(600) < 0.95)
+        if least == 10:
+            ids[100:400] = 1  # long repeats
+        tail = lambda k: tuple(ids[k : next((e for e in range(k, len(ids)) if ids[e] == 0), len(ids))].tolist())
+        want = sorted(tail(k) for k in range(len(ids)) if len(tail(k)) >= least)
+        assert [tail(k) for k in decontaminate.suffix_array(ids, least)] == want
+
+
+def test_decontamination_equals_brute_force_at_any_width(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 90))) for _ in range(30)]
+    bench = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 40)))) for i in range(12)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for width in (4, 15):
+        windows: dict = {}
+        for i, x in bench:
+            w = x.split()
+            for k in range(max(0, len(w) - width + 1) or bool(w)):
+                windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+        got = {r["doc_id"]: (r["n_hit"], r["items"], [tuple(m) for m in r["matches"]]) for r in decontaminate.scan(d, b, width).collect()}
+        for i, t in enumerate(texts):
+            w, hit, items, found = t.split(), set(), set(), set()
+            for window, own in windows.items():
+                for k in range(len(w) - len(window) + 1):
+                    if tuple(w[k : k + len(window)]) == window:
+                        hit |= set(range(k, k + len(window)))
+                        items |= own
+            for j, x in bench:
+                v = x.split()
+                for a in range(len(w)):
+                    for c in range(len(v)):
+                        n = 0
+                        while a + n < len(w) and c + n < len(v) and w[a + n] == v[c + n]:
+                            n += 1
+                        if n >= min(width, len(v)) and (not a or not c or w[a - 1] != v[c - 1]):
+                            found.add((str(j), c, a, n))
+            assert got[i] == (len(hit), sorted(items), sorted(found)), (width, i)
+
+
 def phrases(t):
     w, found = ALNUM.findall(low(t)), []
     for phrase, label in licenses.PHRASES.items():
