@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
 
 
+#: The folders that saved() writes within scratch().
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what saved() wrote in it, but for the folders that are taken off the list it gives."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: later steps survive lost executors and do not redo it."""
     path = shared_dir(df.sparkSession)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

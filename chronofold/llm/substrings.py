@@ -157,7 +157,7 @@ def grouped(rows: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFram
     while True:
         sizes = todo.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         large = saved(sizes.filter(F.col("n") > GROUP).select("group"))
-        done.append(saved(todo.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group", "left_semi")))
+        done.append(todo.join(sizes.filter(F.col("n") <= GROUP).select("group"), "group", "left_semi"))
         if large.isEmpty() or not missing:
             shared = todo.join(large, "group", "left_semi").select("unit", (F.col("place") - F.col("back")).alias("low"), (F.col("place") + F.col("core")).alias("high"))
             return reduce(DataFrame.unionByName, done), shared
