@@ -1,17 +1,20 @@
 """The training-data pipeline: raw documents to packed sequences, in five stages.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
-reads again as the next stage's docs. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the shared folder and read
+again as the next stage's docs; what else a stage writes is removed at its end. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, neardup, packing, substrings
-from chronofold.llm.common import MOST_KEYS, saved, small_batches, table
+from chronofold.llm.common import MOST_KEYS, saved, scratch, small_batches, table
 
 #: SQL cannot express the stages (trained models, packing); tests hold them against brute force.
 ORACLE_SQL = None
@@ -33,6 +36,20 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone, ROW, "left_anti").drop(ROW)
 
 
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, its result written and all else that it wrote removed: copies of the corpus do not pile up."""
+
+    @wraps(stage)
+    def run_and_clear(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(spark) as own:
+            out = saved(stage(spark, docs, sf_dir))
+            own.pop()  # the result stays
+        return out
+
+    return run_and_clear
+
+
+@tidy
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language no evidence explains (operator 9)."""
     small_batches(spark)
@@ -40,6 +57,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return without(rows, language.identify(rows, table(spark, sf_dir, "pages"), carry=(ROW,)).filter("not kept"))
 
 
+@tidy
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group (operator 4): of the smallest doc_id, rows without one come last.
 
@@ -57,12 +75,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without(rows, members.join(first, ROW, "left_anti"))
 
 
+@tidy
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 200 and more that repeat in what is left (operator 5)."""
     small_batches(spark)
     return substrings.cleaned(docs)
 
 
+@tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (operator 6)."""
     small_batches(spark)
@@ -71,6 +91,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return without(rows, scanned.filter("n_hit > 0").select(F.col("doc_id").alias(ROW)))
 
 
+@tidy
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents into sequences of 1024 tokens (operator 3)."""
     small_batches(spark)
@@ -93,5 +114,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = stage(spark, docs, sf_dir)  # written as Parquet and read again by tidy()
     return docs
