@@ -31,29 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
 
 
+class Folders(list):
+    """Folders to remove; `seen` are all that were written, those taken off the list too."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: list[str] = []
+
+    def note(self, path: str) -> None:
+        self.append(path)
+        self.seen.append(path)
+
+
 #: The folders that saved() writes within scratch().
-_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+_OWN: ContextVar[Folders | None] = ContextVar("own", default=None)
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Removes at its end what saved() wrote in it, but for the folders that are taken off the list it gives."""
-    own: list[str] = []
+def scratch(spark: SparkSession) -> Iterator[Folders]:
+    """Removes at its end what saved() wrote in it, but for folders taken off the list it gives: these pass to a scratch around it."""
+    own, outer = Folders(), _OWN.get()
     token = _OWN.set(own)
     try:
         yield own
     finally:
         _OWN.reset(token)
-        for path in own:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        for path in own.seen:
+            if path in own:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            elif outer is not None:
+                outer.note(path)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: later steps survive lost executors and do not redo it."""
     path = shared_dir(df.sparkSession)
     if (own := _OWN.get()) is not None:
-        own.append(path)
+        own.note(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

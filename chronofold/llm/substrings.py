@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import MOST_KEYS, batch, narrowed, saved
+from chronofold.llm.common import MOST_KEYS, batch, narrowed, saved, scratch
 from chronofold.llm.hashing import BYTE, U, mix, powers
 from chronofold.llm.suffixes import reaches
 
@@ -214,10 +214,12 @@ def repeated_spans(docs: DataFrame, least: int = 200, gram: int = GRAM) -> tuple
     few = whole.limit(MOST_KEYS + 1).count() <= MOST_KEYS
     texts = rows.filter(F.octet_length("text") >= least).join(F.broadcast(whole) if few else whole, "unit", "left")
     texts = texts.filter("copies is null or doc_id <=> first").select("unit", "text")
-    found = saved(anchor_rows(texts, least, gram))
-    # Written first, so that the join has an exchange of its own on either side and its hot grams can be split.
-    again = saved(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
-    found = saved(found.join(again, "fp"))
+    with scratch(docs.sparkSession) as own:  # the anchors whose gram is single are most of them and go again
+        found = saved(anchor_rows(texts, least, gram))
+        # Written first, so that the join has an exchange of its own on either side and its hot grams can be split.
+        again = saved(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
+        found = saved(found.join(again, "fp"))
+        own.pop()
     kinds = found.groupBy("fp", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "place")).alias("one"))
     kinds = saved(kinds.select("fp", "around", "n", "one.unit", "one.place"))
     settled = found.join(kinds.filter("n > 1").select("fp", "around"), ["fp", "around"])
