@@ -104,6 +104,18 @@ def test_quality_counts(docs, rows, labels, no_docs):
     assert quality.judge(docs, labels.limit(0)).filter("kept = base_failed").count() == 0
 
 
+def test_windows_of_any_width(spark):
+    text = "a b c a b c d e a b x x x x y z a b c d e"
+    d, words = spark.createDataFrame([(1, text), (2, "a"), (3, None)], "doc_id long, text string"), text.split()
+    for width in (1, 2, 3, 5):
+        at = collections.defaultdict(list)
+        for i in range(len(words) - width + 1):
+            at[tuple(words[i : i + width])].append(i)
+        hit = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(width)}
+        got = {r["doc_id"]: r["n_repeat_words"] for r in quality.measured(d, width).collect()}
+        assert got == {1: len(hit), 2: 0, 3: 0}
+
+
 def test_quality_ratio_tells_junk(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choice(["river", "stone", "house", "walks", "over"]) for _ in range(40 + i)) for i in range(60)]
