@@ -7,9 +7,10 @@ sketches estimates their similarity precisely when it is high and drops the rest
 A bucket of a band never yields all its pairs. It elects delegates, those members whose own buckets are fullest: in a
 group of near copies these are the texts nearest to its middle, so that whatever links with anything there links with them.
 Every member meets the first delegate. Pairs within one component need no look. Members that are still apart from their
-bucket's largest component meet all members of a bucket of at most SMALL; in a larger one they meet its DELEGATES and,
-in an order by further samples, the NEIGHBOURS before them among those apart. So candidates grow with the members, not with
-their square; in buckets of at most SMALL no pair is left out.
+bucket's largest component meet all members of a bucket of at most SMALL; in a larger one they first meet its DELEGATES and,
+in an order by further samples, the NEIGHBOURS before them among those apart, which joins most of what belongs together.
+What is apart even then meets all members of its bucket on sketches, block by block in tasks that yield only what the
+sketches let pass. So no pair of a bucket is left out; that last step compares those apart times the members.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from chronofold.llm.graph import components
 from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
-#: Members of a bucket up to which those apart meet them all; beyond: delegates and neighbours that one meets, members of
-#: one neighbourhood, and candidates of one pivot that one task compares.
+#: Members of a bucket up to which those apart meet them all at once; beyond: delegates and neighbours that one meets first,
+#: members of one neighbourhood, and candidates of one pivot or members of one block that one task compares.
 SMALL, DELEGATES, NEIGHBOURS, NEIGHBOURHOOD, AT_PIVOT = 64, 8, 8, 4096, 2000
 #: Samples and bits of the sharper sketches for members of mixed buckets.
 FINE_SAMPLES, FINE_BITS = 2048, 8192
@@ -190,6 +191,15 @@ def delegates(shared: DataFrame) -> DataFrame:
     return by_slot.groupBy("band").agg(F.max_by("node", "rank").alias("pivot"), F.collect_list("node").alias("delegates"))
 
 
+def apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets of several components, with `component` and whether it is another than the bucket's largest."""
+    member = with_component(shared, labels, "node", "component")
+    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    member = member.join(top.filter("groups > 1").select("band", "top"), "band")
+    return member.withColumn("apart", F.col("component") != F.col("top")).drop("top")
+
+
 def among_hosts(split: DataFrame, links: Links) -> DataFrame:
     """Pairs (a, b) of rows apart and hosts of one bucket that both sketches let pass; they are compared inside the join."""
     fine = finely_sketched(links.texts(saved(split.select("node").distinct())), links.width).dropDuplicates(["node"])
@@ -215,6 +225,40 @@ def among_neighbours(split: DataFrame) -> DataFrame:
     return rows.filter("component != other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
 
 
+def among_all(rest: DataFrame, links: Links) -> DataFrame:
+    """Pairs (a, b) of rows apart and members of one bucket, in different components, that the sharper sketches let pass.
+
+    Rows apart and members are dealt to blocks of about AT_PIVOT; a task compares one block with one block.
+    """
+    fine = finely_sketched(links.texts(saved(rest.select("node").distinct())), links.width).dropDuplicates(["node"])
+    blocks = rest.groupBy("band").agg(F.expr(f"1 + count_if(apart) div {AT_PIVOT}").alias("xs"), F.expr(f"1 + count(1) div {AT_PIVOT}").alias("ys"))
+    rows = rest.join(links.nodes.select("node", "n_shingles"), "node").join(fine, "node").join(blocks, "band")
+    rows = saved(rows.select("band", "xs", "ys", "node", "component", "apart", "n_shingles", "fine"))
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    side = lambda kept, x, i, j: rows.filter(kept).select(F.col("band").alias(f"{x}_band"), i.alias(f"{x}_i"), j.alias(f"{x}_j"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "apart", "n_shingles", "fine")])
+    x = side("apart", "x", dealt("xs"), every("ys")).groupBy("x_band", "x_i", "x_j")
+    y = side("true", "y", every("xs"), dealt("ys")).groupBy("y_band", "y_i", "y_j")
+    percent, least = links.percent, lowest(links.percent, FINE_SAMPLES)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        if left.num_rows and right.num_rows:
+            xs, xc, xn = (left[f"x_{c}"].to_numpy() for c in ("node", "component", "n_shingles"))
+            ys, yc, yn, ya = (right[f"y_{c}"].to_numpy() for c in ("node", "component", "n_shingles", "apart"))
+            xf, yf = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for t, c in ((left, "x_fine"), (right, "y_fine")))
+            for k in range(len(xs)):
+                other = (yc != xc[k]) & ((ys > xs[k]) | ~ya) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
+                at = np.flatnonzero(other)
+                differ = np.bitwise_count(yf[at] ^ xf[k]).sum(axis=1)
+                near = 1 + FINE_BITS / (4 * FINE_SAMPLES) * np.log(np.maximum(1 - 2 * differ / FINE_BITS, 1e-9)) >= least
+                b.append(ys[at[near]])
+                a.append(np.full(len(b[-1]), xs[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return x.cogroup(y).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups the rows of docs(doc_id, text) whose shingle sets are alike to at least `percent` per cent (Jaccard).
 
@@ -238,14 +282,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("members").alias("members"))
     salt = F.pmod(F.hash("a"), F.expr(f"cast(1 + members div {AT_PIVOT} as int)"))
     labels = saved(components(links.confirmed(saved(pairs.select("a", "b", salt.alias("salt"))))))
-    # What is apart from its bucket's largest component.
-    member = with_component(shared, labels, "node", "component")
-    sizes = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    split = member.join(top.filter("groups > 1").join(elected, "band").select("band", "top", "delegates"), "band")
-    split = split.withColumn("apart", F.col("component") != F.col("top")).withColumn("host", F.expr(f"members <= {SMALL} or array_contains(delegates, node)"))
-    split = saved(split.filter("apart or host").drop("delegates", "top"))
+    split = apart(shared.join(elected.select("band", "delegates"), "band"), labels)
+    split = split.withColumn("host", F.expr(f"members <= {SMALL} or array_contains(delegates, node)")).drop("delegates")
+    split = saved(split.filter("apart or host"))
     labels = joined(labels, links, among_hosts(split, links).unionByName(among_neighbours(split)).distinct().withColumn("salt", F.lit(0)))
+    rest = saved(apart(shared.filter(f"members > {SMALL}"), labels))
+    labels = joined(labels, links, among_all(rest, links).distinct().withColumn("salt", F.lit(0)))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
