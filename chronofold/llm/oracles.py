@@ -40,4 +40,30 @@ cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS bigint) A
 sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
 cast(sum(24 + {escaped("role")} + {escaped("text")}) AS bigint) AS formatted_chars FROM c GROUP BY 1"""
 
-ORACLES = {"op4_neardup": NEARDUP, "op6_decontaminate": DECONTAMINATE, "op10_templates": CHAT}
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {ALNUM} AS w FROM documents),
+c AS (SELECT row, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0), g AS (SELECT count(*) AS big_n, cast(sum(n) AS bigint) AS big_l FROM c),
+q AS (SELECT DISTINCT item_id, unnest({ALNUM}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS term FROM c) GROUP BY ALL),
+v AS (SELECT term, cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS bigint) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), g),
+s AS (SELECT item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS bigint) AS score
+  FROM q JOIN p USING (term) JOIN v USING (term), g GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+#: The reflected polynomial of CRC-32, eight shifts for each byte of the decimal number.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(conv_id AS varchar), ''), lambda ch: cast(ord(ch) AS bigint))),
+lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+TRIE = f"""WITH o AS (SELECT conv_id, n, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS k FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, ({CRC}) % 6 AS h, coalesce((SELECT max(k) FROM o WHERE o.conv_id = x.conv_id - x.conv_id % 100), 0) AS has FROM (SELECT DISTINCT conv_id FROM o) x),
+r AS (SELECT c.conv_id, o.k AS depth, t, n FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.h
+  UNION ALL SELECT c.conv_id, least(c.h, c.has) + o.k - c.h, t, n FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+s AS (SELECT c.conv_id, coalesce(any_value(l.ts), []) AS ts, coalesce(any_value(l.ns), []) AS ns FROM c LEFT JOIN (SELECT conv_id, list(t ORDER BY depth) AS ts, list(n ORDER BY depth) AS ns FROM r GROUP BY 1) l ON l.conv_id = c.conv_id GROUP BY 1),
+p AS (SELECT conv_id, len(ts) AS size, d, array_to_string(list_slice(ts, 1, d), '') AS prefix, coalesce(ns[d], 0) AS n FROM (SELECT *, unnest(generate_series(0, len(ts))) AS d FROM s)),
+m AS (SELECT d, prefix, left(prefix, greatest(d - 1, 0) * 64) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT d - 1 AS d, up AS prefix, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT m.*, coalesce(n_children, 0) AS n_children, (m.n_convs - 1) * m.n AS saved FROM m LEFT JOIN k USING (d, prefix)),
+b AS (SELECT a AS d, left(prefix, a * 64) AS prefix, cast(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS bigint) AS n_leaves, cast(sum(saved) AS bigint) AS saved_tokens FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM v) GROUP BY 1, 2)
+SELECT v.conv_id, cast(v.d AS bigint) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, b.saved_tokens, v.ends_sha256
+FROM v JOIN b ON b.d = v.d AND b.prefix = v.prefix LEFT JOIN v u ON v.d > 0 AND u.d = v.d - 1 AND u.prefix = v.up"""
+
+ORACLES = {"op4_neardup": NEARDUP, "op6_decontaminate": DECONTAMINATE, "op10_templates": CHAT, "op12_hybridrank": RANKED, "op13_prefixtrie": TRIE}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import decontaminate, language, licenses, neardup, packing, quality, sharding, substrings, templates, toxicity
+from chronofold.llm import crosspolytope, decontaminate, hybridrank, language, licenses, neardup, packing, prefixtrie, quality, sharding, substrings, templates, toxicity
 from chronofold.llm.common import table
 from chronofold.llm.oracles import ORACLES  # noqa: F401
 
@@ -80,3 +80,18 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_hybridrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybridrank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.nodes(table(spark, sf_dir, "conversations"))

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_sharding": "doc_id",
     "op9_language": "doc_id",
     "op10_templates": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op11_crosspolytope": "query_id rank vec_id score",
+    "op12_hybridrank": "item_id rank doc_id score",
+    "op13_prefixtrie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables here")
 
@@ -45,7 +48,7 @@ def test_query(spark, name):
             assert r["offset"] == ends.get(r["sequence_id"], 0)
             ends[r["sequence_id"]] = r["offset"] + r["length"]
         assert max(ends.values()) <= 1024
-    else:
+    elif name not in ("op11_crosspolytope", "op12_hybridrank", "op13_prefixtrie"):
         assert sorted(r["doc_id"] for r in rows) == sorted(ids)
     if name == "op1_toxicity":
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
