@@ -9,8 +9,8 @@ group of near copies these are the texts nearest to its middle, so that whatever
 Every member meets the first delegate. Pairs within one component need no look. Members that are still apart from their
 bucket's largest component meet all members of a bucket of at most SMALL; in a larger one they first meet its DELEGATES and,
 in an order by further samples, the NEIGHBOURS before them among those apart, which joins most of what belongs together.
-What is apart even then meets all members of its bucket on sketches, block by block in tasks that yield only what the
-sketches let pass. So no pair of a bucket is left out; that last step compares those apart times the members.
+What is apart even then meets the members that share one of its rarest shingles: sets of similarity 0.8 share one of the
+rarest fifth of either, so that no link among these texts is left out, whatever the size of their bucket.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from chronofold.llm.hashing import U, mix, sequence_digest, shingles, word_hashe
 
 BANDS, ROWS, BITS = 40, 6, 1024
 #: Members of a bucket up to which those apart meet them all at once; beyond: delegates and neighbours that one meets first,
-#: members of one neighbourhood, and candidates of one pivot or members of one block that one task compares.
+#: members of one neighbourhood, and candidates of one pivot that one task compares.
 SMALL, DELEGATES, NEIGHBOURS, NEIGHBOURHOOD, AT_PIVOT = 64, 8, 8, 4096, 2000
 #: Samples and bits of the sharper sketches for members of mixed buckets.
 FINE_SAMPLES, FINE_BITS = 2048, 8192
+#: Counters by which shingles are ordered from rare to frequent.
+COUNTERS = 1 << 18
 
 
 class Sampler:
@@ -225,38 +227,52 @@ def among_neighbours(split: DataFrame) -> DataFrame:
     return rows.filter("component != other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
 
 
-def among_all(rest: DataFrame, links: Links) -> DataFrame:
-    """Pairs (a, b) of rows apart and members of one bucket, in different components, that the sharper sketches let pass.
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How often the shingles of docs(node, text) fall into each of COUNTERS: a bounded table that orders all shingles alike."""
+    counter = F.pmod(F.col("hash"), F.lit(COUNTERS)).alias("counter")
+    counts = sets_of(docs, width).select(F.explode("hashes").alias("hash")).groupBy(counter).agg(F.count(F.lit(1)).alias("n"))
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for r in counts.collect():  # COUNTERS rows at most
+        out[r["counter"]] = r["n"]
+    return out
 
-    Rows apart and members are dealt to blocks of about AT_PIVOT; a task compares one block with one block.
+
+def rarest(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """node, n, place and hash of the rarest shingles of docs(node, text), rarest first, as many as any similar set must share one of.
+
+    Two sets of similarity t share t times the larger one at least: of n shingles in one order for all sets, one of the first
+    n - ceil(t n) + 1 is common.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, firsts = [], []
+            for text in b.column(1):
+                own = shingles(word_hashes(text.as_py() or ""), width).view(np.int64)
+                order = np.lexsort((own, held.value[own % COUNTERS]))
+                sizes.append(len(own))
+                firsts.append(own[order[: len(own) + (-percent * len(own)) // 100 + 1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "n", "firsts"])
+
+    firsts = docs.mapInArrow(run, "node long, n long, firsts array<long>").dropDuplicates(["node"])
+    return firsts.select("node", "n", F.posexplode("firsts").alias("place", "hash"))
+
+
+def among_rare(rest: DataFrame, links: Links) -> DataFrame:
+    """Pairs (a, b) of nodes apart and nodes of rest, in different components, that share a rare shingle early enough.
+
+    The first rare shingle that two sets share stands at places i and j: all they share comes from there on, so that
+    min(n - i, m - j) must reach what similarity asks of n and m. Every similar pair passes at that shingle.
     """
-    fine = finely_sketched(links.texts(saved(rest.select("node").distinct())), links.width).dropDuplicates(["node"])
-    blocks = rest.groupBy("band").agg(F.expr(f"1 + count_if(apart) div {AT_PIVOT}").alias("xs"), F.expr(f"1 + count(1) div {AT_PIVOT}").alias("ys"))
-    rows = rest.join(links.nodes.select("node", "n_shingles"), "node").join(fine, "node").join(blocks, "band")
-    rows = saved(rows.select("band", "xs", "ys", "node", "component", "apart", "n_shingles", "fine"))
-    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    side = lambda kept, x, i, j: rows.filter(kept).select(F.col("band").alias(f"{x}_band"), i.alias(f"{x}_i"), j.alias(f"{x}_j"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "apart", "n_shingles", "fine")])
-    x = side("apart", "x", dealt("xs"), every("ys")).groupBy("x_band", "x_i", "x_j")
-    y = side("true", "y", every("xs"), dealt("ys")).groupBy("y_band", "y_i", "y_j")
-    percent, least = links.percent, lowest(links.percent, FINE_SAMPLES)
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        if left.num_rows and right.num_rows:
-            xs, xc, xn = (left[f"x_{c}"].to_numpy() for c in ("node", "component", "n_shingles"))
-            ys, yc, yn, ya = (right[f"y_{c}"].to_numpy() for c in ("node", "component", "n_shingles", "apart"))
-            xf, yf = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1) for t, c in ((left, "x_fine"), (right, "y_fine")))
-            for k in range(len(xs)):
-                other = (yc != xc[k]) & ((ys > xs[k]) | ~ya) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
-                at = np.flatnonzero(other)
-                differ = np.bitwise_count(yf[at] ^ xf[k]).sum(axis=1)
-                near = 1 + FINE_BITS / (4 * FINE_SAMPLES) * np.log(np.maximum(1 - 2 * differ / FINE_BITS, 1e-9)) >= least
-                b.append(ys[at[near]])
-                a.append(np.full(len(b[-1]), xs[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return x.cogroup(y).applyInArrow(compare, "a long, b long")
+    nodes = rest.groupBy("node").agg(F.first("component").alias("component"), F.max("apart").alias("apart"))
+    texts = saved(links.texts(saved(nodes.select("node"))).dropDuplicates(["node"]))
+    rows = rarest(texts, links.width, links.percent, shingle_counts(texts, links.width)).join(nodes, "node")
+    rows = saved(rows.select("hash", "node", "component", "apart", (F.col("n") - F.col("place")).alias("left"), "n"))
+    side = lambda kept, x: rows.filter(kept).select("hash", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "apart", "left", "n")])
+    x, y = side("apart", "x"), side("true", "y")
+    near = F.expr(f"x_component != y_component and (x_node < y_node or not y_apart) and {100 + links.percent} * least(x_left, y_left) >= {links.percent} * (x_n + y_n)")
+    return x.join(y, (x["hash"] == y["hash"]) & near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -287,7 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     split = saved(split.filter("apart or host"))
     labels = joined(labels, links, among_hosts(split, links).unionByName(among_neighbours(split)).distinct().withColumn("salt", F.lit(0)))
     rest = saved(apart(shared.filter(f"members > {SMALL}"), labels))
-    labels = joined(labels, links, among_all(rest, links).distinct().withColumn("salt", F.lit(0)))
+    labels = joined(labels, links, among_rare(rest, links).distinct().withColumn("salt", F.lit(0)))
     named = with_component(classes, labels, "node", "component").select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
