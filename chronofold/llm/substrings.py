@@ -138,6 +138,8 @@ def surroundings(texts: DataFrame, least: int, gram: int) -> DataFrame:
 SPAN = pa.schema([("unit", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
 
 
+#: Anchors of one surrounding from which on it is not dealt to one task.
+CROWD = 2_000
 #: Places that one task sorts together; a group of more is split by the bytes next to what it shares.
 GROUP = 20_000
 
@@ -222,7 +224,11 @@ def repeated_spans(docs: DataFrame, least: int = 200, gram: int = GRAM) -> tuple
         own.pop()
     kinds = found.groupBy("fp", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "place")).alias("one"))
     kinds = saved(kinds.select("fp", "around", "n", "one.unit", "one.place"))
-    settled = found.join(kinds.filter("n > 1").select("fp", "around"), ["fp", "around"])
+    # Surroundings with a larger share of the rows than one in MOST_KEYS are few enough for a broadcast: no task gets them all.
+    crowd = max(CROWD, (kinds.agg(F.sum("n")).first()[0] or 0) // MOST_KEYS + 1)
+    both = ["fp", "around"]
+    hot, mild = kinds.filter(F.col("n") > crowd).select(*both), kinds.filter(f"n > 1 and n <= {crowd}").select(*both)
+    settled = found.join(F.broadcast(hot), both).unionByName(found.join(F.broadcast(hot), both, "left_anti").join(mild, both))
     settled = settled.select("unit", (F.col("place") - (least - gram)).alias("low"), (F.col("place") + least).alias("high"))
     open_grams = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("low")).filter("kinds > 1 and low = 1").select("fp")
     asked = kinds.join(open_grams, "fp")
