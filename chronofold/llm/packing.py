@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import batch, saved
+from chronofold.llm.common import MOST_KEYS, batch, saved
 
 END_ID = 2
+#: Pieces of one length that one salt ranks.
+SALTED = 20_000
 
 
 def added_tokens(tokenizer_path: str) -> dict[str, int]:
@@ -33,20 +35,35 @@ def added_tokens(tokenizer_path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
-def rank_encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], np.ndarray]:
-    """Text -> ids as unsigned 32-bit numbers, by a vocabulary's rank file.
+#: Characters from which on a text goes to the tokenizer file itself: the rank file's splitter gives up on runs of about a
+#: million white-space characters.
+LONG_TEXT = 250_000
 
-    The rank file holds the same vocabulary as the tokenizer file, at a fraction of its cost; a test compares both. The
-    tokenizer file's added tokens are split off first, as that file's tokenizer does; without `added` they are ordinary text.
+
+def rank_encoder(ranks_path: str, pattern: str, tokenizer_path: str) -> Callable[[str], np.ndarray]:
+    """Text -> ids as unsigned 32-bit numbers, as the tokenizer file gives them.
+
+    The rank file holds the same vocabulary at a fraction of the cost, and serves texts of less than LONG_TEXT characters; a
+    test compares both. The tokenizer file's added tokens are split off first, as that file's tokenizer does.
     """
     import base64
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(tokenizer_path))
+    whole: list[Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_TEXT:
+            return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        if not whole:
+            whole.append(Tokenizer.from_file(tokenizer_path))
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    return encode
 
 
 def piece_ids(ids: np.ndarray) -> list[int]:
@@ -64,14 +81,14 @@ def tokenised(
     capacity: int,
     digest: Callable[[np.ndarray], object],
     digest_type: str,
-    added: dict[str, int] | None = None,
+    tokenizer_path: str,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and digest(ids of the piece)."""
     arrow = {"array<long>": pa.list_(pa.int64()), "long": pa.int64()}[digest_type]
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("digest", arrow)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(ranks_path, pattern, added)
+        encoder = rank_encoder(ranks_path, pattern, tokenizer_path)
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -283,35 +300,36 @@ def pack(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
+    tokenizer_path: str,
     capacity: int = 1024,
     small: int = 96,
     groups: int = 32,
     rounds: int = 400,
     digest: Callable[[np.ndarray], object] = piece_ids,
     digest_type: str = "array<long>",
-    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Packs every document of docs(doc_id, text) into sequences of at most capacity tokens.
 
     Returns per piece doc_id, piece, start, length, digest (by default the piece's ids), sequence_id and offset; pieces
     of a sequence stand one after another from offset 0. A null or empty text is the end token alone. Rows that repeat
     a doc_id are packed each. An empty table gives no row. Longer documents are cut so that their first piece may be
-    the shorter one; all other documents stay whole. `added` are the tokenizer file's added tokens.
+    the shorter one; all other documents stay whole. Ids are those of the tokenizer file; the rank file, its vocabulary, and
+    the pattern give them faster.
     """
-    pieces = saved(tokenised(docs, ranks_path, pattern, capacity, digest, digest_type, added))
+    pieces = saved(tokenised(docs, ranks_path, pattern, capacity, digest, digest_type, tokenizer_path))
     hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = plan(hist, capacity, small, groups, rounds)
     spark = docs.sparkSession
-    # Ranks within a length, without one task per length: each of many salts counts its own rows first.
-    salts = 64
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # Ranks within a length, without one task per length: the more rows it has, the more salts count their own rows first.
+    salts = spark.createDataFrame([(n, 1 + c // SALTED) for n, c in hist.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "digest"), F.col("salts"))).drop("salts")
     share = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     share = share.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", F.xxhash64("digest"))
     ranked = (
         salted.withColumn("own_rank", F.row_number().over(own) - 1)
-        .join(F.broadcast(share), ["length", "salt"])  # at most capacity x salts rows
+        .join(F.broadcast(share) if len(hist) + sum(hist.values()) // SALTED <= MOST_KEYS else share, ["length", "salt"])
         .withColumn("rank", F.col("before") + F.col("own_rank"))
     )
     # One row per length: its runs by first rank. Their number is bounded by the groups and the capacity, not the input.

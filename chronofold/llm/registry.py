@@ -33,7 +33,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-        digest=packing.piece_crc32, digest_type="long", added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+        public_tokenizers.path("byte_bpe_50k.json"), digest=packing.piece_crc32, digest_type="long",
     )
     return packed.withColumnRenamed("digest", "ids_crc32")
 

@@ -13,19 +13,17 @@ import pytest
 
 from chronofold.llm import packing, templates
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+RANKS, PATTERN, WHOLE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WHOLE)
 
 
 def test_rank_file_gives_the_tokenizers_ids(rows):
-    t, encode = tokenizer(), packing.rank_encoder(RANKS, PATTERN)
+    t, encode = tokenizer(), packing.rank_encoder(RANKS, PATTERN, WHOLE)
     odd = ["", "  a", "a  b   c\n d", "x \n y ", "\t q", "it's  'tis", "é　 z  z", "<|endoftext|> x", "a\x1c b", "  \x85 b", "日本語 テキスト", "🙂🙂 a", "\r\n\r\n"]
     rng = random.Random(1)
     odd += ["".join(rng.choice("ab 'sé\n\t<|>1日") for _ in range(40)) for _ in range(200)]
@@ -33,13 +31,22 @@ def test_rank_file_gives_the_tokenizers_ids(rows):
         assert t.encode(text, add_special_tokens=False).ids == encode(text).tolist(), repr(text[:60])
 
 
-def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark, tmp_path):
-    from tokenizers import Tokenizer
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "a"])
+def test_long_runs_of_one_character(spark, run):
+    """Two million spaces or line ends, which the rank file's splitter cannot take."""
+    text = "a" + run * (2_000_000 // len(run)) + "b" if run != "a" else run * 300_000 + " <|endoftext|>"
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    got = packing.pack(docs, RANKS, PATTERN, WHOLE, digest=packing.piece_crc32, digest_type="long").collect()
+    ids = tokenizer().encode(text, add_special_tokens=False).ids
+    own = sorted((r["piece"], r["start"], r["length"], r["digest"]) for r in got if r["doc_id"] == 1)
+    assert sum(x[2] for x in own) == len(ids) + 1
+    assert all(zlib.crc32(np.array([*ids, 2][s : s + n], dtype="<u4").tobytes()) == c for _, s, n, c in own)
 
+
+def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark, tmp_path):
     from chronofold.llm import registry
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.rank_encoder(RANKS, PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    t, encode = tokenizer(), packing.rank_encoder(RANKS, PATTERN, WHOLE)
     rng = random.Random(7)
     odd = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  y", "<|endoftext|><|endoftext|>", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
     odd += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "it's", "\n", "é", "日", "<|", "|>", "ab"]) for _ in range(20)) for _ in range(200)]
@@ -53,7 +60,7 @@ def test_added_tokens_are_those_of_the_unchanged_tokenizer(spark, tmp_path):
 
 def test_every_document_is_packed_whole(docs, rows, no_docs):
     t = tokenizer()
-    got = packing.pack(docs, RANKS, PATTERN, capacity=128, small=16, groups=8).collect()
+    got = packing.pack(docs, RANKS, PATTERN, WHOLE, capacity=128, small=16, groups=8).collect()
     bins = collections.defaultdict(list)
     pieces = collections.defaultdict(list)
     for r in got:
@@ -76,7 +83,7 @@ def test_every_document_is_packed_whole(docs, rows, no_docs):
             assert [s for _, s, _ in own] == np.cumsum([0] + [len(x) for _, _, x in own[:-1]]).tolist()
             assert len(own) == 1 or all(len(x) == 128 for _, _, x in own[1:])
     assert sum(len(r["digest"]) for r in got) == sum(len(ids) * n for (_, ids), n in want.items())
-    assert packing.pack(no_docs, RANKS, PATTERN).count() == 0
+    assert packing.pack(no_docs, RANKS, PATTERN, WHOLE).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(40))
