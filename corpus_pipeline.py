@@ -96,8 +96,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packs the remaining documents into sequences of 1024 tokens (operator 3)."""
     small_batches(spark)
     packed = packing.pack(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=packing.piece_crc32, digest_type="long",
-        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"),
+        digest=packing.piece_crc32, digest_type="long",
     )
     return packed.withColumnRenamed("digest", "ids_crc32")
 
