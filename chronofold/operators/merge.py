@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +14,96 @@ from pyspark.sql import functions as F
 SIDES = ("A", "B")
 
 
+#: Edits up to which a furthest-reaching search along diagonals is tried; more go to bit-parallel rows, halved in turn.
+FEW_EDITS = 200
+
+
+def few_edits(a: list[int], b: list[int], most: int = FEW_EDITS) -> list[tuple[int, int]] | None:
+    """Pairs of a longest common subsequence, if at most `most` insertions and deletions lead from a to b; else None.
+
+    On each diagonal the farthest point that d edits reach is kept; the steps are read back from these.
+    """
+    n, m = len(a), len(b)
+    reach, trace = {1: 0}, []
+    for d in range(min(most, n + m) + 1):
+        before = dict(reach)
+        trace.append(before)
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
+            x = before[k + 1] if down else before[k - 1] + 1
+            y = x - k
+            while x < n and y < m and a[x] == b[y]:
+                x, y = x + 1, y + 1
+            reach[k] = x
+            if x >= n and y >= m:
+                return walked_back(trace, n, m)
+    return None
+
+
+def walked_back(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
+    """The pairs on the way that few_edits() found."""
+    out = []
+    for d in range(len(trace) - 1, -1, -1):
+        before, k = trace[d], x - y
+        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
+        px = before[k + 1] if down else before[k - 1]
+        py = px - (k + 1 if down else k - 1)
+        while x > max(px, 0) and y > max(py, 0) and x - (px if down else px + 1) > 0:
+            x, y = x - 1, y - 1
+            out.append((x, y))
+        if not d:
+            break
+        x, y = px, py
+    return out[::-1]
+
+
+def row_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """For each prefix of b the length of its longest common subsequence with a, by one long number per line of a."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every  # a zero at j: the length grows there
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = (row + hit | row - hit) & every
+    grows = np.unpackbits(np.frombuffer((~row & every).to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(grows, dtype=np.int64)])
+
+
+def many_edits(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence: a is halved, and b cut where the halves have most in common with its parts."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        p, q, r, s = todo.pop()
+        if q - p == 1:
+            out += [(p, next(j for j in range(r, s) if b[j] == a[p]))] if a[p] in b[r:s] else []
+        elif q > p and s > r:
+            mid = (p + q) // 2
+            both = row_lengths(a[p:mid], b[r:s]) + row_lengths(a[mid:q][::-1], b[r:s][::-1])[::-1]
+            cut = r + int(both.argmax())
+            todo += [(p, mid, r, cut), (mid, q, cut, s)]
+    return sorted(out)
+
+
 def line_pairs(base: list[str], other: list[str]) -> dict[int, int]:
-    """Base line -> other line of an alignment of equal lines. Where lines repeat, several are valid and this is one."""
-    out: dict[int, int] = {}
-    for i, j, n in difflib.SequenceMatcher(None, base, other, autojunk=False).get_matching_blocks():
-        out.update((i + k, j + k) for k in range(n))
+    """Base line -> other line of a longest common subsequence of lines. Where lines repeat, several are and this is one.
+
+    It holds the common lines at both ends. Memory grows with the number of lines, time with lines and edits, or, where
+    those are many, with the product of the lines that both sides have over the bits of a word.
+    """
+    n = min(len(base), len(other))
+    head = next((i for i in range(n) if base[i] != other[i]), n)
+    tail = next((i for i in range(n - head) if base[-1 - i] != other[-1 - i]), n - head)
+    out = {i: i for i in range(head)} | {len(base) - 1 - i: len(other) - 1 - i for i in range(tail)}
+    # Lines that the other side lacks cannot match.
+    common = set(base[head : len(base) - tail]) & set(other[head : len(other) - tail])
+    number = {x: i for i, x in enumerate(common)}
+    left = [i for i in range(head, len(base) - tail) if base[i] in common]
+    right = [j for j in range(head, len(other) - tail) if other[j] in common]
+    a, b = [number[base[i]] for i in left], [number[other[j]] for j in right]
+    pairs = few_edits(a, b)
+    out.update((left[i], right[j]) for i, j in (many_edits(a, b) if pairs is None else pairs))
     return out
 
 
@@ -46,27 +131,54 @@ def merge_text(merge_class: str, base: str, ours: str, theirs: str, sides: tuple
     return "".join(out), conflict
 
 
+def common_head(a: str, b: str) -> str:
+    """SQL: how many first elements two arrays share."""
+    return f"cast(coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0) - 1, least(size({a}), size({b}))) as int)"
+
+
+def one_hunk_each(rows: DataFrame) -> DataFrame:
+    """Adds hunks: the merge where each side changed one run of lines and a kept base line stands between; else null.
+
+    Each side's run is what its common head and tail with the base leave, as in merge_text(), which settles all other cases.
+    """
+    for side in ("base", "ours", "theirs"):
+        rows = rows.withColumn(f"__{side}", F.expr(rf"filter(split({side}, '(?<=\\n)'), l -> l != '')"))
+    for side in ("ours", "theirs"):
+        rows = rows.withColumn(f"__p{side}", F.expr(common_head("__base", f"__{side}")))
+        left = [f"reverse(slice({x}, __p{side} + 1, greatest(size({x}) - __p{side}, 0)))" for x in ("__base", f"__{side}")]
+        rows = rows.withColumn(f"__s{side}", F.expr(common_head(*left)))
+    put = lambda x, y: f"concat(slice(__{x}, 1, size(__{x}) - __s{x}), slice(__base, size(__base) - __s{x} + 1, __p{y} - size(__base) + __s{x}), slice(__{y}, __p{y} + 1, size(__{y}) - __p{y}))"
+    before = lambda x, y: F.expr(f"size(__base) - __s{x} < __p{y}")
+    hunks = F.when(before("ours", "theirs"), F.array_join(F.expr(put("ours", "theirs")), "")).when(before("theirs", "ours"), F.array_join(F.expr(put("theirs", "ours")), ""))
+    whole = F.instr(F.concat("base", "ours", "theirs"), "\0") == 0
+    return rows.withColumn("hunks", F.when(whole, hunks)).drop(*[f"__{p}{x}" for p in ("", "p", "s") for x in ("base", "ours", "theirs")])
+
+
 def merge3(triples: DataFrame) -> DataFrame:
     """key, merged and conflict of triples(key, merge_class, base, ours, theirs).
 
-    Sides that agree, or of which one did not change, are settled by expressions; only the rest goes to Python, in batches.
+    Sides that agree, or of which one did not change, and texts in which each side changed one run of lines are settled by
+    expressions; only the rest, if there is any, goes to Python, in batches.
     """
     same = (F.col("ours") == F.col("theirs")) | (F.col("theirs") == F.col("base")) | (F.col("ours") == F.col("base"))
     binary = F.col("merge_class") == "binary"
-    native = triples.filter(same | binary).select(
-        "key",
-        F.when(binary, F.col("theirs")).when((F.col("ours") == F.col("theirs")) | (F.col("theirs") == F.col("base")), F.col("ours")).otherwise(F.col("theirs")).alias("merged"),
-        (binary & ~same).alias("conflict"),
-    )
+    rows = one_hunk_each(triples.select("key", "merge_class", "base", "ours", "theirs"))
+    rows = rows.withColumn(
+        "merged",
+        F.when(binary, F.col("theirs")).when((F.col("ours") == F.col("theirs")) | (F.col("theirs") == F.col("base")), F.col("ours")).when(F.col("ours") == F.col("base"), F.col("theirs")).otherwise(F.col("hunks")),
+    )
+    native = rows.filter("merged is not null").select("key", "merged", (binary & ~same).alias("conflict"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [merge_text(*x) for x in zip(pdf.merge_class, pdf.base, pdf.ours, pdf.theirs, strict=True)]
             yield pd.DataFrame({"key": pdf.key, "merged": [m for m, _ in both], "conflict": [c for _, c in both]})
 
+    rest = rows.filter("merged is null").select("key", "merge_class", "base", "ours", "theirs")
+    if rest.isEmpty():
+        return native
     kind = triples.schema["key"].dataType.simpleString()
-    rest = triples.filter(~(same | binary)).mapInPandas(run, f"key {kind}, merged string, conflict boolean")
-    return native.unionByName(rest)
+    return native.unionByName(rest.mapInPandas(run, f"key {kind}, merged string, conflict boolean"))
 
 
 def line_diff(df: DataFrame, before: str = "before", after: str = "after", context: int = 2) -> DataFrame:
