@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronofold.operators.merge import merge_text
+from chronofold.operators.paths import family, resolve_paths
 from chronofold.sources.schemas import FILES, NO_FILE_KINDS
 from chronofold.sources.tables import stored
 
@@ -83,18 +84,25 @@ def fold_order(log: DataFrame) -> DataFrame:
     return ordered(log).select("file_id", "id", F.col("rn").cast("long").alias("position"))
 
 
-def effective(log: DataFrame) -> DataFrame:
-    """Rows that bear on their file's state, with rn, their place in causal order.
+def lived(log: DataFrame) -> DataFrame:
+    """Rows that bear on their file's state at some time, with rn, their place in causal order, and life.
 
-    What comes before a file's last create is replaced by it; the first delete after that is final but for later deletes.
+    Every create begins a life, which replaces what was before; rows before the first one do nothing. In a life the first
+    delete is final but for later deletes.
     """
+    upto = Window.partitionBy("file_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ordered(log).filter(~F.col("kind").isin(*NO_FILE_KINDS))
-    rows = rows.withColumn("created", F.max(F.when(F.col("kind") == "create", F.col("rn"))).over(Window.partitionBy("file_id")))
-    rows = rows.filter("rn >= created")
-    rows = rows.withColumn("ended", F.min(F.when(F.col("kind") == "delete", F.col("rn"))).over(Window.partitionBy("file_id")))
+    rows = rows.withColumn("life", F.count(F.when(F.col("kind") == "create", 1)).over(upto)).filter("life > 0")
+    rows = rows.withColumn("ended", F.min(F.when(F.col("kind") == "delete", F.col("rn"))).over(Window.partitionBy("file_id", "life")))
     return rows.filter("ended is null or rn <= ended or kind = 'delete'")
 
 
+def effective(log: DataFrame) -> DataFrame:
+    """The rows of lived() that bear on their file's present state: those of its last life."""
+    rows = lived(log).withColumn("lives", F.max("life").over(Window.partitionBy("file_id")))
+    return rows.filter("life = lives").drop("life", "lives")
+
+
 def with_stale(rows: DataFrame) -> DataFrame:
     """Adds stale: an edit whose base is not the content before it (null-safe)."""
     content = F.when(F.col("kind").isin("create", "edit"), F.struct("result_hash"))
@@ -126,7 +134,7 @@ def needs_merge(log: DataFrame) -> DataFrame:
 
 CLAIM = "struct<lamport: bigint, site_id: string, id: string>"
 MERGED = f"{FILES}, claim {CLAIM}, content string"
-
+NAMES = ["file_id", "path", "result_hash", "merge_class", "deleted", "lamport", "site_id", "conflict", "claim"]
 
 STEPS = "file_id string, rn int, kind string, lamport long, site_id string, id string, base_hash string, result_hash string, base_text string, result_text string, merge_class string, path string"
 STATE = pa.schema(
@@ -157,6 +165,17 @@ def after(state: dict | None, r: dict) -> dict:
     return state | {"lamport": r["lamport"], "site_id": r["site_id"]}
 
 
+def with_texts(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """rows with base_text and result_text; rows without a hash, the renames and deletes, stay out of the joins."""
+    texts = blobs.select("content_hash", "text").dropDuplicates(["content_hash"])
+    for side in ("base", "result"):
+        own = texts.select(F.col("content_hash").alias(f"{side}_hash"), F.col("text").alias(f"{side}_text"))
+        has = F.col(f"{side}_hash").isNotNull() & F.col("kind").isin("create", "edit")
+        bare = rows.filter(~has).withColumn(f"{side}_text", F.lit(None).cast("string"))
+        rows = rows.filter(has).join(own, f"{side}_hash", "left").select(*bare.columns).unionByName(bare)
+    return rows
+
+
 def fold_merge(log: DataFrame, blobs: DataFrame) -> DataFrame:
     """State per file of log, its stale edits merged on contents; `content` is set where a merge made a new one.
 
@@ -166,12 +185,9 @@ def fold_merge(log: DataFrame, blobs: DataFrame) -> DataFrame:
     return merged_rows(effective(log), blobs)
 
 
-def merged_rows(rows: DataFrame, blobs: DataFrame) -> DataFrame:
-    """fold_merge() of effective() rows."""
-    texts = blobs.select("content_hash", "text")
-    for side in ("base", "result"):
-        own = texts.select(F.col("content_hash").alias(f"{side}_hash"), F.col("text").alias(f"{side}_text"))
-        rows = rows.join(own, f"{side}_hash", "left")
+def merged_rows(rows: DataFrame, blobs: DataFrame, every: bool = False) -> DataFrame:
+    """fold_merge() of effective() rows; or, of lived() rows, the state after every row, with its rn."""
+    schema = STATE.append(pa.field("rn", pa.int32())) if every else STATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict | None = None
@@ -179,15 +195,21 @@ def merged_rows(rows: DataFrame, blobs: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 if state is not None and state["file_id"] != r["file_id"]:
-                    done.append(state)
+                    if not every:
+                        done.append(state)
                     state = None
                 state = {"file_id": r["file_id"], **after(state, r)}
-            yield pa.RecordBatch.from_pylist(done, schema=STATE)
+                if every:
+                    done.append({**state, "rn": r["rn"]})
+                if len(done) >= 1_000:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+                    done = []
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
             done = []
-        yield pa.RecordBatch.from_pylist([state] if state else [], schema=STATE)
+        yield pa.RecordBatch.from_pylist([state] if state and not every else [], schema=schema)
 
-    steps = rows.select(*[x.split()[0] for x in STEPS.split(", ")])
-    return steps.repartition("file_id").sortWithinPartitions("file_id", "rn").mapInArrow(run, MERGED)
+    steps = with_texts(rows, blobs).select(*[x.split()[0] for x in STEPS.split(", ")])
+    return steps.repartition("file_id").sortWithinPartitions("file_id", "rn").mapInArrow(run, f"{MERGED}, rn int" if every else MERGED)
 
 
 def split_states(log: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,19 +223,65 @@ def split_states(log: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame
 
 def states(log: DataFrame, blobs: DataFrame) -> DataFrame:
     """State per file with its path claim; files with stale bases are merged on blobs(content_hash, text)."""
-    columns = ["file_id", "path", "result_hash", "merge_class", "deleted", "lamport", "site_id", "conflict", "claim"]
     plain, merged = split_states(log, blobs)
-    return plain.select(*columns).unionByName(merged.select(*columns))
+    return plain.select(*NAMES).unionByName(merged.select(*NAMES))
+
+
+def folded(log: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One fold for both: states(), and the contents that its merges ended with, as content_hash and text."""
+    plain, merged = split_states(log, blobs)
+    merged = stored(merged)
+    made = merged.filter("content is not null").select(F.col("result_hash").alias("content_hash"), F.col("content").alias("text"))
+    return plain.select(*NAMES).unionByName(merged.select(*NAMES)), made.dropDuplicates(["content_hash"])
+
+
+def versions(log: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, rn, ts, path, result_hash, merge_class, deleted, claim) after each row that bears on a file, through all its
+    lives, and the contents that merges made on the way, as content_hash and text.
+
+    Files that hold a stale edit in some life stream through the merge; the others are windows over hashes.
+    """
+    rows = stored(with_stale(lived(log)))
+    hard = rows.filter("stale").select("file_id").distinct()
+    upto = Window.partitionBy("file_id", "life").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c, *kinds: F.last(F.when(F.col("kind").isin(*kinds), F.struct(c)), True).over(upto)[c].alias(c)
+    plain = rows.join(hard, "file_id", "left_anti").select(
+        "file_id", "rn", "ts", last("path", "create", "rename"), last("result_hash", "create", "edit"), last("merge_class", "create", "reclass"), F.max(F.col("kind") == "delete").over(upto).alias("deleted"),
+        F.last(F.when(F.col("kind").isin("create", "rename"), F.struct("lamport", "site_id", "id")), True).over(upto).alias("claim"),
+    )
+    stale = rows.join(hard, "file_id", "left_semi")
+    merged = stored(merged_rows(stale, blobs, every=True))
+    made = merged.filter("content is not null").select(F.col("result_hash").alias("content_hash"), F.col("content").alias("text")).dropDuplicates(["content_hash"])
+    merged = merged.join(stale.select("file_id", "rn", "ts"), ["file_id", "rn"]).select(*plain.columns)
+    return plain.unionByName(merged), made
+
+
+def with_made(blobs: DataFrame, made: DataFrame) -> DataFrame:
+    """blobs(content_hash, text) and those of made that it lacks."""
+    return blobs.select("content_hash", "text").unionByName(made.join(blobs, "content_hash", "left_anti"))
 
 
 def with_merged(blobs: DataFrame, log: DataFrame) -> DataFrame:
     """blobs(content_hash, text) and the contents that merges of the log's files end with."""
-    made = stored(split_states(log, blobs)[1].select("result_hash", "content").filter("content is not null"))
-    made = made.select(F.col("result_hash").alias("content_hash"), F.col("content").alias("text"))
-    return blobs.select("content_hash", "text").unionByName(made.dropDuplicates(["content_hash"]).join(blobs, "content_hash", "left_anti"))
+    return with_made(blobs, folded(log, blobs)[1])
 
 
 def refold(held: DataFrame, log: DataFrame, touched: DataFrame, blobs: DataFrame) -> DataFrame:
     """States after new rows: only touched(file_id) fold anew, the others are taken from held."""
     fresh = states(log.join(touched.select("file_id").distinct(), "file_id", "left_semi"), blobs)
     return held.join(touched.select("file_id").distinct(), "file_id", "left_anti").unionByName(fresh)
+
+
+def refold_files(held: DataFrame, files: DataFrame, log: DataFrame, touched: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, files with their paths) after new rows, of held states and the files resolved from them.
+
+    Paths are claimed anew only in the families of names that a touched file was in or is in now: no other family, and no
+    directory of another one, can change.
+    """
+    now = stored(refold(held, log, touched, blobs))
+    named = lambda df: df.withColumn("family", family(F.coalesce("path", F.lit(""))))
+    mine = touched.select("file_id").distinct()
+    met = stored(named(held).join(mine, "file_id", "left_semi").select("family").union(named(now).join(mine, "file_id", "left_semi").select("family")).distinct())
+    again = resolve_paths(named(now).join(met, "family", "left_semi").drop("family"))
+    was = named(held).join(met, "family", "left_semi").select("file_id").union(mine)
+    return now, files.join(was.distinct(), "file_id", "left_anti").select(*again.columns).unionByName(again)

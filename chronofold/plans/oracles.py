@@ -39,6 +39,31 @@ res_{x} AS (SELECT file_id, CASE WHEN k = 1 THEN path ELSE concat(regexp_replace
   CASE WHEN deleted THEN NULL ELSE result_hash END AS result_hash, merge_class, deleted, lamport, site_id, conflict, content FROM p_{x})
 """.replace("{{", "«").replace("}}", "»")
 
+#: Places by clock, but parents before their children: the smallest row whose parent is placed or unknown comes next.
+CAUSAL = """
+w_{x} AS (SELECT * FROM {x} WHERE kind NOT IN ('merge','branch','tag')),
+o_{x} AS (SELECT DISTINCT file_id, []::varchar[] AS done, 0 AS rn, '' AS id FROM w_{x}
+  UNION ALL SELECT file_id, list_append(done, nid), rn + 1, nid FROM (SELECT o.file_id, o.done, o.rn, arg_min(r.id, {{'l': r.lamport, 's': r.site_id, 'i': r.id}}) AS nid
+  FROM o_{x} o JOIN (SELECT a.*, b.id IS NOT NULL AS bound FROM w_{x} a LEFT JOIN w_{x} b ON b.id = a.parent AND b.file_id = a.file_id) r
+    ON r.file_id = o.file_id AND NOT list_contains(o.done, r.id) AND (NOT r.bound OR list_contains(o.done, r.parent)) GROUP BY o.file_id, o.done, o.rn)),
+r_{x} AS (SELECT w.*, o.rn FROM w_{x} w JOIN o_{x} o ON o.file_id = w.file_id AND o.id = w.id),""".replace("{{", "«").replace("}}", "»")
+
+#: The states of a table after every row, through all lives of a file; contents as in FOLD.
+LIVES = """
+a_{x} AS (SELECT * FROM (SELECT *, count(*) FILTER (kind = 'create') OVER (PARTITION BY file_id ORDER BY rn) AS life FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY lamport, site_id, id) AS rn FROM {x} WHERE kind NOT IN ('merge','branch','tag'))) WHERE life > 0),
+b_{x} AS (SELECT * FROM (SELECT *, min(CASE WHEN kind = 'delete' THEN rn END) OVER (PARTITION BY file_id, life) AS dr FROM a_{x}) WHERE dr IS NULL OR rn <= dr OR kind = 'delete'),
+t_{x} AS (SELECT *, last_value(CASE WHEN kind IN ('create','reclass') THEN merge_class END IGNORE NULLS) OVER (PARTITION BY file_id, life ORDER BY rn) AS cls, regexp_extract(file_id, '[0-9]+$') || ':' || substr(id, 2) AS txt FROM b_{x}),
+u_{x} AS (SELECT t.*, t.kind = 'edit' AND t.base_hash IS DISTINCT FROM l.prev AS stale FROM t_{x} t LEFT JOIN (SELECT file_id, id, lag(result_hash) OVER (PARTITION BY file_id, life ORDER BY rn) AS prev FROM b_{x} WHERE kind IN ('create','edit')) l ON l.id = t.id AND l.file_id = t.file_id),
+g_{x} AS (SELECT *, kind IN ('create','edit') AS has, min(CASE WHEN stale AND cls = 'code' THEN rn END) OVER (PARTITION BY file_id, life) AS fm FROM u_{x}),
+h_{x} AS (SELECT *, max(CASE WHEN has AND rn < fm THEN rn END) OVER (PARTITION BY file_id, life) AS r0, max(CASE WHEN has THEN rn END) OVER (PARTITION BY file_id, life ORDER BY rn) AS at FROM g_{x}),
+i_{x} AS (SELECT h.*, c.result_hash AS ch, c.stale AS cs, z.txt AS c0 FROM h_{x} h JOIN h_{x} c ON c.file_id = h.file_id AND c.rn = h.at LEFT JOIN h_{x} z ON z.file_id = h.file_id AND z.rn = h.r0),
+j_{x} AS (SELECT *, count(*) FILTER (has AND rn >= fm) OVER w AS n, string_agg(CASE WHEN has AND rn >= fm THEN '=======' || chr(10) || txt || chr(10) || '>>>>>>> B' || chr(10) ELSE '' END, '') OVER w AS tail,
+  last_value(CASE WHEN kind IN ('create','rename') THEN path END IGNORE NULLS) OVER w AS p, coalesce(bool_or(kind = 'delete') OVER w, false) AS gone FROM i_{x} WINDOW w AS (PARTITION BY file_id, life ORDER BY rn)),
+q_{x} AS (SELECT file_id, rn, ts, p AS path, CASE WHEN n > 0 THEN sha256(repeat('<<<<<<< A' || chr(10), n) || c0 || chr(10) || tail) ELSE ch END AS result_hash, gone AS deleted,
+  CASE WHEN n > 0 THEN repeat('<<<<<<< A' || chr(10), n) || c0 || chr(10) || tail END AS content FROM j_{x}),
+v_{x} AS (SELECT file_id, result_hash, path, deleted, content, ts AS valid_from, lead(ts) OVER (PARTITION BY file_id ORDER BY rn) AS valid_to FROM (SELECT *, lag({{'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted}}) OVER (PARTITION BY file_id ORDER BY rn) IS DISTINCT FROM {{'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted}} AS fresh FROM q_{x}) WHERE fresh)
+""".replace("{{", "«").replace("}}", "»")
+
 SIMPLE = {
     "log": fx.portable(fx.LOG, False),
     "lin": fx.portable(fx.LINEAR_LOG, False),
@@ -48,10 +73,12 @@ SIMPLE = {
 }
 
 
-def oracle(sql: str, *names: str, fold: tuple[str, ...] = (), **more: str) -> str:
-    """sql behind the named common tables, then `more` ones, then the fold of the tables in `fold`."""
+def oracle(sql: str, *names: str, fold: tuple[str, ...] = (), causal: tuple[str, ...] = (), lives: tuple[str, ...] = (), **more: str) -> str:
+    """sql behind the named common tables, then `more` ones, then the fold of the tables in `fold` (in `causal`: by causal order)."""
     parts = [f"{n} AS ({SIMPLE[n]})" for n in names] + [f"{n} AS ({s})" for n, s in more.items()]
-    parts += [FOLD.replace("{x}", x).replace("«", "{").replace("»", "}") for x in fold]
+    by_key = FOLD.strip().split("\n", 1)
+    parts += [(FOLD if x in fold else CAUSAL + by_key[1]).replace("{x}", x).replace("«", "{").replace("»", "}") for x in (*fold, *causal)]
+    parts += [LIVES.replace("{x}", x).replace("«", "{").replace("»", "}") for x in lives]
     return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
 
 
@@ -142,10 +169,7 @@ ROW_ID = " || ".join(
      fld("result_hash"), fld("path"), fld("branch_id"), fld("''")]
 )
 
-VERSIONS = {
-    "linp": "SELECT * REPLACE (CASE WHEN path IS NOT NULL THEN file_id || '/' || path END AS path) FROM lin",
-    "alive": f"SELECT file_id, arg_max(path, {KEY}) FILTER (WHERE kind IN ('create','rename')) AS path, arg_max(result_hash, {KEY}) FILTER (WHERE kind IN ('create','edit') AND NOT late) AS result_hash, bool_or(kind = 'delete') AS deleted FROM (SELECT *, coalesce(max(kind = 'delete') OVER (PARTITION BY file_id ORDER BY lamport, site_id, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM linp WHERE ts <= {T(0.4)}) WHERE NOT late OR kind = 'delete' GROUP BY file_id",
-}
+OWN_PATHS = "SELECT * REPLACE (CASE WHEN path IS NOT NULL THEN file_id || '/' || path END AS path) FROM log"
 
 ORACLES: dict[str, str] = {
     "a02_changed_files": """WITH l AS (SELECT 'd' || doc_id AS path, doc_id AS mtime, strlen(text) AS size, text, doc_id FROM documents),
@@ -164,6 +188,7 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
         "SELECT coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN b.file_id IS NULL THEN 'insert' WHEN a.file_id IS NULL THEN 'delete' ELSE 'update' END AS action FROM st_log a FULL JOIN st_old b ON a.file_id = b.file_id WHERE a.path IS DISTINCT FROM b.path OR a.result_hash IS DISTINCT FROM b.result_hash OR a.deleted IS DISTINCT FROM b.deleted",
         "log", old=ASOF, fold=("log", "old"),
     ),
+    "a10_upsert_files": oracle("SELECT file_id, path, result_hash, deleted FROM st_log", "log", fold=("log",)),
     "a11_replace_files": oracle("SELECT file_id, path, result_hash, deleted FROM st_log", "log", fold=("log",)),
     "a12_export_state": oracle("SELECT * FROM blobs WHERE content_hash IN (SELECT base_hash FROM log UNION SELECT result_hash FROM log)", "log", "blobs"),
     "a13_import_state": oracle("SELECT count(*) AS new_rows FROM log WHERE lamport % 4 = 0", "log"),
@@ -198,7 +223,10 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "c06_content_of": oracle("SELECT file_id, text FROM st_lin JOIN blobs ON result_hash = content_hash WHERE NOT deleted", "lin", "blobs", fold=("lin",)),
     "c07_tag_lane": oracle("SELECT tag_id, tl.branch_id, coalesce(lane, 0) AS lane FROM tl LEFT JOIN lanes ON lanes.branch_id = tl.branch_id", "meta", "branches", allb=ALL_BRANCHES, lanes=GRAPH["lanes"], trec=TREC, tl=TLWW),
     "c08_fork_edge": oracle("SELECT n.branch_id, n.parent AS fork_commit FROM nodes n WHERE n.before IS NULL AND n.branch_id <> 'main'", *LOGB, **GALL, **capped(100_000)),
-    "c09_file_at": oracle(f"SELECT p.path, {T(0.4)} AS t, a.path IS NOT NULL AS found, a.result_hash FROM (SELECT DISTINCT path FROM linp WHERE path IS NOT NULL) p LEFT JOIN (SELECT * FROM alive WHERE NOT deleted) a ON a.path = p.path", "lin", **VERSIONS),
+    "c09_file_at": oracle(
+        f"SELECT p.path, p.t, v.path IS NOT NULL AS found, v.result_hash, CASE WHEN v.path IS NOT NULL THEN coalesce(v.content, blobs.text, '') END AS content FROM (SELECT DISTINCT path, unnest([{T(0.3)}, {T(0.6)}, {T(0.9)}]) AS t FROM own WHERE path IS NOT NULL) p LEFT JOIN v_own v ON v.path = p.path AND NOT v.deleted AND v.valid_from <= p.t AND (v.valid_to IS NULL OR p.t < v.valid_to) LEFT JOIN blobs ON blobs.content_hash = v.result_hash",
+        "log", "blobs", own=OWN_PATHS, lives=("own",),
+    ),
     "c10_unreferenced": oracle("SELECT content_hash FROM blobs WHERE content_hash NOT IN (SELECT result_hash FROM st_log WHERE NOT deleted)", "log", "blobs", fold=("log",)),
     "d01_version_vector": oracle("SELECT site_id, max(seq) AS seq FROM log GROUP BY 1", "log"),
     "d02_visible_version_vector": oracle("SELECT site_id, max(seq) AS seq FROM vis WHERE target = 'b2' GROUP BY 1", *LOGB, **VIS),
@@ -239,6 +267,7 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "g06_resolve_paths": oracle("SELECT file_id, path, deleted, result_hash FROM res_log", "log", fold=("log",)),
     "g07_current_files_linear": oracle("SELECT file_id, path, result_hash, lamport FROM res_lin WHERE NOT deleted", "lin", fold=("lin",)),
     "g08_refold": oracle("SELECT file_id, path, result_hash, deleted, lamport, conflict FROM st_log", "log", fold=("log",)),
+    "g08_refold_paths": oracle("SELECT * EXCLUDE (content) FROM res_log", "log", fold=("log",)),
     "g10_line_diff": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN t = '' THEN 1 ELSE len(l) + 1 END ELSE 0 END AS line, '' AS removed, CASE doc_id % 3 WHEN 0 THEN CASE WHEN t = '' THEN 'top|' ELSE 'top' END WHEN 1 THEN CASE WHEN t = '' THEN '|end' ELSE 'end' END ELSE '' END AS added, CASE WHEN doc_id % 3 = 1 AND t <> '' THEN array_to_string(list_slice(l, -2, -1), '|') ELSE '' END AS context FROM (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
     "h01_ancestry": oracle("SELECT target, cast(depth AS bigint) AS depth, branch_id FROM lines", "meta", brec=BREC, bl=BLWW, bm=BMAIN, lines=LINEAGE.replace("{b}", "bm")),
     "h04_branch_files": oracle("SELECT file_id, path, result_hash, deleted, lamport, conflict FROM res_v1", *LOGB, **VIS, v1=VB1, fold=("v1",)),
@@ -254,10 +283,7 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
         f"SELECT c.kind, row_number() OVER (ORDER BY c.p, c.fid) - 1 AS seq, 1000000000 + row_number() OVER (ORDER BY c.p, c.fid) - 1 AS lamport, t.tip AS parent, c.have AS base_hash, c.want AS result_hash, CASE WHEN c.kind = 'create' THEN c.p END AS path, true AS valid FROM (SELECT coalesce(a.path, b.path) AS p, coalesce(a.file_id, '') AS fid, a.file_id AS f, a.result_hash AS have, b.result_hash AS want, CASE WHEN a.path IS NULL THEN 'create' WHEN b.path IS NULL THEN 'delete' ELSE 'edit' END AS kind FROM (SELECT * FROM res_vmain WHERE NOT deleted) a FULL JOIN (SELECT * FROM res_old WHERE NOT deleted) b ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash) c LEFT JOIN (SELECT file_id, arg_max(id, {KEY}) AS tip FROM vmain GROUP BY 1) t ON t.file_id = c.f",
         *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("vmain", "old"),
     ),
-    "t07_file_versions": oracle(
-        "SELECT file_id, result_hash, path, deleted, ts AS valid_from, lead(ts) OVER (PARTITION BY file_id ORDER BY rn) AS valid_to FROM (SELECT *, lag({'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted}) OVER (PARTITION BY file_id ORDER BY rn) IS DISTINCT FROM {'a': coalesce(result_hash, ''), 'b': coalesce(path, ''), 'c': deleted} AS fresh FROM (SELECT file_id, rn, ts, last_value(CASE WHEN kind IN ('create','edit') THEN result_hash END IGNORE NULLS) OVER w AS result_hash, last_value(CASE WHEN kind IN ('create','rename') THEN path END IGNORE NULLS) OVER w AS path, coalesce(bool_or(kind = 'delete') OVER w, false) AS deleted FROM k_lin WINDOW w AS (PARTITION BY file_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) WHERE fresh",
-        "lin", fold=("lin",),
-    ),
+    "t07_file_versions": oracle("SELECT * EXCLUDE (content) FROM v_log", "log", lives=("log",)),
     "t08_state_at_tags": oracle(
         "SELECT split_part(file_id, '@', 1) AS tag_id, split_part(file_id, '@', 2) AS file_id, split_part(path, '@', 2) AS path, result_hash FROM res_x WHERE NOT deleted",
         "log", "branches", "meta", **VIS, trec=TREC, tl=TLWW, x="SELECT l.* EXCLUDE (target) REPLACE (t.tag_id || '@' || l.file_id AS file_id, t.tag_id || '@' || l.path AS path) FROM vis l JOIN tl t ON l.target = t.branch_id AND l.ts <= t.at_ts", fold=("x",),
@@ -276,6 +302,18 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "s04_stream_version_vector": oracle("SELECT site_id, max(seq) AS seq FROM log GROUP BY 1", "log"),
     "s05_stream_status": oracle("SELECT count(*) AS rows, max(ts) AS last_ts, max(lamport) AS max_lamport FROM log", "log"),
     "s06_stream_activity": oracle("SELECT ts // 86400 * 86400 AS bucket, kind, count(*) AS n FROM log GROUP BY 1, 2", "log"),
+    "s06_stream_activity_sliding": oracle("SELECT ts // 21600 * 21600 - k * 21600 AS bucket, kind, count(*) AS n FROM log, generate_series(0, 3) v(k) GROUP BY 1, 2", "log"),
+    "s03_stream_debounce": oracle(
+        f"SELECT file_id, site_id, min(ts) AS started, arg_min(base_hash, {KEY}) AS base_hash, arg_max(result_hash, {KEY}) AS result_hash, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY file_id, site_id, ts // 86400 ORDER BY ts, id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY file_id, site_id, ts // 86400 ORDER BY ts, id) <= 600 THEN 0 ELSE 1 END AS fresh FROM log WHERE kind IN ('create','edit'))) GROUP BY file_id, site_id, ts // 86400, burst HAVING arg_min(coalesce(base_hash, ''), {KEY}) <> arg_max(result_hash, {KEY})",
+        "log",
+    ),
+    "s08_stream_files_delta": oracle(
+        "SELECT file_id, arg_max(action, k) AS last_action, count(*) FILTER (action = 'insert') AS inserts FROM (" + " UNION ALL ".join(
+            f"SELECT a.file_id, {k} AS k, CASE WHEN b.file_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM st_b{k} a LEFT JOIN st_b{k - 1} b ON a.file_id = b.file_id WHERE b.file_id IS NULL OR a.path IS DISTINCT FROM b.path OR a.result_hash IS DISTINCT FROM b.result_hash OR a.deleted IS DISTINCT FROM b.deleted"
+            for k in range(1, 5)
+        ) + ") GROUP BY 1",
+        "log", b0="SELECT * FROM log WHERE false", **{f"b{k}": f"SELECT * FROM log WHERE substr(sha256(id), 1, 1) < '{d}'" for k, d in zip(range(1, 5), "48cg", strict=True)}, fold=("b0", "b1", "b2", "b3", "b4"),
+    ),
     "s07_stream_records": oracle("SELECT branch_id, name, parent, created_lamport, deleted FROM bl", "meta", brec=BREC, bl=BLWW),
     "a01_scan_tree": "SELECT 'lang=' || coalesce(lang, 'none') AS dir, cast(sum(strlen(coalesce(text, '')) + 1) AS bigint) AS bytes FROM documents WHERE coalesce(lang, 'none') <> 'de' GROUP BY 1",
     "d13_tree_hash": oracle("SELECT sha256(string_agg(file_id || chr(0) || path || chr(0) || result_hash || chr(10), '' ORDER BY file_id || chr(0) || path)) AS tree_hash, count(*) AS files FROM res_old WHERE NOT deleted", *LOGB, **VIS, vmain=VMAIN, old=upto(0.5), fold=("old",)),
@@ -304,6 +342,6 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     ),
     "v04_refold_with_tiebreak": oracle(
         "SELECT coalesce(a.file_id, b.file_id) AS file_id, a.result_hash AS by_lamport, b.result_hash AS by_clock FROM st_late a FULL JOIN st_clock b ON a.file_id = b.file_id WHERE a.result_hash IS DISTINCT FROM b.result_hash",
-        "log", late="SELECT * REPLACE (CASE WHEN lamport % 9 = 0 THEN ts - 1000000 ELSE ts END AS ts) FROM log", clock="SELECT * REPLACE (ts AS lamport) FROM late", fold=("late", "clock"),
+        "log", late="SELECT * REPLACE (CASE WHEN lamport % 9 = 0 THEN ts - 1000000 ELSE ts END AS ts) FROM log", clock="SELECT * REPLACE (ts AS lamport) FROM late", fold=("late",), causal=("clock",),
     ),
 }

@@ -130,6 +130,16 @@ def a10_sync_files(spark: SparkSession, sf: str) -> DataFrame:
     return src.sync_files(files_like(log, blobs), files_like(tt.as_of_filter(log, at(spark, sf)), blobs))
 
 
+@query
+def a10_upsert_files(spark: SparkSession, sf: str) -> DataFrame:
+    log, blobs, root = fx.log(spark, sf), fx.blobs(spark, sf), new_folder(spark)
+    old, new = (stored(files_like(x, blobs)) for x in (tt.as_of_filter(log, at(spark, sf)), log))
+    src.write_files(old, root)
+    actions = stored(src.sync_files(new, old))
+    src.upsert_files(new.join(actions.filter("action != 'delete'"), "file_id", "left_semi"), actions.filter("action = 'delete'"), root)
+    return src.read_files(spark, root, "file_id string, path string, result_hash string, deleted boolean")
+
+
 @query
 def a11_replace_files(spark: SparkSession, sf: str) -> DataFrame:
     return src.replace_files(files_like(fx.log(spark, sf), fx.blobs(spark, sf)), new_folder(spark))
@@ -330,9 +340,9 @@ def c08_fork_edge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c09_file_at(spark: SparkSession, sf: str) -> DataFrame:
-    log = fx.linear_log(spark, sf).withColumn("path", F.when(F.col("path").isNotNull(), F.concat("file_id", F.lit("/"), "path")))
-    probes = log.filter("path is not null").select("path", F.lit(at(spark, sf, 0.4)).alias("t")).distinct()
-    return tt.versions_at(log, probes)
+    log = fx.log(spark, sf).withColumn("path", F.when(F.col("path").isNotNull(), F.concat("file_id", F.lit("/"), "path")))
+    times = F.explode(F.array(*[F.lit(at(spark, sf, share)) for share in (0.3, 0.6, 0.9)])).alias("t")
+    return tt.versions_at(log, log.filter("path is not null").select("path", times), fx.blobs(spark, sf))
 
 
 @query
@@ -596,6 +606,14 @@ def g08_refold(spark: SparkSession, sf: str) -> DataFrame:
     return fold.refold(held, log, log.filter(F.col("ts") > t), blobs).select("file_id", "path", "result_hash", "deleted", "lamport", "conflict")
 
 
+@query
+def g08_refold_paths(spark: SparkSession, sf: str) -> DataFrame:
+    log, blobs = fx.log(spark, sf), fx.blobs(spark, sf)
+    t = at(spark, sf, 0.9)
+    held = stored(fold.states(tt.as_of_filter(log, t), blobs))
+    return fold.refold_files(held, stored(paths.resolve_paths(held)), log, log.filter(F.col("ts") > t), blobs)[1]
+
+
 @query
 def g09_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return fold.states(fx.log(spark, sf), fx.blobs(spark, sf)).filter("conflict").select("file_id", "path")
@@ -695,7 +713,7 @@ def t06_restore_files_at(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t07_file_versions(spark: SparkSession, sf: str) -> DataFrame:
-    return tt.file_versions(fx.linear_log(spark, sf))
+    return tt.file_versions(fx.log(spark, sf), fx.blobs(spark, sf))
 
 
 @query
@@ -738,7 +756,7 @@ def v02_search(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def v03_merge_branches(spark: SparkSession, sf: str) -> DataFrame:
     done = br.merge_branches(stored(fx.log(spark, sf)), fx.branches(spark), "b1", "main", fx.blobs(spark, sf))
-    return done.select("file_id", "path", "action", "have", "want", "conflict")
+    return done.select("file_id", "action", "path", "merge_class", "have", "want", "conflict")
 
 
 @query
@@ -755,8 +773,7 @@ def v05_first_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def v06_blob_gc(spark: SparkSession, sf: str) -> DataFrame:
-    blobs = fold.with_merged(fx.blobs(spark, sf), fx.log(spark, sf))
-    return tt.blob_gc(stored(blobs), fx.log(spark, sf), at(spark, sf, 0.7), main_at(spark, sf).withColumn("label", F.lit("half")))
+    return tt.blob_gc(fx.blobs(spark, sf), fx.log(spark, sf), at(spark, sf, 0.7), main_at(spark, sf).withColumn("label", F.lit("half")))
 
 
 @query

@@ -16,14 +16,14 @@ SELECT h.id, concat('s', cast(h.event_id % 5 AS string)) AS site_id, h.event_id
        h.tsec AS ts, concat('f', cast(h.user_id AS string)) AS file_id, h.kind,
        CASE WHEN h.user_id % 4 = 0 OR h.kind = 'reclass' THEN 'code' ELSE 'text' END AS merge_class,
        CASE WHEN c.event_id % 11 = 0 AND c.p2 IS NOT NULL THEN c.p2 ELSE c.p1 END AS parent,
-       CASE WHEN c.event_id % 11 = 0 AND c.h2 IS NOT NULL THEN c.h2 ELSE c.h1 END AS base_hash,
+       CASE WHEN h.kind = 'create' THEN NULL WHEN c.event_id % 11 = 0 AND c.h2 IS NOT NULL THEN c.h2 ELSE c.h1 END AS base_hash,
        h.rh AS result_hash,
        CASE WHEN h.kind = 'create' THEN concat('d', cast(h.user_id % 7 AS string), '/note-', cast(h.user_id % 50 AS string), '.md')
             WHEN h.kind = 'rename' THEN concat('d', cast(h.user_id % 7 AS string), '/moved-', cast(h.event_id % 50 AS string), '.md') END AS path,
        CASE WHEN h.event_id % 13 = 0 THEN 'b1' WHEN h.event_id % 17 = 0 THEN 'b2' ELSE 'main' END AS branch_id
 FROM (SELECT *, concat('r', cast(event_id AS string)) AS id,
              CASE WHEN kind IN ('create','edit') THEN «concat(cast(user_id AS string), ':', cast(event_id AS string))» END AS rh
-      FROM (SELECT *, CASE WHEN rn = 1 THEN 'create'
+      FROM (SELECT *, CASE WHEN rn = 1 OR event_id % 37 = 0 THEN 'create'
                      WHEN event_type = 'error'    AND event_id % 29 = 0 THEN 'delete'
                      WHEN event_type = 'purchase' AND event_id % 31 = 0 THEN 'reclass'
                      WHEN event_type = 'signup'   AND event_id % 3  = 0 THEN 'rename'
@@ -38,7 +38,7 @@ LEFT JOIN (SELECT event_id, lag(rh, 1) OVER (PARTITION BY user_id ORDER BY event
              lag(id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS p2
            FROM (SELECT *, concat('r', cast(event_id AS string)) AS id,
                         «concat(cast(user_id AS string), ':', cast(event_id AS string))» AS rh
-                 FROM (SELECT *, CASE WHEN rn = 1 THEN 'create'
+                 FROM (SELECT *, CASE WHEN rn = 1 OR event_id % 37 = 0 THEN 'create'
                      WHEN event_type = 'error'    AND event_id % 29 = 0 THEN 'delete'
                      WHEN event_type = 'purchase' AND event_id % 31 = 0 THEN 'reclass'
                      WHEN event_type = 'signup'   AND event_id % 3  = 0 THEN 'rename'
@@ -50,7 +50,7 @@ LEFT JOIN (SELECT event_id, lag(rh, 1) OVER (PARTITION BY user_id ORDER BY event
 
 #: The same without stale bases: no file then needs a merge.
 LINEAR_LOG = LOG.replace("CASE WHEN c.event_id % 11 = 0 AND c.p2 IS NOT NULL THEN c.p2 ELSE c.p1 END", "c.p1").replace(
-    "CASE WHEN c.event_id % 11 = 0 AND c.h2 IS NOT NULL THEN c.h2 ELSE c.h1 END", "c.h1"
+    "WHEN c.event_id % 11 = 0 AND c.h2 IS NOT NULL THEN c.h2 ELSE c.h1 END", "ELSE c.h1 END"
 )
 
 #: Contents of the log's hashes: the hashed string itself.
@@ -99,16 +99,28 @@ def derived(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     return spark.sql(sql, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+#: Derived tables that this session has written: (application, folder, template) -> table.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """A derived table, written once per session and folder: queries that share it read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, template)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stored(derived(spark, sf_dir, template))
+    return _WRITTEN[key]
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(derived(spark, sf_dir, LOG))
+    return once(spark, sf_dir, LOG)
 
 
 def linear_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(derived(spark, sf_dir, LINEAR_LOG))
+    return once(spark, sf_dir, LINEAR_LOG)
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(derived(spark, sf_dir, BLOBS))
+    return once(spark, sf_dir, BLOBS)
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.ids import blob_valid, content_hash, id_valid
 from chronofold.functions.text import ignored
 from chronofold.sources.schemas import BRANCH_RECORD, MAIN, META_KINDS, TAG_RECORD
+from chronofold.sources.tables import stored
 
 
 def scan_tree(spark: SparkSession, root: str, rules: str = "", private: str = ".store") -> DataFrame:
@@ -129,6 +130,41 @@ def sync_files(new: DataFrame, old: DataFrame, key: str = "file_id") -> DataFram
     return both.select(key, action.alias("action"))
 
 
+def bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("part")
+
+
+def write_files(files: DataFrame, path: str, key: str = "file_id", buckets: int = 64) -> None:
+    """Writes a table of files in buckets of its key, which upsert_files() then changes one by one."""
+    files.withColumn("part", bucket(key, buckets)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that write_files() wrote; a schema without the bucket column."""
+    return spark.read.schema(f"{schema}, part int").parquet(path).drop("part")
+
+
+def upsert_files(changed: DataFrame, gone: DataFrame, path: str, key: str = "file_id", buckets: int = 64) -> list[int]:
+    """Puts changed rows into the table at path and takes those of gone(key) out; returns the buckets written.
+
+    Only buckets that hold such a row are read and overwritten; the files of all others stay as they are.
+    """
+    spark = changed.sparkSession
+    keys = stored(changed.select(key).union(gone.select(key)).distinct().withColumn("part", bucket(key, buckets)))
+    parts = sorted(r[0] for r in keys.select("part").distinct().collect())  # `buckets` at most
+    if not parts:
+        return []
+    table = spark.read.schema(changed.withColumn("part", bucket(key, buckets)).schema).parquet(path)
+    kept = table.filter(F.col("part").isin(parts)).join(keys.select(key), key, "left_anti")
+    rows = stored(kept.select(*changed.columns, "part").unionByName(changed.withColumn("part", bucket(key, buckets))))
+    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    left = {r[0] for r in rows.select("part").distinct().collect()}
+    for p in set(parts) - left:  # a bucket that has lost its last row
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={p}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return parts
+
+
 def referenced_hashes(log: DataFrame) -> DataFrame:
     both = F.explode(F.array("base_hash", "result_hash"))
     return log.select(both.alias("content_hash")).filter("content_hash is not null").distinct()

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.functions.ids import blob_valid
 from chronofold.operators.fold import CLAIM, key_of, states
 from chronofold.sources.log import checked, new_rows, sync_files
 from chronofold.sources.schemas import FILES
@@ -53,6 +54,16 @@ def whole(stream: DataFrame, work: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream_schema(stream)).parquet(*last)
 
 
+def closed(stream: DataFrame, work: str) -> DataFrame:
+    """The result of a windowed aggregation in append mode: what the watermark has closed, each window once."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/out/n={number}")
+
+    drain(stream, work, each)
+    return stream.sparkSession.read.schema(stream_schema(stream)).parquet(*batches(stream.sparkSession, work))
+
+
 def stream_schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -66,8 +77,12 @@ def batches(spark: SparkSession, work: str, name: str = "out") -> list[str]:
     return sorted(str(x.getPath()) for x in fs.listStatus(path))
 
 
-def integrate(stream: DataFrame, work: str, check: bool = True) -> DataFrame:
-    """Appends each new id once; a batch that is run again after a failure adds nothing twice. A bad id fails the stream."""
+def integrate(stream: DataFrame, work: str, check: bool = True, blobs: DataFrame | None = None) -> DataFrame:
+    """Appends each new id once; a batch that is run again after a failure adds nothing twice. A bad id fails the stream.
+
+    With blobs(content_hash, bytes), the contents that came along, those that a batch's rows name are hashed, and one whose
+    bytes do not give its hash fails the stream too.
+    """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
@@ -75,6 +90,11 @@ def integrate(stream: DataFrame, work: str, check: bool = True) -> DataFrame:
         held = [p for p in batches(spark, work) if number_of(p) < number]
         if held:
             rows = new_rows(spark.read.schema(batch.schema).parquet(*held), rows)
+        if blobs is not None:
+            named = batch.select(F.explode(F.array_compact(F.array("base_hash", "result_hash"))).alias("content_hash")).distinct()
+            bad = blobs.join(named, "content_hash", "left_semi").filter(~blob_valid())
+            if not bad.isEmpty():
+                raise ValueError("blob hash does not match its content")
         rows.write.mode("overwrite").parquet(f"{work}/out/n={number}")
 
     drain(stream, work, each)
@@ -85,12 +105,34 @@ def number_of(path: str) -> int:
     return int(path.rsplit("=", 1)[1])
 
 
+#: Partitions of a stream's log and states, and batches after which kept states are written together anew.
+PARTS, TOGETHER = 64, 32
+
+
+def state_log(spark: SparkSession, work: str, upto: int, parts: list[int] | None = None) -> DataFrame | None:
+    """States as batches up to `upto` left them: of each file the latest row since the states were last written together."""
+    whole = [p for p in batches(spark, work, "whole") if number_of(p) <= upto]
+    base = max(whole, key=number_of, default=None)
+    since = [p for p in batches(spark, work, "states") if (number_of(base) if base else -1) < number_of(p) <= upto]
+    read = lambda root, paths: spark.read.schema(f"{STATES}, n int, part int").option("basePath", f"{work}/{root}").parquet(*paths)
+    rows = read("states", since) if since else None
+    if base:
+        rows = read("whole", [base]) if rows is None else rows.unionByName(read("whole", [base]))
+    if rows is None:
+        return None
+    rows = rows if parts is None else rows.filter(F.col("part").isin(parts))
+    names = [x.split()[0] for x in f"{FILES}, claim".split(", ")]
+    return rows.groupBy("file_id").agg(F.max_by(F.struct(*names), "n").alias("v")).select("v.*")
+
+
 def kept_states(work: str, blobs: DataFrame, note: Callable[[DataFrame, DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A batch step that keeps folded states below work/states: only the files that the batch touches fold anew.
+    """A batch step that keeps folded states below work: only the files that the batch touches fold anew and are written.
 
-    The log below work/log is partitioned by a hash of file_id, so that a batch reads no other partitions than its files',
-    and states of partitions that it does not touch are carried on as they are. Everything a batch needs is on the shared
-    folder: a query that stops goes on from there, and a batch that is run again overwrites its own output.
+    The log below work/log is partitioned by a hash of file_id, so that a batch reads no other partitions than its files'.
+    A batch writes the states of its files as one more layer of work/states, likewise partitioned; the latest layer that has
+    a file counts, and every TOGETHER batches the layers are written together to work/whole. So what a batch writes follows
+    its files, but for that share of all states. Everything is on the shared folder: a query that stops goes on from there,
+    and a batch that is run again overwrites its own output.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -101,26 +143,25 @@ def kept_states(work: str, blobs: DataFrame, note: Callable[[DataFrame, DataFram
         touched = spark.read.schema(f"{stream_schema(batch)}, part int").parquet(f"{work}/log/n={number}").select("file_id", "part").distinct()
         parts = sorted(r[0] for r in touched.select("part").distinct().collect())  # PARTS at most
         fresh = states(log.filter(F.col("part").isin(parts)).join(touched.select("file_id"), "file_id", "left_semi").drop("part"), blobs)
-        before = [p for p in batches(spark, work, "states") if number_of(p) < number]
-        held = spark.read.schema(fresh.schema).parquet(max(before, key=number_of)) if before else fresh.limit(0)
-        now = held.join(touched.select("file_id"), "file_id", "left_anti").unionByName(fresh)
-        now.write.mode("overwrite").parquet(f"{work}/states/n={number}")
+        fresh.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{work}/states/n={number}")
         if note:
-            note(spark.read.schema(now.schema).parquet(f"{work}/states/n={number}"), held, number)
+            before = state_log(spark, work, number - 1, parts)
+            now = spark.read.schema(f"{STATES}, part int").parquet(f"{work}/states/n={number}").drop("part")
+            before = now.limit(0) if before is None else before.join(touched.select("file_id"), "file_id", "left_semi")
+            note(now, before, number)
+        if number % TOGETHER == TOGETHER - 1:
+            state_log(spark, work, number).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{work}/whole/n={number}")
 
     return each
 
 
-#: Partitions of a stream's log.
-PARTS = 64
-
-
 def fold(stream: DataFrame, work: str, blobs: DataFrame) -> DataFrame:
     """Keeps the folded states up to date: a batch re-folds the files that it touches from all their rows."""
     spark = stream.sparkSession
     drain(stream, work, kept_states(work, blobs))
-    last = max(batches(spark, work, "states"), key=number_of)
-    return spark.read.schema(STATES).parquet(last)
+    last = max((number_of(p) for p in batches(spark, work, "states")), default=-1)
+    held = state_log(spark, work, last)
+    return spark.createDataFrame([], STATES) if held is None else held
 
 
 def debounce(stream: DataFrame, gap: str = "10 minutes", longest: int = 86_400, late: str | None = None) -> DataFrame:
@@ -146,10 +187,16 @@ def status(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("last_ts"), F.max("lamport").alias("max_lamport"))
 
 
-def activity(stream: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
-    at = F.timestamp_seconds("ts")
-    window = F.window(at, size, slide) if slide else F.window(at, size)
-    return stream.groupBy(window, "kind").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("window.start").alias("bucket"), "kind", "n")
+def activity(stream: DataFrame, size: str = "1 day", slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Rows by kind and time window, tumbling or, with `slide`, sliding.
+
+    With `late`, rows may be so much behind the newest one, windows before that are closed and leave the state, and rows that
+    come for them are dropped: for append mode.
+    """
+    rows = stream.withColumn("at", F.timestamp_seconds("ts"))
+    rows = rows.withWatermark("at", late) if late else rows
+    window = F.window("at", size, slide) if slide else F.window("at", size)
+    return rows.groupBy(window, "kind").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("window.start").alias("bucket"), "kind", "n")
 
 
 def records(stream: DataFrame, record: str = "rec") -> DataFrame:
@@ -160,7 +207,7 @@ def records(stream: DataFrame, record: str = "rec") -> DataFrame:
 def files_delta(stream: DataFrame, work: str, blobs: DataFrame) -> DataFrame:
     """(batch, file_id, action) of the file rows that each batch changes, against the states kept by the one before."""
     spark = stream.sparkSession
-    names = ["file_id", "path", "result_hash", "deleted"]
+    names = ["file_id", "path", "result_hash", "deleted"]  # of touched files only: the others cannot differ
 
     def note(now: DataFrame, before: DataFrame, number: int) -> None:
         sync_files(now.select(*names), before.select(*names)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/n={number}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import fold, paths
 from chronofold.operators.merge import merge_text
-from chronofold.operators.timetravel import refold_with_tiebreak
+from chronofold.operators.timetravel import file_versions, refold_with_tiebreak, versions_at
 from chronofold.sources.schemas import LOG
 
 COLUMNS = [x.split()[0] for x in LOG.split(", ")]
@@ -43,9 +43,11 @@ def history(seed: int) -> tuple[list[dict], dict[str, str]]:
     return rows, contents
 
 
-def machine(rows: list[dict], contents: dict[str, str]) -> dict[str, dict]:
+def machine(rows: list[dict], contents: dict[str, str], made: dict[str, str] | None = None) -> dict[str, dict]:
+    """States by walking the rows one by one; `made`, if given, gets all contents, merged ones too."""
     out: dict[str, dict] = {}
-    made = dict(contents)
+    made = dict(contents) if made is None else made
+    made |= contents
     left = sorted(rows, key=lambda r: (r["lamport"], r["site_id"], r["id"]))
     order: list[dict] = []
     while left:  # the smallest row whose parent is placed or unknown
@@ -126,6 +128,72 @@ def test_refold_equals_fold(frames):
     assert sorted(map(str, again.collect())) == sorted(map(str, fold.states(log, blobs).collect()))
 
 
+def test_refolded_paths_equal_all_paths(frames):
+    """Only families that touched files leave or enter are resolved again, and the outcome is that of resolving all."""
+    log, blobs, _ = frames
+    for upto in (4, 12):
+        old = log.filter(F.col("ts") < upto)
+        held = fold.states(old, blobs)
+        now, files = fold.refold_files(held, paths.resolve_paths(held), log, log.filter(F.col("ts") >= upto), blobs)
+        assert sorted(map(str, files.collect())) == sorted(map(str, paths.resolve_paths(fold.states(log, blobs)).select(*files.columns).collect()))
+
+
+def test_directories_follow_refolded_files(spark):
+    """A directory gives way to a file that comes to its path, and is back when the file goes."""
+    row = lambda n, f, kind, path, cls: (f"r{n}", "s", n, n, n, f, kind, cls, None, None, None, path, "main", None, None)
+    rows = [row(1, "d", "create", "x", "dir"), row(2, "e", "create", "x", "dir"), row(3, "g", "create", "y", "text"), row(4, "f", "create", "x", "text"), row(5, "f", "rename", "z", "text"), row(6, "e", "delete", None, "dir")]
+    blobs = spark.createDataFrame([], "content_hash string, text string")
+    for k in range(3, 6):
+        log, old = (spark.createDataFrame(rows[:n], LOG) for n in (k + 1, k))
+        held = fold.states(old, blobs)
+        files = fold.refold_files(held, paths.resolve_paths(held), log, log.filter(F.col("ts") == k + 1), blobs)[1]
+        assert sorted(map(str, files.collect())) == sorted(map(str, paths.resolve_paths(fold.states(log, blobs)).select(*files.columns).collect()))
+
+
+def test_versions_equal_the_machine_at_any_time(spark):
+    """Every life of a file, merges among them: the version at t is the state of the rows up to t."""
+    rows, contents, want = [], {}, {}
+    for seed in range(40, 60):
+        own, texts = history(seed)
+        contents |= texts
+        order = machine_order(own)
+        for t, r in enumerate(order):
+            r |= {"ts": t, "file_id": f"h{seed}-{r['file_id']}"}
+        rows += order
+        for t in range(len(order)):
+            for f, s in machine([r for r in order if r["ts"] <= t], texts).items():
+                want[f, t] = (s["hash"], s["path"], s["deleted"])
+    log = spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], LOG)
+    blobs = spark.createDataFrame(list(contents.items()), "content_hash string, text string")
+    got: dict = {}
+    for v in file_versions(log, blobs).collect():
+        until = v["valid_to"] if v["valid_to"] is not None else 10**6
+        for f, t in want:
+            if f == v["file_id"] and v["valid_from"] <= t < until:
+                got[f, t] = (v["result_hash"], v["path"], v["deleted"])
+    assert got == want
+    kinds = {f: [r["kind"] for r in rows if r["file_id"] == f] for f in {r["file_id"] for r in rows}}
+    assert sum(k.count("create") > 1 for k in kinds.values()) > 5  # files that were created again
+
+
+def machine_order(rows: list[dict]) -> list[dict]:
+    left, out = sorted(rows, key=lambda r: (r["lamport"], r["site_id"], r["id"])), []
+    while left:
+        waiting = {r["id"] for r in left}
+        out.append(left.pop(next(i for i, r in enumerate(left) if r["parent"] not in waiting)))
+    return out
+
+
+def test_probes_see_files_that_were_created_again(spark):
+    row = lambda n, kind, text: (f"r{n}", "s", n, n, n, "f", kind, "text", None, None, text and sha(text), "p" if kind == "create" else None, "main", None, None)
+    log = spark.createDataFrame([row(10, "create", "a"), row(20, "delete", None), row(30, "create", "b")], LOG)
+    blobs = spark.createDataFrame([(sha(x), x) for x in "ab"], "content_hash string, text string")
+    probes = spark.createDataFrame([("p", t) for t in (5, 10, 15, 20, 25, 30, 99)] + [("q", 15)], "path string, t long")
+    got = {(r["path"], r["t"]): (r["found"], r["content"]) for r in versions_at(log, probes, blobs).collect()}
+    no = (False, None)
+    assert got == {("p", 5): no, ("p", 10): (True, "a"), ("p", 15): (True, "a"), ("p", 20): no, ("p", 25): no, ("p", 30): (True, "b"), ("p", 99): (True, "b"), ("q", 15): no}
+
+
 def test_paths_equal_greedy_claims(frames):
     log, blobs, parts = frames
     rows, texts = parts[0]
