@@ -113,6 +113,22 @@ def restore(log: DataFrame, desired: DataFrame, blobs: DataFrame, branches: Data
     return author_rows(seen, changes.withColumn("file_id", F.coalesce("file_id", fresh)), site, ts, first_seq, first_lamport, branch)
 
 
+def restore_files_at(log: DataFrame, requests: DataFrame, blobs: DataFrame, branches: DataFrame, site: str, ts: int, first_seq: int, first_lamport: int, branch: str = MAIN) -> DataFrame:
+    """Sealed rows that bring single paths of a branch back to what they held at requests(path, t); absent ones are skipped.
+
+    A path asked for at several times goes to the latest of them at which it was there. All instants share one fold.
+    """
+    asked = stored(requests.select("path", "t").filter("path is not null and t is not null").distinct())
+    times = asked.select(F.col("t").cast("string").alias("tag_id"), F.lit(branch).alias("branch_id"), F.col("t").alias("at_ts")).distinct()
+    then = state_at_tags(log, times, blobs, branches).select(F.col("tag_id").cast("long").alias("t"), "path", F.col("result_hash").alias("want"))
+    wanted = asked.join(then, ["path", "t"]).groupBy("path").agg(F.max_by("want", "t").alias("want"))
+    seen = stored(visible_rows(log, branches, branch).drop("target"))
+    now = live_contents(seen, blobs).select("path", "file_id", F.col("result_hash").alias("have"))
+    fresh = F.sha2(F.concat(F.lit(f"{site}:{first_lamport}:"), "path"), 256)
+    changes = wanted.join(now, "path", "left").withColumn("action", F.when(F.col("file_id").isNull(), "create").otherwise("edit")).withColumn("file_id", F.coalesce("file_id", fresh))
+    return author_rows(seen, changes, site, ts, first_seq, first_lamport, branch)
+
+
 def author_rows(log: DataFrame, changes: DataFrame, site: str, ts: int, first_seq: int, first_lamport: int, branch: str = MAIN) -> DataFrame:
     """Sealed rows for changes(file_id, path, action, have, want): parent is the file's tip, base the content it has.
 

@@ -102,8 +102,8 @@ x.seq <= (SELECT min(b.cap) FROM lines g JOIN allb b ON b.branch_id = g.branch_i
 VIS = {"allb": ALL_BRANCHES, "lines": LINEAGE.replace("{b}", "allb"), "vis": VISIBLE}
 BREC = """SELECT id, lamport, site_id, file_id, json_extract_string(record, '$.branch_id') AS branch_id, json_extract_string(record, '$.name') AS name,
 json_extract_string(record, '$.parent') AS parent, cast(json_extract_string(record, '$.created_lamport') AS bigint) AS created_lamport,
-cast(json_extract_string(record, '$.deleted') AS boolean) AS deleted FROM meta WHERE kind = 'branch' AND record LIKE '{%'"""
-BLWW = f"SELECT unnest(r) FROM (SELECT arg_max({{'branch_id': branch_id, 'name': name, 'parent': parent, 'created_lamport': created_lamport, 'deleted': deleted}}, {KEY}) AS r FROM brec GROUP BY file_id)"
+cast(json_extract_string(record, '$.fork_vv.s0') AS bigint) AS s0, cast(json_extract_string(record, '$.fork_vv.s1') AS bigint) AS s1, cast(json_extract_string(record, '$.deleted') AS boolean) AS deleted FROM meta WHERE kind = 'branch' AND record LIKE '{%'"""
+BLWW = f"SELECT unnest(r) FROM (SELECT arg_max({{'branch_id': branch_id, 'name': name, 'parent': parent, 'created_lamport': created_lamport, 'deleted': deleted, 's0': s0, 's1': s1}}, {KEY}) AS r FROM brec GROUP BY file_id)"
 TREC = """SELECT id, lamport, site_id, file_id, json_extract_string(record, '$.tag_id') AS tag_id, json_extract_string(record, '$.name') AS name,
 cast(json_extract_string(record, '$.at_ts') AS bigint) AS at_ts, json_extract_string(record, '$.branch_id') AS branch_id FROM meta WHERE kind = 'tag' AND record LIKE '{%'"""
 TLWW = f"SELECT unnest(r) FROM (SELECT arg_max({{'tag_id': tag_id, 'name': name, 'at_ts': at_ts, 'branch_id': branch_id}}, {KEY}) AS r FROM trec GROUP BY file_id)"
@@ -171,6 +171,13 @@ ROW_ID = " || ".join(
 
 OWN_PATHS = "SELECT * REPLACE (CASE WHEN path IS NOT NULL THEN file_id || '/' || path END AS path) FROM log"
 
+#: Two levels of directories: hosts, whose entries are pages, and the root.
+GIT = {
+    "hosts": "SELECT dir, string_agg(line, '' ORDER BY name) AS body FROM (SELECT regexp_extract(url, '//([^/?#]+)', 1) AS dir, 'p' || page_id AS name, hex(encode('100644 p' || page_id)) || '00' || upper(sha1(encode('blob ' || strlen(html)) || '\\x00'::BLOB || encode(html))) AS line FROM pages) GROUP BY 1",
+    "host_trees": "SELECT dir, sha1(unhex(hex(encode('tree ' || (length(body) // 2))) || '00' || body)) AS tree_id FROM hosts",
+    "trees": "SELECT * FROM host_trees UNION ALL SELECT '', sha1(unhex(hex(encode('tree ' || (length(body) // 2))) || '00' || body)) FROM (SELECT string_agg(hex(encode('40000 ' || dir)) || '00' || upper(tree_id), '' ORDER BY dir || '/') AS body FROM host_trees)",
+}
+
 ORACLES: dict[str, str] = {
     "a02_changed_files": """WITH l AS (SELECT 'd' || doc_id AS path, doc_id AS mtime, strlen(text) AS size, text, doc_id FROM documents),
 k AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN mtime - 1 ELSE mtime END AS mtime, size, sha256(text) AS h FROM l WHERE doc_id % 3 <> 0)
@@ -240,6 +247,9 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "d10_first_seen": oracle("SELECT path, min(ts) AS first_ts FROM (SELECT ts, coalesce(last_value(path IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY lamport, site_id, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS path FROM log) GROUP BY 1", "log"),
     "d11_tag_points": oracle("SELECT cast(r.request AS bigint) AS request, max(lamport) AS at_lamport FROM req r LEFT JOIN vis ON vis.target = r.branch_id AND vis.ts <= r.t GROUP BY 1", *LOGB, **VIS, req=REQ),
     "d12_dir_tree": oracle("SELECT array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS dir, count(*) AS n_files, cast(sum(size) AS bigint) AS bytes FROM (SELECT *, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS n FROM p) GROUP BY 1", p=PATHS),
+    "d14_git_tree": oracle("SELECT * FROM trees", **GIT),
+    "d14_git_tree_again": oracle("SELECT * FROM trees", **GIT),
+    "d14_git_commit": oracle("SELECT tree_id, sha1(encode('commit ' || strlen(body)) || '\\x00'::BLOB || encode(body)) AS commit_id FROM (SELECT tree_id, 'tree ' || tree_id || chr(10) || 'author store <store@example.org> 1700000000 +0000' || chr(10) || 'committer store <store@example.org> 1700000000 +0000' || chr(10) || chr(10) || 'derived snapshot' || chr(10) AS body FROM trees WHERE dir = '')", **GIT),
     "d15_content_groups": oracle("SELECT content_hash, count(h) AS refs FROM blobs LEFT JOIN (SELECT base_hash AS h FROM log UNION ALL SELECT result_hash FROM log) ON h = content_hash GROUP BY 1", "log", "blobs"),
     "d16_kind_counts": oracle("SELECT kind, site_id, branch_id, count(*) AS n FROM log GROUP BY ALL", "log"),
     "e01_history": oracle("SELECT id, file_id, kind, coalesce(last_value(path IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY lamport, site_id, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS path FROM log", "log"),
@@ -329,12 +339,12 @@ FROM (SELECT * FROM l WHERE doc_id % 5 <> 0) l FULL JOIN k ON l.path = k.path"""
     "g07_current_files": oracle("SELECT * EXCLUDE (content) FROM res_log", "log", fold=("log",)),
     "g09_conflicts": oracle("SELECT file_id, path FROM st_log WHERE conflict", "log", fold=("log",)),
     "h02_visibility_caps": oracle(
-        "SELECT l.target, l.branch_id, NULL AS site_id, NULL AS cap FROM lines l WHERE l.depth = 0 AND l.branch_id IN (SELECT branch_id FROM log) UNION ALL SELECT l.target, l.branch_id, 's' || i, min(b.cap) FROM lines l JOIN lines g ON g.target = l.target AND g.depth < l.depth JOIN allb b ON b.branch_id = g.branch_id, generate_series(0, 4) v(i) WHERE l.branch_id IN (SELECT branch_id FROM log) GROUP BY l.target, l.branch_id, l.depth, i HAVING count(b.cap) = l.depth",
-        *LOGB, **VIS,
+        "SELECT target, branch_id, NULL AS site_id, NULL AS cap FROM lines WHERE depth = 0 UNION ALL SELECT l.target, l.branch_id, g.site, min(g.cap) FROM lines l JOIN (SELECT target, depth, site, cap FROM lines x JOIN (SELECT branch_id, 's0' AS site, s0 AS cap FROM bl UNION ALL SELECT branch_id, 's1', s1 FROM bl) v ON v.branch_id = x.branch_id) g ON g.target = l.target AND g.depth < l.depth GROUP BY l.target, l.branch_id, l.depth, g.site HAVING count(*) = l.depth",
+        "meta", brec=BREC, bl=BLWW, bm=BMAIN, lines=LINEAGE.replace("{b}", "bm"),
     ),
     "t06_restore_files_at": oracle(
-        "SELECT b.path, CASE WHEN a.path IS NULL THEN 'create' ELSE 'edit' END AS action FROM (SELECT * FROM res_old WHERE NOT deleted AND path IN (SELECT path FROM log WHERE kind = 'rename')) b LEFT JOIN (SELECT * FROM res_now WHERE NOT deleted) a ON a.path = b.path WHERE a.result_hash IS DISTINCT FROM b.result_hash",
-        *LOGB, **VIS, vmain=VMAIN, old=upto(0.4), now=upto(1.0), fold=("old", "now"),
+        f"SELECT c.kind, row_number() OVER (ORDER BY c.p, c.fid) - 1 AS seq, 1000000000 + row_number() OVER (ORDER BY c.p, c.fid) - 1 AS lamport, t.tip AS parent, c.have AS base_hash, c.want AS result_hash, CASE WHEN c.kind = 'create' THEN c.p END AS path, true AS valid FROM (SELECT b.path AS p, coalesce(a.file_id, '') AS fid, a.file_id AS f, a.result_hash AS have, b.result_hash AS want, CASE WHEN a.path IS NULL THEN 'create' ELSE 'edit' END AS kind FROM (SELECT path, result_hash FROM res_old WHERE NOT deleted AND length(path) % 2 = 0 UNION ALL SELECT path, result_hash FROM res_mid WHERE NOT deleted AND length(path) % 2 = 1) b LEFT JOIN (SELECT * FROM res_vmain WHERE NOT deleted) a ON a.path = b.path WHERE b.path IN (SELECT path FROM log WHERE kind = 'rename') AND a.result_hash IS DISTINCT FROM b.result_hash) c LEFT JOIN (SELECT file_id, arg_max(id, {KEY}) AS tip FROM vmain GROUP BY 1) t ON t.file_id = c.f",
+        *LOGB, **VIS, vmain=VMAIN, old=upto(0.4), mid=upto(0.7), fold=("vmain", "old", "mid"),
     ),
     "t10_diff_versions": oracle(
         "SELECT path, p + 1 AS line, array_to_string(list_slice(a, p + 1, len(a) - s), '|') AS removed, array_to_string(list_slice(b, p + 1, len(b) - s), '|') AS added FROM (SELECT *, coalesce(list_min(list_filter(generate_series(1, m - p), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, m - p) AS s FROM (SELECT *, coalesce(list_min(list_filter(generate_series(1, m), lambda i: a[i] <> b[i])) - 1, m) AS p FROM (SELECT path, a, b, least(len(a), len(b)) AS m FROM (SELECT x.path, string_split(x.content, chr(10)) AS a, string_split(y.content, chr(10)) AS b FROM res_old x JOIN res_now y ON x.path = y.path WHERE NOT x.deleted AND NOT y.deleted AND x.content <> y.content AND x.path IN (SELECT path FROM log WHERE path IS NOT NULL)))))",

@@ -425,11 +425,30 @@ def d13_tree_hash(spark: SparkSession, sf: str) -> DataFrame:
     return tt.tree_hash(main_at(spark, sf))
 
 
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files: one directory per host."""
+    pages = table(spark, sf, "pages")
+    return pages.select(F.concat(F.regexp_extract("url", r"//([^/?#]+)", 1), F.lit("/p"), F.col("page_id").cast("string")).alias("path"), ids.git_blob_id(F.col("html")).alias("blob_id"), "page_id")
+
+
 @query
 def d14_git_tree(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
-    files = pages.select(F.concat(F.regexp_extract("url", r"//([^/?#]+)", 1), F.lit("/p"), F.col("page_id").cast("string")).alias("path"), ids.git_blob_id(F.col("html")).alias("blob_id"))
-    return ids.git_trees(files)
+    return ids.git_trees(page_files(spark, sf))
+
+
+@query
+def d14_git_tree_again(spark: SparkSession, sf: str) -> DataFrame:
+    new = stored(page_files(spark, sf))
+    changed = F.when(F.col("page_id") % 40 == 0, ids.git_blob_id(F.lit("before"))).otherwise(F.col("blob_id"))
+    old = new.filter("page_id % 50 != 0").withColumn("blob_id", changed)
+    paths_of_change = new.filter("page_id % 40 = 0 or page_id % 50 = 0").select("path")
+    return ids.git_trees(new, ids.git_trees(old), paths_of_change)
+
+
+@query
+def d14_git_commit(spark: SparkSession, sf: str) -> DataFrame:
+    root = ids.git_trees(page_files(spark, sf)).filter("dir = ''")
+    return root.select("tree_id", ids.git_commit_id(F.col("tree_id"), F.lit(1_700_000_000), "store <store@example.org>", "derived snapshot\n").alias("commit_id"))
 
 
 @query
@@ -638,8 +657,7 @@ def h01_ancestry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def h02_visibility_caps(spark: SparkSession, sf: str) -> DataFrame:
-    caps = br.visibility_caps(fx.branches(spark))
-    return caps.join(fx.log(spark, sf).select("branch_id").distinct(), "branch_id", "left_semi")
+    return br.visibility_caps(sync.reconciled(src.decode_records(fx.meta(spark, sf), "branch"), "branch"))
 
 
 @query
@@ -704,11 +722,10 @@ def t05_restore(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t06_restore_files_at(spark: SparkSession, sf: str) -> DataFrame:
-    log = stored(fx.log(spark, sf))
-    asked = log.filter("kind = 'rename'").select("path")
-    old = tt.file_at(log, asked, at(spark, sf, 0.4), fx.blobs(spark, sf), fx.branches(spark)).filter("found").select("path", "result_hash")
-    now = main_at(spark, sf, 1.0).select("path", "result_hash")
-    return tt.diff_states(now.join(old, "path", "left_semi"), old).select("path", "action")
+    log = fx.log(spark, sf)
+    asked = log.filter("kind = 'rename'").select("path", F.when(F.length("path") % 2 == 0, at(spark, sf, 0.4)).otherwise(at(spark, sf, 0.7)).alias("t"))
+    rows = tt.restore_files_at(log, asked, fx.blobs(spark, sf), fx.branches(spark), "s9", 0, 0, 1_000_000_000)
+    return rows.withColumn("valid", ids.id_valid()).select("kind", "seq", "lamport", "parent", "base_hash", "result_hash", "path", "valid")
 
 
 @query

@@ -69,7 +69,7 @@ SELECT concat('m', cast(event_id AS string)) AS id, concat('s', cast(event_id %
 FROM (SELECT *, CASE WHEN event_id % 400 = 0 THEN 'not json'
         WHEN event_id % 80 = 0 THEN concat('{{"branch_id":"b', cast(user_id % 9 AS string), '","name":"n', cast(event_id % 3 AS string),
              '","parent":"', CASE WHEN user_id % 9 > 2 THEN concat('b', cast(user_id % 9 - 2 AS string)) ELSE 'main' END,
-             '","created_lamport":', cast(event_id AS string), ',"created_ts":', cast(event_id * 2 AS string), ',"deleted":',
+             '","fork_vv":{{"s0":', cast(event_id % 97 * 10 AS string), ',"s1":', cast(event_id % 89 * 10 AS string), '}},"created_lamport":', cast(event_id AS string), ',"created_ts":', cast(event_id * 2 AS string), ',"deleted":',
              CASE WHEN event_id % 7 = 0 THEN 'true' ELSE 'false' END, '}}')
         ELSE concat('{{"tag_id":"t', cast(user_id % 9 AS string), '","name":"v', cast(event_id % 5 AS string), '","at_ts":', cast(tsec AS string),
              ',"branch_id":"', CASE WHEN user_id % 2 = 0 THEN 'main' ELSE 'b1' END, '"}}') END AS record

@@ -135,3 +135,29 @@ def test_git_trees_are_deep_and_plan_by_level(spark):
         want["/".join(f"d{j}" for j in range(k))] = oid
         name = f"40000 d{k - 1}".encode()
     assert trees == want
+
+
+def test_trees_after_changes_hash_only_directories_on_the_way(spark):
+    """Ids equal those of hashing everything; the id of a directory without changes is the one that was kept."""
+    rng = random.Random(9)
+    paths = {"/".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) + f"/f{k}": f"{k:040x}" for k in range(60)} | {"top": "1" * 40}
+    later = {p: ("e" * 40 if k % 9 == 0 else o) for k, (p, o) in enumerate(sorted(paths.items())) if k % 7} | {"a/new/deep/x": "2" * 40}
+    frame = lambda x: spark.createDataFrame(list(x.items()), "path string, blob_id string")
+    changed = {p for p in paths.keys() | later.keys() if paths.get(p) != later.get(p)}
+    changed_paths = spark.createDataFrame([(p,) for p in changed], "path string")
+    as_dict = lambda df: {r["dir"]: r["tree_id"] for r in df.collect()}
+    old, want = ids.git_trees(frame(paths)), as_dict(ids.git_trees(frame(later)))
+    assert as_dict(ids.git_trees(frame(later), old, changed_paths)) == want
+    on_way = {"/".join(p.split("/")[:n]) for p in changed for n in range(p.count("/") + 1)}
+    marked = old.withColumn("tree_id", F.when(F.col("dir").isin(*on_way), F.col("tree_id")).otherwise(F.sha1("dir")))
+    got = as_dict(ids.git_trees(frame(later), marked, changed_paths))
+    still = set(want) - on_way
+    assert still and all(got[d] == hashlib.sha1(d.encode()).hexdigest() for d in still)
+    gone = ids.git_trees(frame({"top": "1" * 40}), old, spark.createDataFrame([(p,) for p in paths if p != "top"], "path string"))
+    assert as_dict(gone) == as_dict(ids.git_trees(frame({"top": "1" * 40})))
+
+
+def test_commit_id_of_the_empty_tree(spark):
+    """The literal is that of git for the same bytes."""
+    row = spark.range(1).select(ids.git_commit_id(F.lit("4b825dc642cb6eb9a060e54bf8d69288fbee4904"), F.lit(1_700_000_000), "store <s@example.org>", "derived snapshot\n").alias("id")).first()
+    assert row["id"] == "7aa583de45fa16e8c4cc32f3998e4a792a1c62c6"

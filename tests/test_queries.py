@@ -13,10 +13,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [n for n in entry.queries() if not n.startswith(("op", "pipeline"))]
 #: Queries without SQL, and the tests that hold their operators.
-ELSEWHERE = {
-    "d14_git_tree": "test_functions: trees of twenty levels", "v03_merge_branches": "test_branches: merges equal brute force",
-    "s03_stream_debounce": "test_streams: bursts by hand", "s08_stream_files_delta": "test_streams: deltas add up to the batch fold",
-}
+ELSEWHERE = {"v03_merge_branches": "test_branches: merges equal brute force"}
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables here")
 
 
