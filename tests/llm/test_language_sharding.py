@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 
 import pytest
@@ -123,3 +124,38 @@ def test_shards_are_written_whole(spark, docs, rows, tmp_path):
     sharding.write_shards(docs.select("doc_id", "text"), "doc_id", ["a", "b"], path, 2, 101)
     back = spark.read.parquet(path)
     assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((r[0], r[1]) for r in rows)
+
+
+def test_fusion_equals_plain_bayes(spark):
+    """Posteriors from likelihoods, declared language, suffix and host prior, against the same sums in Python."""
+    rng, langs, weight = random.Random(13), ["de", "en", "fr"], 20.0
+    rows = []
+    for i in range(120):
+        host = rng.choice([None, "a.x.de", "b.x.de", "c.y.fr", "d"])
+        likelihood = [-rng.random() * 6 for _ in langs]
+        likelihood[rng.randrange(3)] = 0.0
+        rows.append((i, rng.choice([0, 5, 90]), likelihood, host, host and host.split(".", 1)[-1], host and host.rsplit(".", 1)[-1], rng.choice([None, "de", "fr", "xx"]), rng.random() < 0.1))
+    frame = spark.createDataFrame(rows, "doc_id long, grams long, likelihood array<double>, host string, domain string, suffix string, declared string, unmodelled boolean")
+    got = {r["doc_id"]: r["posterior"] for r in language.fused(frame, langs, weight).collect()}
+    verdict = {r[0]: r[2].index(max(r[2])) if r[1] > 0 and not r[7] else None for r in rows}
+    judged = [r for r in rows if verdict[r[0]] is not None]
+
+    def counts(column: int, value: object) -> list[int]:
+        return [sum(r[column] == value and verdict[r[0]] == k for r in judged) for k in range(3)]
+
+    def smoothed(n: list[int], above: list[float]) -> list[float]:
+        return [(x + weight * a) / (sum(n) + weight) for x, a in zip(n, above, strict=True)]
+
+    top = [sum(verdict[r[0]] == k for r in judged) for k in range(3)]
+    corpus = [(x + 1) / (sum(top) + 3) for x in top]
+    for r in rows:
+        prior = corpus
+        if r[3] is not None and sum(counts(3, r[3])):
+            prior = smoothed(counts(3, r[3]), smoothed(counts(4, r[4]), corpus))
+        logs = [x + math.log(p) for x, p in zip(r[2], prior, strict=True)]
+        for column in (6, 5):
+            n, sizes = counts(column, r[column]), [sum(x[column] is not None and verdict[x[0]] == k for x in judged) for k in range(3)]
+            if r[column] is not None and sum(n):
+                logs = [x + math.log((c + weight * sum(n) / sum(sizes)) / (s + weight)) for x, c, s in zip(logs, n, sizes, strict=True)]
+        each = [math.exp(x - max(logs)) for x in logs]
+        assert got[r[0]] == pytest.approx([x / sum(each) for x in each]), r

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 
 from chronofold.llm import decontaminate, licenses, quality, toxicity
 
@@ -234,3 +236,40 @@ def test_fuzzy_notices_within_bounded_edits():
             found = scanner.fuzzy("before it " + "".join(text) + " after")
             assert any(e <= n.edits for _, _, _, e in found), (n, edits)
     assert scanner.fuzzy("the license of the river is not under any terms") == []
+
+
+def one_after_another(machines: list, word: str) -> tuple[str, float]:
+    """Each transducer reads all that the one before it wrote."""
+    total = 0.0
+    for machine in machines:
+        state, out = 0, ""
+        for symbol in word:
+            new, weight, state = machine.step(state, symbol)
+            out, total = out + new, total + weight
+        word = out
+    return word, total
+
+
+def test_the_composed_grammar_does_what_its_transducers_do_in_turn():
+    machines = [toxicity.windowed("N", {"I": "i", "H": "h"}, 3), toxicity.reported(), toxicity.windowed("T", {"I": "A", "H": "K"}, 4), toxicity.weighing(toxicity.CLASS_WEIGHTS)]
+    whole = toxicity.grammar()
+    rng = random.Random(21)
+    words = ["".join(p) for n in range(5) for p in itertools.product("IHTNR.", repeat=n)]
+    words += ["".join(rng.choice("IHTNR..") for _ in range(rng.randrange(5, 40))) for _ in range(3_000)]
+    for word in words:
+        want, total = one_after_another(machines, word)
+        state, got, weight = 0, "", 0.0
+        for symbol in word:
+            new, w, state = whole.step(state, symbol)
+            got, weight = got + new, weight + w
+        assert (got, pytest.approx(weight)) == (want, total), word
+
+
+def test_each_transducer_follows_its_rule():
+    """Negation reaches three words, an address four; reported speech holds to the end of the clause."""
+    negate, aim, report = toxicity.windowed("N", {"I": "i"}, 3), toxicity.windowed("T", {"I": "A"}, 4), toxicity.reported()
+    for gap in range(7):
+        assert one_after_another([negate], "N" + "." * gap + "I")[0][-1] == ("i" if gap < 3 else "I")
+        assert one_after_another([aim], "T" + "." * gap + "I")[0][-1] == ("A" if gap < 4 else "I")
+        assert one_after_another([report], "R" + "." * gap + "I")[0][-1] == "r"
+    assert one_after_another([report], "I.R")[0] == "I.R"
