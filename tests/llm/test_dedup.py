@@ -59,6 +59,25 @@ def test_near_duplicates(docs, rows, no_docs, width):
         assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_a_doc_id_on_several_texts_has_the_links_of_all(spark):
+    """Any order of the rows gives the same components, which join what any of a document's texts is linked with."""
+    rng = random.Random(17)
+    bases = [[f"b{j}w{i}" for i in range(60)] for j in range(70)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"n{rng.randrange(10**9)}"
+        rows.append((rng.randrange(75), " ".join(words)))
+    rows += [(3, ""), (200, None), (200, rows[0][1]), (None, rows[1][1])]
+    want = grouped(rows, 2)
+    assert len({r[0] for r in rows}) < len(rows) - 20 and len(set(want.values())) > 3
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=2).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == set(want.items())
+
+
 def test_many_near_copies_in_chains(spark):
     """Copies that drift apart: far ones link over others only."""
     rng = random.Random(8)
