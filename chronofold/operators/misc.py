@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as arrow_type
 
 from chronofold.operators.sync import assign_counters
-from chronofold.sources.tables import stored
+from chronofold.sources.tables import new_folder, stored
 
 
 def access_audit(keys: DataFrame, now: int, default_days: int = 30) -> DataFrame:
@@ -44,13 +43,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 500) ->
     kind = pa.schema([("query", arrow_type(asked)), ("id", arrow_type(ids)), ("cosine", pa.float64())])
     numbered = stored(assign_counters(queries.select("query", "vector"), ["query"], 0, "n"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("cosine"), "id"))
-    blocks = []
-    for first in range(0, numbered.count(), block):
+    shape = f"query {asked.simpleString()}, id {ids.simpleString()}, cosine double"
+    root = new_folder(spark)
+    spark.createDataFrame([], f"{shape}, rank int").write.parquet(root)
+    for first in range(0, numbered.count(), block):  # each block adds to one table, so that the result reads as one
         held = spark.sparkContext.broadcast(numbered.filter(f"n >= {first} and n < {first + block}").select("query", "vector").toPandas())
-        part = vectors.select("id", "vector").mapInArrow(nearest_in(held, k, kind), f"query {asked.simpleString()}, id {ids.simpleString()}, cosine double")
-        blocks.append(stored(part.withColumn("rank", rank).filter(F.col("rank") <= k)))
-    empty = spark.createDataFrame([], f"query {asked.simpleString()}, id {ids.simpleString()}, cosine double, rank int")
-    return reduce(DataFrame.unionByName, blocks, empty)
+        part = vectors.select("id", "vector").mapInArrow(nearest_in(held, k, kind), shape)
+        part.withColumn("rank", rank).filter(F.col("rank") <= k).write.mode("append").parquet(root)
+        held.unpersist()
+    return spark.read.schema(f"{shape}, rank int").parquet(root)
 
 
 def nearest_in(held: Broadcast, k: int, kind: pa.Schema, rows: int = 2000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
