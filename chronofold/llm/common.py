@@ -84,9 +84,16 @@ def narrowed(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(keys), column, "left_semi") if few else rows
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long: so many rows per Arrow batch keep a task's copies of them at a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Texts are long: within it so many rows per Arrow batch keep a task's copies of them at a few MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -62,11 +62,14 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, files_per_shard: int = 4, slots: int = SLOTS) -> None:
-    """Writes all rows of df, one folder `shard=NAME` per shard.
+    """Writes all rows of df, one folder `shard=NAME` per shard; if df has a column of that name, the folders' gets underscores before it.
 
     Each shard is dealt over `files_per_shard` tasks by a hash of the row, so that one hot key does not fill one task.
     """
-    names = F.broadcast(table_frame(df.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard_name").alias("shard")))
+    folder = "shard"
+    while folder in df.columns:
+        folder = f"_{folder}"
+    names = F.broadcast(table_frame(df.sparkSession, shards, slots).select("slot", F.col("shard_name").alias("name")))
     part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))
-    rows = df.drop("shard").withColumn("__part", part).withColumn("__slot", slot_of(F.col(key).cast("string"), slots)).join(names, "__slot")
-    rows.repartition("shard", "__part").drop("__slot", "__part").write.partitionBy("shard").parquet(path)
+    rows = df.select(F.struct(*df.columns).alias("row"), part.alias("part"), slot_of(F.col(key).cast("string"), slots).alias("slot")).join(names, "slot")
+    rows.repartition("name", "part").select("row.*", F.col("name").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -126,6 +126,16 @@ def test_shards_are_written_whole(spark, docs, rows, tmp_path):
     assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((r[0], r[1]) for r in rows)
 
 
+def test_written_shards_keep_columns_of_their_own_names(spark, tmp_path):
+    rows = [(i, f"mine{i}", i % 3, i % 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, shard string, __part int, slot int")
+    sharding.write_shards(frame, "doc_id", ["a", "b"], f"{tmp_path}/out", 2, 101)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(tuple(r[c] for c in frame.columns) for r in got.collect()) == rows
+    want = {r["key"]: r["shard_name"] for r in sharding.place(frame, "doc_id", ["a", "b"], 101).collect()}
+    assert {r["doc_id"]: r["_shard"] for r in got.collect()} == want
+
+
 def test_fusion_equals_plain_bayes(spark):
     """Posteriors from likelihoods, declared language, suffix and host prior, against the same sums in Python."""
     rng, langs, weight = random.Random(13), ["de", "en", "fr"], 20.0
