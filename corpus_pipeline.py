@@ -41,7 +41,7 @@ def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
 
     @wraps(stage)
     def run_and_clear(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with scratch(spark) as own:
+        with scratch(spark) as own, small_batches(spark):
             out = saved(stage(spark, docs, sf_dir))
             own.pop()  # the result stays
         return out
@@ -52,7 +52,6 @@ def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
 @tidy
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language no evidence explains (operator 9)."""
-    small_batches(spark)
     rows = keyed(docs)
     return without(rows, language.identify(rows, table(spark, sf_dir, "pages"), carry=(ROW,)).filter("not kept"))
 
@@ -63,7 +62,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Every row is a node of its own, whatever its doc_id. Of repeated rows without any word, one stays.
     """
-    small_batches(spark)
     rows = keyed(docs)
     found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), width=5)
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -78,14 +76,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @tidy
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 200 and more that repeat in what is left (operator 5)."""
-    small_batches(spark)
     return substrings.cleaned(docs)
 
 
 @tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (operator 6)."""
-    small_batches(spark)
     rows = keyed(docs)
     scanned = decontaminate.scan(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return without(rows, scanned.filter("n_hit > 0").select(F.col("doc_id").alias(ROW)))
@@ -94,7 +90,6 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @tidy
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents into sequences of 1024 tokens (operator 3)."""
-    small_batches(spark)
     packed = packing.pack(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"),
         digest=packing.piece_crc32, digest_type="long",
