@@ -142,17 +142,18 @@ def of_digest(rows: DataFrame) -> DataFrame:
 class Links:
     """Confirms candidate pairs of nodes on sketches and then on full sets."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
-        self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int, twice: bool):
+        self.docs, self.nodes, self.width, self.percent, self.twice = docs, nodes, width, percent, twice
         self.least = lowest(percent, BANDS * ROWS)
-        self.twice = not nodes.filter("twice").isEmpty()
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """node and text of the nodes in wanted(node); of a doc_id that stands on several texts, the text of the node."""
+        if not self.twice:  # nodes are doc_ids
+            return narrowed(self.docs.withColumnRenamed("doc_id", "node"), wanted, "node").join(wanted, "node", "left_semi").select("node", "text")
         named = self.nodes.select("node", "doc_id", "d1", "d2", "twice").join(wanted, "node", "left_semi")
         rows = narrowed(self.docs, named, "doc_id").join(named, "doc_id").select("node", "text", "d1", "d2", "twice")
         once = rows.filter("not twice").select("node", "text")
-        return once.unionByName(of_digest(rows.filter("twice"))) if self.twice else once
+        return once.unionByName(of_digest(rows.filter("twice")))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs(a, b, salt) whose sets reach the threshold; a b with many pairs is copied once per salt."""
@@ -302,38 +303,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(sketched(docs, width))
     some = rows.filter("n_shingles > 0")
-    # A node is one sequence of words; it is numbered, as one doc_id may stand on several. Only texts with an id are nodes.
-    numbered = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
-    classes = saved(numbered)
-    several = some.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).filter("a != b")
+    # A node is one sequence of words, named by its smallest doc_id, or numbered where a doc_id stands on several texts.
+    digest = F.struct("d1", "d2")
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a != b")
     several = saved(several.select("doc_id", F.lit(True).alias("twice")))
-    nodes = some.join(classes.filter("node is not null").withColumnRenamed("doc_id", "own"), ["d1", "d2"]).filter("doc_id = own").join(several, "doc_id", "left")
-    nodes = nodes.withColumn("twice", F.coalesce("twice", F.lit(False)))
+    twice = not several.isEmpty()
+    name = F.monotonically_increasing_id() if twice else F.col("doc_id")
+    classes = saved(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.when(F.col("doc_id").isNotNull(), name)))
+    nodes = some.join(classes.filter("node is not null").withColumnRenamed("doc_id", "own"), ["d1", "d2"]).filter("doc_id = own")
+    nodes = nodes.join(several, "doc_id", "left").withColumn("twice", F.coalesce("twice", F.lit(False))) if twice else nodes.withColumn("twice", F.lit(False))
     nodes = saved(nodes.select("node", "doc_id", "d1", "d2", "twice", "n_shingles", "bands", "sketch").dropDuplicates(["node"]))
-    links = Links(docs, nodes, width, percent)
+    links = Links(docs, nodes, width, percent, twice)
     shared = in_buckets(nodes)
     elected = saved(delegates(shared))
     pairs = shared.join(elected.select("band", "pivot"), "band").filter("node != pivot")
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("members").alias("members"))
     salt = F.pmod(F.hash("a"), F.expr(f"cast(1 + members div {AT_PIVOT} as int)"))
-    # Rows of one doc_id are one document: all their texts go together.
-    same = some.select("doc_id", "d1", "d2").join(several, "doc_id", "left_semi").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node").distinct()
-    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    labels = saved(components(links.confirmed(saved(pairs.select("a", "b", salt.alias("salt")))).unionByName(same)))
+    found = links.confirmed(saved(pairs.select("a", "b", salt.alias("salt"))))
+    if twice:  # rows of one doc_id are one document: all their texts go together
+        same = some.select("doc_id", "d1", "d2").join(several, "doc_id", "left_semi").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node").distinct()
+        same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        found = found.unionByName(same)
+    labels = saved(components(found))
     split = apart(shared.join(elected.select("band", "delegates"), "band"), labels)
     split = split.withColumn("host", F.expr(f"members <= {SMALL} or array_contains(delegates, node)")).drop("delegates")
     split = saved(split.filter("apart or host"))
     labels = joined(labels, links, among_hosts(split, links).unionByName(among_neighbours(split)).distinct().withColumn("salt", F.lit(0)))
     rest = saved(apart(shared.filter(f"members > {SMALL}"), labels))
     labels = joined(labels, links, among_rare(rest, links).distinct().withColumn("salt", F.lit(0)))
-    named = saved(with_component(classes, labels, "node", "component"))
-    least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component").select("d1", "d2", F.col("least").alias("component"))
+    named = with_component(classes, labels, "node", "component")
+    if twice:
+        named = saved(named)
+        least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = named.join(least, "component").drop("component").withColumnRenamed("least", "component")
+    named = named.select("d1", "d2", "component")
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    # A row without words has the component of its document's other texts, if there are any.
-    bare = saved(rows.filter("n_shingles = 0 and doc_id is not null").select("doc_id").distinct().join(some.select("doc_id"), "doc_id", "left_semi"))
-    if not bare.isEmpty():
-        own = some.join(bare, "doc_id", "left_semi").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component").alias("own"))
+    if twice:  # a row without words has the component of its document's other texts
+        own = some.join(several, "doc_id", "left_semi").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component").alias("own"))
         out = out.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
