@@ -33,7 +33,7 @@ def file_versions(log: DataFrame, blobs: DataFrame) -> DataFrame:
     """Versions of each file's state through all its lives: content and path from valid_from on, until valid_to (null: now).
 
     A file that is created again has a version for the time it was gone; merges made on the way are versions too. Exact
-    where a file's ts do not fall in fold order; state_as_of() stays the definition.
+    where a file's ts never decrease in fold order; state_as_of() stays the definition.
     """
     return spans(versions(log, blobs)[0])
 
@@ -183,7 +183,7 @@ def state_at_tags(log: DataFrame, tags: DataFrame, blobs: DataFrame, branches: D
     """(tag_id, file_id, path, result_hash) of the live files of each tag's branch at its instant.
 
     A branch folds once, into versions, and a tag picks those that hold at its instant: rows grow with the log and with what
-    tags show. Only files whose ts fall in fold order, for which versions are not exact, fold once per tag.
+    tags show. Only files whose ts decrease somewhere in fold order, for which versions are not exact, fold once per tag.
     """
     asked = stored(tags.select("tag_id", F.col("branch_id").alias("target"), "at_ts").filter("at_ts is not null"))
     seen = visible_rows(log, branches).join(F.broadcast(asked.select("target").distinct()), "target", "left_semi")
