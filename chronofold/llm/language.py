@@ -51,44 +51,43 @@ def mean_logs(model: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.bincount(grams, minlength=1 << BITS) @ model / len(grams)
 
 
-def text_models(docs: DataFrame, languages: list[str], rows_each: int) -> tuple[np.ndarray, float]:
-    """Log probabilities (bucket, language) and the least mean log likelihood that a text of these languages has.
-
-    The latter is 1.5 below what all but a twentieth of the fitted texts reach, whatever odd texts are among them.
-
-    Fitted on at most `rows_each` labelled rows per language, chosen by a hash of the id.
-    """
-    labelled = docs.filter(F.col("lang").isin(languages) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-    by_hash = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.withColumn("k", by_hash).filter(F.col("k") <= rows_each).drop("k")  # partial ranks bound what a language shuffles
+def text_models(docs: DataFrame, languages: list[str]) -> np.ndarray:
+    """Log probabilities (bucket, language), counted over all rows that are labelled with one of these languages."""
     place = {code: i for i, code in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             for code, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[place[code]] += np.bincount(gram_buckets(text.as_py() or ""), minlength=1 << BITS)
-        i, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total[i, k])], names=["language", "bucket", "n"])
-
-    sample = saved(docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"))
-    grouped = sample.mapInArrow(counted, "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+                if place[code] not in total:
+                    total[place[code]] = np.zeros(1 << BITS, dtype=np.int64)
+                total[place[code]] += np.bincount(gram_buckets(text.as_py()), minlength=1 << BITS)
+        for i, n in total.items():
+            k = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i)), pa.array(k), pa.array(n[k])], names=["language", "bucket", "n"])
+
+    labelled = docs.filter(F.col("lang").isin(languages) & F.col("text").isNotNull()).select("lang", "text")
+    grouped = labelled.mapInArrow(counted, "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((1 << BITS, len(languages)))
     found = grouped.toArrow()  # buckets x languages at most
     counts[found["bucket"].to_numpy(), found["language"].to_numpy()] = found["n"].to_numpy()
-    model = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(counts)))
+    return np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(counts))).astype(np.float32)
 
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text in b.column(0):
-                grams = gram_buckets(text.as_py() or "")
-                out.append(float(mean_logs(model, grams).max()) if len(grams) >= 200 else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.float64())], names=["mean"])
 
-    low = sample.select("text").mapInArrow(means, "mean double").agg(F.percentile_approx("mean", 0.05)).first()[0]
-    floor = low - 1.5 if low is not None else -np.inf
-    return model.astype(np.float32), float(floor)
+def least_mean(evidence: DataFrame, languages: list[str]) -> float:
+    """The least mean log likelihood that a text of these languages has, from evidence(label, grams, mean).
+
+    It is 1.5 below what all but a twentieth of the labelled texts of 200 grams and more reach, whatever odd texts are
+    among them: all of them are counted by steps of a thousandth, so that the result does not depend on their order.
+    """
+    means = evidence.filter(F.col("label").isin(languages) & (F.col("grams") >= 200))
+    steps = sorted(means.groupBy(F.floor(F.col("mean") * 1000).alias("step")).count().collect())  # some ten thousand at most
+    total, below = sum(r["count"] for r in steps), 0
+    for r in steps:
+        below += r["count"]
+        if 20 * below >= total:
+            return r["step"] / 1000 - 1.5
+    return -np.inf
 
 
 def text_evidence(docs: DataFrame, languages: list[str], model: np.ndarray, most_grams: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -181,14 +180,14 @@ def fused(evidence: DataFrame, languages: list[str], weight: float = 20.0) -> Da
 
 
 def identify(
-    docs: DataFrame, pages: DataFrame | None = None, rows_each: int = 1500, most_grams: int = 300, least_grams: int = 1, least_posterior: float = 0.5,
+    docs: DataFrame, pages: DataFrame | None = None, most_grams: int = 300, least_grams: int = 1, least_posterior: float = 0.5,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Judges every row of docs(doc_id, text, lang, source); pages(page_id, url, html) may bear on a document.
 
     Returns doc_id, host, declared, suffix, text_lang (by text alone), lang (by all evidence), posterior and kept. Only
     texts are rejected that no language explains: fewer than `least_grams` grams, a mean likelihood (of 50 grams or more)
-    far under any that the models were fitted on, or a posterior under the bound. Null and empty texts have no grams: their evidence is the
+    far under nearly all labelled texts' (see least_mean), or a posterior under the bound. Null and empty texts have no grams: their evidence is the
     rest, and they are rejected. Ties go to the language that sorts first. A document without a page has its source as
     host and no declaration or suffix. Repeated rows are judged each. Without labelled rows nothing can be judged: all
     languages are null and all rows with text are kept. lang is used to fit the models, not as evidence.
@@ -204,18 +203,18 @@ def identify(
         blank = [F.lit(None).cast("string").alias(c) for c in ("host", "declared", "suffix", "text_lang")] + [F.col("lang")]
         kept = F.length(F.coalesce("text", F.lit(""))) > 0
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *blank, F.lit(None).cast("double").alias("posterior"), kept.alias("kept"), *carry)
-    model, floor = text_models(docs, languages, rows_each)
-    rows = text_evidence(docs, languages, model, most_grams, carry)
+    rows = text_evidence(docs, languages, text_models(docs, languages), most_grams, carry)
     if pages is not None:
         rows = rows.join(page_evidence(pages), F.col("doc_id") == F.col("page_doc"), "left").drop("page_doc")
     else:
         rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("host", "domain", "suffix", "declared")])
     rows = rows.withColumn("domain", F.coalesce("domain", F.lit("source"))).withColumn("host", F.coalesce("host", "source", F.lit("")))
-    alien = (F.col("grams") >= 50) & (F.col("mean") < floor)
+    rows = saved(rows.drop("source"))
+    alien = (F.col("grams") >= 50) & (F.col("mean") < least_mean(rows, languages))
     undeclared = ~F.col("declared").isin(sorted({re.split("[-_]", x)[0].lower() for x in languages}))
     rows = rows.withColumn("claim", F.coalesce("label", F.when(alien & undeclared, F.col("declared"))))
     rows = rows.withColumn("unmodelled", F.coalesce(~F.col("claim").isin(languages), F.lit(False)))
-    evidence = fused(saved(rows.drop("source", "label")), languages)
+    evidence = fused(rows.drop("label"), languages)
     name = F.array(*[F.lit(x) for x in languages])
     best = F.expr("cast(array_position(posterior, array_max(posterior)) as int)")
     top = F.when(~F.col("unmodelled"), F.array_max("posterior"))

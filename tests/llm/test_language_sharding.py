@@ -6,7 +6,9 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.llm import language, sharding
 
@@ -74,6 +76,29 @@ def test_languages_are_not_capped(spark):
     assert language.declared_languages(d) == sorted(f"l{i}" for i in range(80))
 
 
+def test_models_and_least_mean_count_every_labelled_row(spark):
+    """More rows a language than any fixed number of them; what half of the rows say is known, whatever their ids' hashes."""
+    rng = random.Random(14)
+    odd = "kvrtz wqxj pfgbn zzrkd vjmqw".split()
+    by_hash = [r[0] for r in spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(by_hash[1500:])
+    docs = [(i, " ".join(rng.choice(odd if i in late else WORDS["en"]) for _ in range(60)), "en", None) for i in range(3000)]
+    docs += [(5000 + i, " ".join(rng.choice(WORDS["de"]) for _ in range(60)), "de", None) for i in range(20)]
+    docs += [(None, "and thing", "en", None), (None, None, "en", None), (6000, None, "de", None), (6001, "nobody knows", None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(4)
+    counts = np.zeros((1 << language.BITS, 2))
+    for _, text, code, _ in docs:
+        for k in language.gram_buckets(text or "") if code else []:
+            counts[k, ["de", "en"].index(code)] += 1
+    model = language.text_models(d, ["de", "en"])
+    assert model == pytest.approx(np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(counts))), rel=1e-5)
+    evidence = language.text_evidence(d, ["de", "en"], model, 300)
+    means = sorted(r["mean"] for r in evidence.collect() if r["grams"] >= 200 and r["label"])
+    assert language.least_mean(evidence, ["de", "en"]) == pytest.approx(means[-(-len(means) // 20) - 1] - 1.5, abs=0.0011)
+    by = {r["doc_id"]: r for r in language.identify(d).collect()}
+    assert len(means) > 2900 and all(by[i]["kept"] and by[i]["text_lang"] == "en" for i in range(3000))
+
+
 def test_model_reads_letters_only():
     assert len(language.gram_buckets("")) == 0 and len(language.gram_buckets("123 !!")) == 0
     assert list(language.gram_buckets("ABC")) == list(language.gram_buckets("abc"))
