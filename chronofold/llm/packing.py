@@ -9,6 +9,7 @@ outcome is a table of runs (length, first rank, last rank -> sequence, offset),
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,26 +41,30 @@ def added_tokens(tokenizer_path: str) -> dict[str, int]:
 LONG_TEXT = 250_000
 
 
-def rank_encoder(ranks_path: str, pattern: str, tokenizer_path: str) -> Callable[[str], np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def rank_encoder(ranks_path: str, pattern: str, tokenizer_path: str, added: tuple[tuple[str, int], ...] | None = None) -> Callable[[str], np.ndarray]:
     """Text -> ids as unsigned 32-bit numbers, as the tokenizer file gives them.
 
     The rank file holds the same vocabulary at a fraction of the cost, and serves texts of less than LONG_TEXT characters; a
-    test compares both. The tokenizer file's added tokens are split off first, as that file's tokenizer does.
+    test compares both. The tokenizer file's added tokens (`added`, if the caller has them) are split off first, as that
+    file's tokenizer does. A Python worker builds it once and keeps it: what a task frees its worker seldom gives back.
     """
     import base64
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens(tokenizer_path))
-    whole: list[Tokenizer] = []
+    special = added_tokens(tokenizer_path) if added is None else dict(added)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    whole: list = []
 
     def encode(text: str) -> np.ndarray:
         if len(text) < LONG_TEXT:
             return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
         if not whole:
+            from tokenizers import Tokenizer
+
             whole.append(Tokenizer.from_file(tokenizer_path))
         return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -87,8 +92,10 @@ def tokenised(
     arrow = {"array<long>": pa.list_(pa.int64()), "long": pa.int64()}[digest_type]
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("digest", arrow)])
 
+    added = tuple(added_tokens(tokenizer_path).items())  # of the whole file only these few go to the tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(ranks_path, pattern, tokenizer_path)
+        encoder = rank_encoder(ranks_path, pattern, tokenizer_path, added)
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -321,7 +328,8 @@ def pack(
     runs = plan(hist, capacity, small, groups, rounds)
     spark = docs.sparkSession
     # Ranks within a length, without one task per length: the more rows it has, the more salts count their own rows first.
-    salts = spark.createDataFrame([(n, 1 + c // SALTED) for n, c in hist.items()], "length long, salts long")
+    # Arrow tables, as lists of rows would start Python workers of another kind beside those that hold the encoder.
+    salts = spark.createDataFrame(pa.table({"length": pa.array(hist, pa.int64()), "salts": pa.array([1 + c // SALTED for c in hist.values()], pa.int64())}))
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "digest"), F.col("salts"))).drop("salts")
     share = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -336,8 +344,9 @@ def pack(
     by_length: dict[int, list] = {}
     for n, first, count, sequence, offset in runs:
         by_length.setdefault(n, []).append((first, count, sequence, offset))
-    shape = "length long, runs array<struct<first: long, count: long, sequence: long, offset: long>>"
-    places = spark.createDataFrame([(n, sorted(r)) for n, r in by_length.items()], shape)
+    run = pa.struct([(c, pa.int64()) for c in ("first", "count", "sequence", "offset")])
+    each = [[dict(zip(run.names, x, strict=True)) for x in sorted(r)] for r in by_length.values()]
+    places = spark.createDataFrame(pa.table({"length": pa.array(by_length, pa.int64()), "runs": pa.array(each, pa.list_(run))}))
     placed = ranked.join(F.broadcast(places), "length").withColumn(
         "run", F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["count"])), 1)
     )

@@ -9,7 +9,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
 
 from chronofold.llm import packing, templates
 
@@ -86,6 +88,19 @@ def test_every_document_is_packed_whole(docs, rows, no_docs):
     assert packing.pack(no_docs, RANKS, PATTERN, WHOLE).count() == 0
 
 
+def test_a_worker_builds_one_encoder_and_no_other_python_worker_starts(docs, monkeypatch):
+    """Memory of an executor: few added tokens instead of the whole file go to tasks, an encoder is kept, small tables come by Arrow."""
+    added = tuple(packing.added_tokens(WHOLE).items())
+    text = "one<|endoftext|>two  three\n\n"
+    encode = packing.rank_encoder(RANKS, PATTERN, "/no such file", added)
+    assert packing.rank_encoder(RANKS, PATTERN, "/no such file", added) is encode
+    assert encode(text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+    given, create = [], SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **k: given.append(data) or create(self, data, *a, **k))
+    assert packing.pack(docs, RANKS, PATTERN, WHOLE).count() >= docs.count()
+    assert given and all(isinstance(x, pa.Table) for x in given)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plans_fill_sequences(seed):
     rng = random.Random(seed)
