@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Folders(list):
     """Folders to remove; `seen` are all that were written, those taken off the list too."""
 
@@ -42,6 +48,14 @@ class Folders(list):
         self.append(path)
         self.seen.append(path)
 
+    def clear_but(self, needed: DataFrame) -> None:
+        """Removes the folders of which `needed` reads nothing."""
+        used = {part for file in needed.inputFiles() for part in file.split("/")}
+        for path in [p for p in self if p.rsplit("/", 1)[1] not in used]:
+            removed(needed.sparkSession, path)
+            self.remove(path)
+            self.seen.remove(path)
+
 
 #: The folders that saved() writes within scratch().
 _OWN: ContextVar[Folders | None] = ContextVar("own", default=None)
@@ -58,8 +72,7 @@ def scratch(spark: SparkSession) -> Iterator[Folders]:
         _OWN.reset(token)
         for path in own.seen:
             if path in own:
-                place = spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+                removed(spark, path)
             elif outer is not None:
                 outer.note(path)
 
@@ -73,6 +86,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether df reads one Parquet file or folder and does nothing else; a path in an unusual form may not be recognised."""
+    files = df.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    if len(folders) != 1:
+        return False
+    for path in [*folders, *files[: len(files) == 1]]:
+        for form in (path, path.replace("file:///", "file:/", 1), path.removeprefix("file://")):  # plans hold it as it was given
+            try:
+                if df.sameSemantics(df.sparkSession.read.schema(df.schema).parquet(form)):
+                    return True
+            except AnalysisException:  # such as a name that is escaped in inputFiles()
+                pass
+    return False
+
+
 #: Keys that are broadcast to drop rows before a shuffle (some tens of MB); with more, the join that follows shuffles all rows.
 MOST_KEYS = 400_000
 

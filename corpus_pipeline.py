@@ -1,7 +1,9 @@
 """The training-data pipeline: raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the shared folder and read
-again as the next stage's docs; what else a stage writes is removed at its end. All but the last return the columns of documents.
+again as the next stage's docs. A stage that drops rows returns the rows of docs but those it found, which alone it has
+written; the other stages return what they have written. What else a stage writes is removed at its end. All but the last
+return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import decontaminate, language, neardup, packing, substrings
-from chronofold.llm.common import MOST_KEYS, saved, scratch, small_batches, table
+from chronofold.llm.common import MOST_KEYS, is_written, saved, scratch, small_batches, table
 
 #: SQL cannot express the stages (trained models, packing); tests hold them against brute force.
 ORACLE_SQL = None
@@ -24,9 +27,21 @@ ORACLE_SQL = None
 ROW = "__row"
 
 
+#: Rows of one file that have keys of their own.
+FILE_ROWS = 1 << 40
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with ROW, written once, so that every later reading gives a row the same key."""
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """docs with ROW, the same key of a row at every reading: number of its file and place there, if docs is read as it was
+    written, so that no copy is made; of other docs a copy is written once with the keys."""
+    if not is_written(docs):
+        return saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    rows = docs.withColumn("__meta", docs.metadataColumn("_metadata"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__meta.file_path").alias("__file"), F.col("__meta.row_index").alias("__place"))
+    names = sorted(r[0] for r in rows.select("__file").distinct().collect())  # names of files only
+    numbers = docs.sparkSession.createDataFrame(pa.table({"__file": pa.array(names, pa.string()), "__number": pa.array(range(len(names)), pa.int64())}))
+    rows = rows.join(F.broadcast(numbers), "__file")
+    return rows.withColumn(ROW, F.col("__number") * FILE_ROWS + F.col("__place")).drop("__file", "__place", "__number")
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -37,13 +52,14 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, its result written and all else that it wrote removed: copies of the corpus do not pile up."""
+    """The stage, and all that it wrote removed but what its result reads: copies of the corpus do not pile up."""
 
     @wraps(stage)
     def run_and_clear(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with scratch(spark) as own, small_batches(spark):
-            out = saved(stage(spark, docs, sf_dir))
-            own.pop()  # the result stays
+            out = stage(spark, docs, sf_dir)
+            own.clear_but(out)
+            own.clear()  # what the result reads stays
         return out
 
     return run_and_clear
@@ -76,7 +92,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @tidy
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 200 and more that repeat in what is left (operator 5)."""
-    return substrings.cleaned(docs)
+    return saved(substrings.cleaned(docs))
 
 
 @tidy
@@ -94,7 +110,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"),
         digest=packing.piece_crc32, digest_type="long",
     )
-    return packed.withColumnRenamed("digest", "ids_crc32")
+    return saved(packed.withColumnRenamed("digest", "ids_crc32"))
 
 
 STAGES = [
@@ -108,6 +124,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)  # written as Parquet and read again by tidy()
+    with scratch(spark) as own:
+        for _, stage in STAGES:
+            out = stage(spark, docs, sf_dir)
+            docs = out if is_written(out) else saved(out)
+            own.clear_but(docs)  # the stage's own docs are no longer needed
+        own.clear()
     return docs

@@ -63,3 +63,37 @@ def test_verdicts_take_effect_row_by_row(spark, folder, rows):
 def test_run(spark, folder):
     assert pipeline.run(spark, folder).count() > 0
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
+
+
+def test_stages_leave_no_copies_of_the_corpus(spark, folder, rows, tmp_path_factory, monkeypatch):
+    """What stays in the shared folder: the keys of dropped rows, or a stage's result; of a run its last result alone."""
+    own = [*rows, rows[20], (None, "  ", None, None, None, None, None, None, None), (None, "  ", None, None, None, None, None, None, None)]
+    at = tmp_path_factory.mktemp("read") / "docs"
+    docs = spark.createDataFrame([r[:5] for r in own], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(at))
+    shared = tmp_path_factory.mktemp("left")
+    monkeypatch.setattr("chronofold.llm.common.shared_dir", lambda spark, n=iter(range(10**6)): f"file://{shared}/chronofold-{next(n)}-of-test")
+    count = lambda df: collections.Counter(map(tuple, df.collect()))
+    for stage in (pipeline.language_stage, pipeline.near_duplicate_stage, pipeline.decontamination_stage):
+        read = spark.read.parquet(str(at))
+        before = set(shared.iterdir())
+        got = stage(spark, read, folder)
+        left = [p for p in shared.iterdir() if p not in before]
+        assert [spark.read.parquet(str(p)).columns for p in left] == [[pipeline.ROW]]
+        # any other frame, here one whose rows stand in no file each, is copied with its keys, and gives the same
+        assert count(got) == count(stage(spark, read.unionByName(read.limit(0)), folder)) and got.columns == read.columns
+        assert 0 < sum(count(got).values()) < len(own)
+    before = set(shared.iterdir())
+    out = pipeline.run(spark, folder)
+    left = [p for p in shared.iterdir() if p not in before]
+    assert out.count() > 0 and len(left) == 1 and all(f"/{left[0].name}/" in f for f in out.inputFiles())
+
+
+def test_keys_of_rows_read_and_made(spark, folder):
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    twice = read.crossJoin(spark.range(2))  # each row of a file twice
+    for docs, copied in ((read, False), (twice, True), (read.filter("doc_id > 3"), True), (read.limit(5), True)):
+        rows = pipeline.keyed(docs)
+        assert pipeline.is_written(docs) != copied and rows.columns == [*docs.columns, pipeline.ROW]
+        first, again = ({r[pipeline.ROW]: r["text"] for r in x.collect()} for x in (rows, rows.repartition(7)))
+        assert first == again and len(first) == docs.count() and None not in first
