@@ -132,26 +132,35 @@ def merge_text(merge_class: str, base: str, ours: str, theirs: str, sides: tuple
 
 
 def common_head(a: str, b: str) -> str:
-    """SQL: how many first elements two arrays share."""
-    return f"cast(coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0) - 1, least(size({a}), size({b}))) as int)"
+    """SQL: how many first elements two arrays share; past the end of the shorter one nothing is equal."""
+    return f"cast(array_position(concat(zip_with({a}, {b}, (l, r) -> l <=> r), array(false)), false) - 1 as int)"
 
 
-def one_hunk_each(rows: DataFrame) -> DataFrame:
-    """Adds hunks: the merge where each side changed one run of lines and a kept base line stands between; else null.
+def let(names: dict[str, str], into: str) -> str:
+    """SQL: `into` over values by name, x.name. The values are computed once, however often `into` names them.
+
+    As columns of their own they would be written out anew for every mention once Spark pushes filters and merges projections.
+    """
+    return f"transform(array(struct({', '.join(f'{v} as {k}' for k, v in names.items())})), x -> {into})[0]"
+
+
+def one_run_each() -> Column:
+    """The merge where each side changed one run of lines and a kept base line stands between; else null.
 
     Each side's run is what its common head and tail with the base leave, as in merge_text(), which settles all other cases.
+    A zero byte ends the last line, so that one without a line break equals no line with one.
     """
-    for side in ("base", "ours", "theirs"):
-        rows = rows.withColumn(f"__{side}", F.expr(rf"filter(split({side}, '(?<=\\n)'), l -> l != '')"))
-    for side in ("ours", "theirs"):
-        rows = rows.withColumn(f"__p{side}", F.expr(common_head("__base", f"__{side}")))
-        left = [f"reverse(slice({x}, __p{side} + 1, greatest(size({x}) - __p{side}, 0)))" for x in ("__base", f"__{side}")]
-        rows = rows.withColumn(f"__s{side}", F.expr(common_head(*left)))
-    put = lambda x, y: f"concat(slice(__{x}, 1, size(__{x}) - __s{x}), slice(__base, size(__base) - __s{x} + 1, __p{y} - size(__base) + __s{x}), slice(__{y}, __p{y} + 1, size(__{y}) - __p{y}))"
-    before = lambda x, y: F.expr(f"size(__base) - __s{x} < __p{y}")
-    hunks = F.when(before("ours", "theirs"), F.array_join(F.expr(put("ours", "theirs")), "")).when(before("theirs", "ours"), F.array_join(F.expr(put("theirs", "ours")), ""))
-    whole = F.instr(F.concat("base", "ours", "theirs"), "\0") == 0
-    return rows.withColumn("hunks", F.when(whole, hunks)).drop(*[f"__{p}{x}" for p in ("", "p", "s") for x in ("base", "ours", "theirs")])
+    sides = ("base", "ours", "theirs")
+    lines = {x: rf"split(concat({x}, '\0'), '\n', -1)" for x in sides}
+    held = {x: f"x.{x}" for x in sides}
+    heads = {f"p{x}": common_head("x.base", f"x.{x}") for x in sides[1:]}
+    left = lambda x, side: f"reverse(slice(x.{x}, x.p{side} + 1, greatest(size(x.{x}) - x.p{side}, 0)))"
+    tails = {f"s{x}": common_head(left("base", x), left(x, x)) for x in sides[1:]}
+    put = lambda a, b: f"concat(slice(x.{a}, 1, size(x.{a}) - x.s{a}), slice(x.base, size(x.base) - x.s{a} + 1, x.p{b} - size(x.base) + x.s{a}), slice(x.{b}, x.p{b} + 1, size(x.{b}) - x.p{b}))"
+    case = lambda a, b: f"when size(x.base) - x.s{a} < x.p{b} then replace(array_join({put(a, b)}, '\\n'), '\\0', '')"
+    hunks = f"case {case('ours', 'theirs')} {case('theirs', 'ours')} end"
+    whole = let(lines, let(held | heads, let(held | {h: f"x.{h}" for h in heads} | tails, hunks)))
+    return F.when(F.instr(F.concat(*sides), "\0") == 0, F.expr(whole))
 
 
 def merge3(triples: DataFrame) -> DataFrame:
@@ -160,21 +169,20 @@ def merge3(triples: DataFrame) -> DataFrame:
     Sides that agree, or of which one did not change, and texts in which each side changed one run of lines are settled by
     expressions; only the rest, if there is any, goes to Python, in batches.
     """
-    same = (F.col("ours") == F.col("theirs")) | (F.col("theirs") == F.col("base")) | (F.col("ours") == F.col("base"))
+    agree, ours_only, theirs_only = F.col("ours") == F.col("theirs"), F.col("theirs") == F.col("base"), F.col("ours") == F.col("base")
     binary = F.col("merge_class") == "binary"
-    rows = one_hunk_each(triples.select("key", "merge_class", "base", "ours", "theirs"))
-    rows = rows.withColumn(
-        "merged",
-        F.when(binary, F.col("theirs")).when((F.col("ours") == F.col("theirs")) | (F.col("theirs") == F.col("base")), F.col("ours")).when(F.col("ours") == F.col("base"), F.col("theirs")).otherwise(F.col("hunks")),
-    )
-    native = rows.filter("merged is not null").select("key", "merged", (binary & ~same).alias("conflict"))
+    merged = F.when(binary, F.col("theirs")).when(agree | ours_only, F.col("ours")).when(theirs_only, F.col("theirs")).otherwise(one_run_each())
+    # Generated rows: no filter on them moves below, where the merge would be computed once more.
+    done = F.explode(F.array(F.struct(merged.alias("merged"), (binary & ~(agree | ours_only | theirs_only)).alias("conflict")))).alias("done")
+    rows = triples.select("key", "merge_class", "base", "ours", "theirs").select("*", done)
+    native = rows.filter("done.merged is not null").select("key", "done.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [merge_text(*x) for x in zip(pdf.merge_class, pdf.base, pdf.ours, pdf.theirs, strict=True)]
             yield pd.DataFrame({"key": pdf.key, "merged": [m for m, _ in both], "conflict": [c for _, c in both]})
 
-    rest = rows.filter("merged is null").select("key", "merge_class", "base", "ours", "theirs")
+    rest = rows.filter("done.merged is null").select("key", "merge_class", "base", "ours", "theirs")
     if rest.isEmpty():
         return native
     kind = triples.schema["key"].dataType.simpleString()

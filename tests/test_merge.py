@@ -90,3 +90,21 @@ def test_one_run_each_needs_no_python(spark):
     for k, kind, *texts in rows:
         assert next((r["merged"], r["conflict"]) for r in done.collect() if r["key"] == k) == merge.merge_text(kind, *texts)
         break
+
+
+def test_lines_are_split_once_a_text(spark):
+    """Splits named again for every use would grow a merge's plan, and its time, many times over."""
+    kind = "key long, merge_class string, base string, ours string, theirs string"
+    rows = [(k, "code", f"a\nb\nc\n{k}", f"x\nb\nc\n{k}", f"a\nb\nz\n{k}") for k in range(3)]
+    done = merge.merge3(spark.createDataFrame(rows, kind))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
+    assert sorted((r["key"], r["merged"], r["conflict"]) for r in done.collect()) == [(k, f"x\nb\nz\n{k}", False) for k in range(3)]
+
+
+def test_ends_without_a_line_break(spark):
+    """A last line without a break is another line than one with it; every short triple, natively or not, merges like itself."""
+    texts = ["", "a", "a\n", "a\nb", "a\nb\n", "a\nb\nc", "a\nb\nc\n", "x\nb\nc", "a\nb\ny", "a\nb\ny\n", "\n", "a\n\n"]
+    triples = [(0, "text", b, o, t) for b in texts for o in texts for t in texts if len({b, o, t}) == 3]
+    triples = [(k, *x[1:]) for k, x in enumerate(triples)]
+    got = merge.merge3(spark.createDataFrame(triples, "key long, merge_class string, base string, ours string, theirs string")).collect()
+    assert {r["key"]: (r["merged"], r["conflict"]) for r in got} == {k: merge.merge_text(*x) for k, *x in triples}
