@@ -76,8 +76,8 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def new_rows(held: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The rows to append: one per id that is not held."""
-    return incoming.dropDuplicates(["id"]).join(held.select("id"), "id", "left_anti")
+    """The rows to append: one per id that is not held. The join leaves them sorted by id, as the choice of one needs them."""
+    return incoming.join(held.select("id"), "id", "left_anti").dropDuplicates(["id"])
 
 
 def checked(rows: DataFrame, blobs: DataFrame | None = None) -> DataFrame:

@@ -8,25 +8,34 @@ from pyspark.sql import functions as F
 from chronofold.plans.registry import query, sealed
 from chronofold.sources import fixtures as fx
 from chronofold.sources.log import decode_records
-from chronofold.sources.tables import new_folder
+from chronofold.sources.tables import new_folder, stored
 from chronofold.streaming import streams
 
 BATCHES = 4
+#: Rows that one file of a batch holds, about.
+FILE_ROWS = 100_000
 
 
 def arriving(rows: DataFrame, work: str) -> DataFrame:
-    """The rows as a stream of BATCHES files, in the order of a hash of their ids, written one after another."""
+    """The rows as a stream of BATCHES batches, in the order of a hash of their ids, written one after another.
+
+    Each batch has the same number of files, more for more rows, so that all cores write and read it; the stream takes so
+    many at a time. Where a task had no row to write, an empty file stands in.
+    """
     spark = rows.sparkSession
     batch = F.conv(F.substring(F.sha2("id", 256), 1, 1), 16, 10).cast("int") * BATCHES / 16
+    files = max(min(rows.count() // (BATCHES * FILE_ROWS), rows.rdd.getNumPartitions()), 1)
     for k in range(BATCHES):
-        rows.filter(F.floor(batch) == k).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    return streams.read_rows(spark, f"{work}/in", rows.schema)
+        rows.filter(F.floor(batch) == k).coalesce(files).write.mode("append").parquet(f"{work}/in")
+        for _ in range((k + 1) * files - len(streams.parts(spark, f"{work}/in"))):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    return streams.read_rows(spark, f"{work}/in", rows.schema, files)
 
 
 @query
 def s01_stream_integrate(spark: SparkSession, sf: str) -> DataFrame:
     work = new_folder(spark)
-    log = sealed(spark, sf)
+    log = stored(sealed(spark, sf))
     return streams.integrate(arriving(log.unionByName(log.filter("kind = 'rename'")), work), work).select("id", "file_id")
 
 
